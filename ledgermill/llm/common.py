@@ -33,6 +33,16 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by materialize() that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {x.rpartition("/")[0] for x in df.inputFiles()}
+    for folder in folders:
+        if folder.rpartition("/")[2].startswith("ledgermill-"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop shuffle files of jobs whose results are written."""
     gc.collect()
