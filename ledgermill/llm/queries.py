@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, simhash, suffixdup
+from . import mixing, packing, quality, simhash, suffixdup
 from .common import read
 
 
@@ -23,10 +24,22 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block and slot; targets are the sources' own shares of bytes."""
+    rows = mixing.schedule(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return rows.select("doc_id", "source", F.col("mix_bytes").alias("n_bytes"), F.col("mix_start").alias("source_start"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix": op3_suffix,
     "op6_simhash": op6_simhash,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
