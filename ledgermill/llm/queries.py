@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, suffixdup
+from . import chat, mixing, packing, quality, simhash, suffixdup, toxicity
 from .common import read
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdup.substring_report(read(spark, sf_dir, "documents"))
 
@@ -35,11 +43,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat": op2_chat,
     "op3_suffix": op3_suffix,
+    "op4_toxicity": op4_toxicity,
     "op6_simhash": op6_simhash,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat": chat.ORACLE}
