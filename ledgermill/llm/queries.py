@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, simhash, suffixdup, toxicity
+from . import chat, mixing, neardup, packing, quality, simhash, suffixdup, toxicity
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdup.substring_report(read(spark, sf_dir, "documents"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_suffix": op3_suffix,
     "op4_toxicity": op4_toxicity,
+    "op5_neardup": op5_neardup,
     "op6_simhash": op6_simhash,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
