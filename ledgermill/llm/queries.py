@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, packing, quality, simhash, suffixdup, toxicity
+from . import chat, htmlcut, mixing, neardup, packing, quality, simhash, suffixdup, toxicity, vptree
 from .common import read
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcut.extract(read(spark, sf_dir, "pages"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
@@ -32,6 +36,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by 100, searched among all rows."""
+    return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -47,11 +56,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op2_chat": op2_chat,
     "op3_suffix": op3_suffix,
     "op4_toxicity": op4_toxicity,
     "op5_neardup": op5_neardup,
     "op6_simhash": op6_simhash,
+    "op7_nearest": op7_nearest,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
