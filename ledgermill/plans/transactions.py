@@ -69,7 +69,7 @@ def qa_compare_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 def qa_merchant_spend(spark: SparkSession, sf: str) -> DataFrame:
     """Spend at merchants with a word that starts as the token says, per statement."""
-    rows = tx_of(spark, sf).filter(copilot_spend() & F.lower("clean_description").rlike(r"(?<![a-z])gold"))
+    rows = tx_of(spark, sf).filter(copilot_spend() & F.lower("clean_description").rlike(r"(?<![a-z])small"))
     return rows.groupBy(*BY).agg(agg.total(F.col("amount")).alias("gross_spend"), F.count(F.lit(1)).alias("n"))
 
 
@@ -290,7 +290,7 @@ ORACLE_SQL = {
       r AS (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY total DESC, category) AS rn FROM c),
       p AS (SELECT statement, max(category) FILTER (rn = 1) AS first_category, max(category) FILTER (rn = 2) AS second_category, max(total) FILTER (rn = 1) AS first_total, max(total) FILTER (rn = 2) AS second_total FROM r GROUP BY 1)
       SELECT *, CAST(first_total - coalesce(second_total, 0) AS {WIDE}) AS difference FROM p""",
-    "qa_merchant_spend": f"WITH {TX_SQL} SELECT statement, CAST(sum(amount) AS {WIDE}) AS gross_spend, count(*) AS n FROM tx WHERE {SPENT} AND regexp_matches(lower(clean_description), '(^|[^a-z])gold') GROUP BY 1",
+    "qa_merchant_spend": f"WITH {TX_SQL} SELECT statement, CAST(sum(amount) AS {WIDE}) AS gross_spend, count(*) AS n FROM tx WHERE {SPENT} AND regexp_matches(lower(clean_description), '(^|[^a-z])small') GROUP BY 1",
     "qa_top_share": f"""WITH {TX_SQL}, c AS (SELECT statement, clean_description, sum(amount) AS total FROM tx WHERE {SPENT} GROUP BY 1, 2),
       r AS (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY total DESC, clean_description) AS rn FROM c),
       s AS (SELECT statement, CAST(coalesce(sum(total) FILTER (rn <= 5), 0) AS {WIDE}) AS covered, CAST(sum(total) AS {WIDE}) AS total FROM r GROUP BY 1)
