@@ -82,7 +82,7 @@ def fold_predictions(series: DataFrame, by: list[str], seasonal: bool = True) ->
     out = out.unionByName(base.filter(F.col("cut") >= MIN_WEEKDAY).select(*common, F.lit(WEEKDAY).alias("candidate"), F.coalesce("dow_mean", "mean").alias("pred")))
     if seasonal:
         long = train.filter(F.col("cut") >= MIN_SEASONAL).groupBy(*key, "cut", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda x: x["y"]).alias("ys"))
-        ahead = long.select(*key, "cut", F.posexplode(_smooth("ys", "h")["ahead"]).alias("k", "pred")).withColumn("t", F.col("cut") + F.col("k")).select(*key, "t", "pred")
+        ahead = long.select(*key, "cut", F.posexplode(_smooth("ys", "h")["ahead"]).alias("_step", "pred")).withColumn("t", F.col("cut") + F.col("_step")).select(*key, "t", "pred")
         out = out.unionByName(test.join(ahead, [*key, "t"]).select(*common, F.lit(SEASONAL).alias("candidate"), "pred"))
     return out
 
