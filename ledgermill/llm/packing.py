@@ -9,10 +9,12 @@ group; the best packing of a group wins. A group wastes at most a part of its la
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,29 +24,75 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of a group on average, islands of a group, epochs, and an island's population and crossovers in an epoch.
 GROUP, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 8192, 2, 2, 4, 8
-#: Words whose ids a task remembers, at most.
-REMEMBERED = 200_000
+#: Words whose ids a Python worker remembers, at most, in each of two generations.
+REMEMBERED = 250_000
+# How this tokenizer splits a normalised word; letters that normalising leaves as they are.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LATIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
+#: Byte-level tokenizers write a byte as a letter: itself if printable, else the next one from 256 up.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, deal bigint"
 
 
-def word_ids(tokenizer) -> "callable":
+class _Remembered:
+    """Ids by word in two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self, size: int = REMEMBERED) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def put(self, word, ids: bytes) -> bytes:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+        return ids
+
+
+_MODELS: dict[str, tuple] = {}
+
+
+def word_ids(path: str) -> Callable[[bytes], bytes]:
     """ids of a text as packed little-endian 32-bit words.
 
     ASCII white space always ends a token of this tokenizer, so words are encoded apart and
-    remembered.
+    remembered, for as long as the Python worker lives. Printable words of Latin letters are
+    already in the tokenizer's normal form once lower-cased, so their pieces go straight to
+    its merge model; all others take its whole way.
     """
-    known: dict[bytes, bytes] = {}
+    if path not in _MODELS:
+        from tokenizers import Tokenizer
+
+        _MODELS[path] = (Tokenizer.from_file(path), _Remembered(), _Remembered())
+    tokenizer, words, parts = _MODELS[path]
+    merge, whole = tokenizer.model.tokenize, tokenizer.encode
+
+    def piece(text: str) -> bytes:
+        ids = parts.young.get(text) or parts.old.get(text)
+        if ids is None:
+            bytes_as_letters = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = array("I", [x.id for x in merge(bytes_as_letters)]).tobytes()
+            if len(text) <= 48:
+                parts.put(text, ids)
+        return ids
+
+    def fresh(word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if "<|" in text or not (text.isascii() and text.isprintable() or LATIN.fullmatch(text)):
+            ids = array("I", whole(text, add_special_tokens=False).ids).tobytes()
+        else:
+            text = text.lower()
+            ids = piece(text) if text.isalpha() else b"".join([piece(p) for p in PIECE.findall(text)])
+        return words.put(word, ids) if len(word) <= 48 else ids
 
     def encode(text: bytes) -> bytes:
-        out = []
+        young, old, out = words.young, words.old, []
         for word in text.split():
-            ids = known.get(word)
+            ids = young.get(word)
             if ids is None:
-                ids = np.array(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(word) <= 64:
-                    known[word] = ids
+                ids = old.get(word)
+                if ids is None:
+                    ids = fresh(word)
+                    young, old = words.young, words.old
             out.append(ids)
         return b"".join(out)
 
@@ -54,9 +102,8 @@ def word_ids(tokenizer) -> "callable":
 def _pieces(path: str | None, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        encode = word_ids(Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER)))
+        encode = word_ids(path or public_tokenizers.path(TOKENIZER))
         width = 4 * capacity
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
