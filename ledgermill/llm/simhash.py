@@ -17,6 +17,8 @@ SHINGLE = 3
 SEED = 42
 #: Members of a bucket that one task compares directly; larger buckets take the exact path.
 DIRECT = 1024
+#: Buckets (two longs each) that are broadcast at most; more are joined by shuffling.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -88,7 +90,8 @@ def links(distinct: DataFrame, direct: int = DIRECT) -> DataFrame:
     buckets = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     pairs = buckets.filter("n = 2").filter(near).select("a", "b")
-    members = spread.join(buckets.filter("n > 2").select("key", "n"), "key")
+    crowds = buckets.filter("n > 2").select("key", "n")
+    members = spread.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds, "key")
     small = members.filter(F.col("n") <= direct).groupBy("key").agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(_pairs_within(2), "a bigint, b bigint")
     crowded = members.filter(F.col("n") > direct).select("fp").distinct()
     gone = [(1 << p) | (1 << q) for p in range(64) for q in range(p)]
