@@ -3,17 +3,21 @@
 A source is a periodic task: its stream of bytes is cut into blocks, block j may not start
 before floor(j / w) and must be scheduled before ceil((j + 1) / w), where w is its weight.
 With one slot for a block and weights that sum to one, earliest-deadline-first meets every
-deadline, so each source is always less than one block from its share. Weights become
-shares of a period, so the schedule of one period is all the driver computes; a block's
-slot follows from its number. When a source runs dry the others' weights are scaled up and
-a new phase begins, until everything is scheduled.
+deadline, so each source is always less than one block from its share. Weights are compared
+as whole numbers, never rounded to slots of a period. When a source runs dry the others'
+weights are scaled up and a new phase begins, until everything is scheduled; the bound holds
+within each phase. One task runs the schedule and streams it out as rows (source, block,
+slot), so nobody holds more than a chunk of it.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 BLOCK, PER_SOURCE, PERIOD, SOURCES = 1 << 16, 16, 1000, 10_000
 #: Documents of a (source, bucket) on average, within which sizes are summed up in one task.
 BUCKET = 4096
+#: Slots of the schedule that are held at once; blocks up to which the schedule is broadcast.
+CHUNK, BROADCAST = 1 << 16, 1 << 17
 
 
 def shares(weights: Mapping[str, float]) -> tuple[dict[str, int], int]:
-    """Whole slots of a period for each source, at least one, and the period."""
+    """Whole slots of a period for each source, at least one, and the period: rounded, so not for schedule()."""
     total = sum(weights.values())
     period = max(PERIOD, PER_SOURCE * len(weights))
     out = {s: max(1, int(period * w / total)) for s, w in weights.items()}
@@ -34,41 +40,77 @@ def shares(weights: Mapping[str, float]) -> tuple[dict[str, int], int]:
     return out, sum(out.values())
 
 
-def edf_period(share: Mapping[str, int], period: int) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, by earliest deadline among released blocks."""
+def edf(share: Mapping[str, int], period: int) -> Iterator[str]:
+    """The source of each slot, without end, by earliest deadline among released blocks."""
     waiting = [(0, s, 0) for s in sorted(share)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(j + 1) * period // share[s]), s, j))
         deadline, s, j = heapq.heappop(ready)
         if deadline <= t:
             raise AssertionError(f"block {j} of {s} missed its deadline")
+        yield s
+        heapq.heappush(waiting, ((j + 1) * period // share[s], s, j + 1))
+        t += 1
+
+
+def edf_period(share: Mapping[str, int], period: int) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one period."""
+    slots: dict[str, list[int]] = {s: [] for s in share}
+    for t, s in zip(range(period), edf(share, period)):
         slots[s].append(t)
-        if j + 1 < share[s]:
-            heapq.heappush(waiting, ((j + 1) * period // share[s], s, j + 1))
     return slots
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[dict]:
-    """Per phase and source: first block, blocks, first slot, share, period, slots of a period."""
-    done, start, out = dict.fromkeys(blocks, 0), 0, []
+def whole(weights: Mapping[str, float]) -> tuple[dict[str, int], int]:
+    """The weights as whole numbers in exactly their proportions, and their sum."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    out = {s: int(w * scale) for s, w in exact.items()}
+    return out, sum(out.values())
+
+
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float], chunk: int = CHUNK) -> Iterator[dict]:
+    """The schedule in runs of at most ``chunk`` slots, which never cross the end of a phase.
+
+    Per run and source: phase, first block, blocks, first slot, share, period, slots of the run.
+    """
+    done, start, phase = dict.fromkeys(blocks, 0), 0, 0
     live = {s for s, n in blocks.items() if n > 0}
     while live:
-        share, period = shares({s: weights[s] for s in live})
-        table = edf_period(share, period)
-        slot = lambda s, j: j // share[s] * period + table[s][j % share[s]]  # noqa: E731, B023
-        end = min(slot(s, blocks[s] - done[s] - 1) for s in live) + 1
-        for s in sorted(live):
-            n = min(blocks[s] - done[s], end // period * share[s] + sum(t < end % period for t in table[s]))
-            out.append({"phase": len(out), "source": s, "first": done[s], "n": n, "start": start, "share": share[s], "period": period, "slots": table[s]})
-            done[s] += n
-        start += end
+        order, over = edf(*whole({s: weights[s] for s in live})), False
+        while not over:
+            slots: dict[str, list[int]] = {}
+            t = 0
+            while t < chunk and not over:
+                s = next(order)
+                mine = slots.setdefault(s, [])
+                mine.append(t)
+                over = done[s] + len(mine) == blocks[s]
+                t += 1
+            for s in sorted(slots):
+                n = len(slots[s])
+                yield {"phase": phase, "source": s, "first": done[s], "n": n, "start": start, "share": n, "period": t, "slots": slots[s]}
+                done[s] += n
+            start += t
         live = {s for s in live if done[s] < blocks[s]}
-    return out
+        phase += 1
+
+
+def _schedule(blocks: Mapping[str, int], weights: Mapping[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                for p in phases(blocks, weights):
+                    columns = ([p["source"]] * p["n"], range(p["first"], p["first"] + p["n"]), [p["start"] + t for t in p["slots"]])
+                    kinds = (pa.string(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["mix_source", "mix_block", "mix_slot"])
+
+    return run
 
 
 def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
@@ -93,11 +135,11 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block:
         raise ValueError(f"over {SOURCES} sources")
     if not totals:
         return rows.drop("mix_key").withColumns({c: F.lit(0).cast("bigint") for c in ("mix_start", "mix_block", "mix_slot")})
-    whole = sum(r["bytes"] for r in totals)
-    target = {r["mix_source"]: float((weights or {}).get(r["mix_source"], r["bytes"] / whole)) for r in totals}
+    every = sum(r["bytes"] for r in totals)
+    target = {r["mix_source"]: float((weights or {}).get(r["mix_source"], r["bytes"] / every)) for r in totals}
     if min(target.values()) <= 0:
         raise ValueError("weights must be positive")
-    plan = phases({r["mix_source"]: -(-r["bytes"] // block) for r in totals}, target)
+    blocks = {r["mix_source"]: -(-r["bytes"] // block) for r in totals}
     buckets = max(1, max(r["n"] for r in totals) // bucket)
     rows = rows.withColumn("mix_bucket", F.pmod(F.xxhash64("mix_key", F.lit(1)), F.lit(buckets)))
     sums = rows.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_bytes").alias("mix_sum"))
@@ -106,15 +148,9 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block:
     inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "doc_id", "mix_bytes").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(base, ["mix_source", "mix_bucket"]).withColumn("mix_start", F.col("mix_base") + F.coalesce(F.sum("mix_bytes").over(inside), F.lit(0)))
     placed = placed.withColumn("mix_block", F.floor(F.col("mix_start") / F.lit(block)).cast("bigint"))
-    by_source: dict[str, list] = {}
-    for p in plan:
-        by_source.setdefault(p["source"], []).append((p["first"], p["n"], p["start"], p["share"], p["period"], p["slots"]))
-    steps = spark.createDataFrame(list(by_source.items()), "mix_source string, mix_plan array<struct<first:bigint,n:bigint,start:bigint,share:bigint,period:bigint,slots:array<bigint>>>")
-    slot = (
-        "element_at(transform(filter(mix_plan, p -> mix_block >= p.first and mix_block < p.first + p.n),"
-        " p -> p.start + (mix_block - p.first) div p.share * p.period + p.slots[int((mix_block - p.first) % p.share)]), 1)"
-    )
-    return placed.join(F.broadcast(steps), "mix_source").withColumn("mix_slot", F.expr(slot)).select(*docs.columns, "mix_source", "mix_bytes", "mix_start", "mix_block", "mix_slot")
+    steps = spark.range(0, 1, 1, 1).mapInArrow(_schedule(blocks, target), "mix_source string, mix_block bigint, mix_slot bigint")
+    steps = F.broadcast(steps) if sum(blocks.values()) <= BROADCAST else steps
+    return placed.join(steps, ["mix_source", "mix_block"]).select(*docs.columns, "mix_source", "mix_bytes", "mix_start", "mix_block", "mix_slot")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, partitions: int | None = None) -> DataFrame:

@@ -64,3 +64,28 @@ def test_mixed_keeps_columns_and_rows(spark):
     assert out.columns == docs.columns
     assert Counter(map(tuple, out.collect())) == Counter(rows)
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_sources_stay_within_one_block_of_their_true_weights_over_many_periods():
+    rng = np.random.default_rng(4)
+    weights = {f"s{i}": float(w) for i, w in enumerate(rng.random(20) ** 3 + 1e-5)} | {"rare": 2e-4}
+    total, n = sum(weights.values()), 60_000
+    blocks = dict.fromkeys(weights, n)
+    got, at = {s: np.zeros(n, int) for s in weights}, 0
+    for p in mixing.phases(blocks, weights, chunk=5_000):
+        if p["start"] >= n:
+            break
+        assert p["phase"] == 0
+        got[p["source"]][[p["start"] + t for t in p["slots"]]] = 1
+        at = max(at, p["start"] + p["period"])
+    assert at >= n
+    for s, x in got.items():
+        assert np.abs(np.cumsum(x) - np.arange(1, n + 1) * weights[s] / total).max() < 1
+
+
+def test_schedule_without_broadcast_is_the_same(spark, monkeypatch):
+    docs, _ = frame(spark, 200)
+    key = lambda r: tuple(map(str, r))
+    small = sorted(mixing.schedule(docs, block=256).collect(), key=key)
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert sorted(mixing.schedule(docs, block=256).collect(), key=key) == small
