@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgermill.llm import mixing, packing, quality, simhash, suffixdup
 from ledgermill.llm.common import materialize, read
 
+#: Target weight of a source in the mixture: its share of bytes to this power, so that small
+#: sources are drawn more often than their size alone would have them, until they run dry.
+POWER = 0.5
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels outside the held-out third, accepts."""
@@ -26,13 +30,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of a mixture to the sources' shares of bytes."""
-    return mixing.mixed(docs)
+    """Every document, in the order of a mixture to the sources' shares of bytes to the POWER."""
+    return mixing.mixed(docs, power=POWER)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
-    return packing.pack(docs)
+    """Pieces of the documents and their places in sequences, numbered along the mixture.
+
+    A table has no order of its rows, so the mixture's slots are computed again.
+    """
+    slots = mixing.schedule(docs.select("doc_id", "source", "text"), power=POWER)
+    return packing.pack(slots, order=("mix_slot", "mix_start"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

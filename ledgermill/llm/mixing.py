@@ -113,13 +113,13 @@ def _schedule(blocks: Mapping[str, int], weights: Mapping[str, float]):
     return run
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, bucket: int = BUCKET, power: float = 1.0) -> DataFrame:
     """The documents with mix_source, mix_bytes, mix_start, mix_block and mix_slot.
 
     mix_start is a document's place in its source's stream of bytes, whose order is a hash's;
     mix_block is the block that it starts in and mix_slot the block's slot in the mixture. All
     rows stay. ``weights`` names target weights; without them, or for sources they don't name,
-    a source's share of bytes is its weight. A null source counts as the empty name; null
+    a source's share of bytes to the given power is its weight. A null source counts as the empty name; null
     and empty texts, as one byte; repeated rows take a place each; rows without an id are
     placed by their text. Sources are at most SOURCES, which bounds what the driver holds.
     """
@@ -136,7 +136,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block:
     if not totals:
         return rows.drop("mix_key").withColumns({c: F.lit(0).cast("bigint") for c in ("mix_start", "mix_block", "mix_slot")})
     every = sum(r["bytes"] for r in totals)
-    target = {r["mix_source"]: float((weights or {}).get(r["mix_source"], r["bytes"] / every)) for r in totals}
+    target = {r["mix_source"]: float((weights or {}).get(r["mix_source"], (r["bytes"] / every) ** power)) for r in totals}
     if min(target.values()) <= 0:
         raise ValueError("weights must be positive")
     blocks = {r["mix_source"]: -(-r["bytes"] // block) for r in totals}
@@ -153,8 +153,8 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block:
     return placed.join(steps, ["mix_source", "mix_block"]).select(*docs.columns, "mix_source", "mix_bytes", "mix_start", "mix_block", "mix_slot")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, partitions: int | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, partitions: int | None = None, power: float = 1.0) -> DataFrame:
     """All documents with their columns, in the order of the mixture: range-partitioned by slot."""
-    placed = schedule(docs, weights, block)
+    placed = schedule(docs, weights, block, power=power)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartitionByRange(n, "mix_slot", "mix_start").sortWithinPartitions("mix_slot", "mix_start").select(docs.columns)

@@ -4,6 +4,8 @@ Documents are tokenised, closed by id 0 and cut into pieces of at most CAPACITY
 pieces are dealt evenly to groups of bounded size. Islands evolve packings of each group
 from their own seeds; after every epoch an island's elite moves to the next island of its
 group; the best packing of a group wins. A group wastes at most a part of its last bin.
+Where the rows have an order to follow, groups are contiguous ranges of it instead, and
+sequences are numbered along it.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, texts_of
+from .common import discard, materialize, release, texts_of
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +34,8 @@ LATIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
 #: Byte-level tokenizers write a byte as a letter: itself if printable, else the next one from 256 up.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
+#: Places of an order that are summed up in one task.
+PLACES = 4096
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, deal bigint"
 
 
@@ -107,6 +111,7 @@ def _pieces(path: str | None, capacity: int):
         width = 4 * capacity
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
+            rows: list[int] = []
             for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True)):
                 ids = encode(text) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), width)):
@@ -115,15 +120,32 @@ def _pieces(path: str | None, capacity: int):
                     deal = zlib.crc32(f"{doc} {k} {row}".encode()) << 31 | crc >> 1
                     for to, x in zip(out, (doc, k, at // 4, len(part) // 4, crc, deal), strict=True):
                         to.append(x)
+                    rows.append(row)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+            places = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), *places], ["doc_id", "piece", "start", "length", "ids_crc32", "deal", *batch.schema.names[2:]])
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, and a number to deal by."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer_path, capacity), PIECES)
+def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, order: tuple[str, str] | None = None) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, a number to deal by, and with an order ord1, ord2."""
+    along = [F.col(c).cast("bigint").alias(f"ord{k}") for k, c in enumerate(order or (), 1)]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *along)
+    return rows.mapInArrow(_pieces(tokenizer_path, capacity), PIECES + "".join(f", ord{k} bigint" for k in range(1, len(along) + 1)))
+
+
+def _ranked(cut: DataFrame) -> DataFrame:
+    """The pieces with their rank (from 0) by ord1, ord2, piece to deal by; only counts go through one task."""
+    chunk = F.floor(F.col("ord1") / F.lit(PLACES)).alias("chunk")
+    counts = cut.groupBy("ord1").agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", chunk)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("chunk").agg(F.sum("n").alias("n"))
+    sums = sums.select("chunk", F.coalesce(F.sum("n").over(before(Window.partitionBy(F.lit(0)).orderBy("chunk"))), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n").over(before(Window.partitionBy("chunk").orderBy("ord1"))), F.lit(0))
+    bases = counts.withColumn("within", within).join(sums, "chunk").select("ord1", (F.col("base") + F.col("within")).alias("base"))
+    inside = Window.partitionBy("ord1").orderBy("ord2", "doc_id", "piece", "ids_crc32", "length")
+    return cut.join(bases, "ord1").withColumn("deal", F.col("base") + F.row_number().over(inside) - 1).drop("ord1", "ord2", "base")
 
 
 class _Room:
@@ -241,31 +263,53 @@ def _island(capacity: int, population: int, crossovers: int, epoch: int):
     return run
 
 
-def _place(items: pa.Table, elites: pa.Table) -> pa.Table:
-    items = _sorted(items)
-    best = min(elites.to_pylist(), key=lambda e: (e["bins"], e["fit"], e["island"]))
-    name, length = np.array(best["assign"], np.int64), np.asarray(items.column("length"))
-    order = np.argsort(name, kind="stable")
-    before = np.cumsum(length[order]) - length[order]
-    first = np.concatenate([[True], name[order][1:] != name[order][:-1]])
-    offset = np.empty(len(name), np.int64)
-    offset[order] = before - before[first][np.cumsum(first) - 1]
-    columns = {c: items.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-    return pa.table(columns | {"sequence_id": pa.array(best["grp"] * (1 << 32) + name), "offset": pa.array(offset)})
+def _along(name: np.ndarray, deal: np.ndarray) -> np.ndarray:
+    """Bins renumbered along the order: a bin stands where its longest piece, its first, does."""
+    _, first, bins = np.unique(name, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(deal[first])] = np.arange(len(first))
+    return rank[bins]
+
+
+def _place(ordered: bool):
+    def run(items: pa.Table, elites: pa.Table) -> pa.Table:
+        items = _sorted(items)
+        best = min(elites.to_pylist(), key=lambda e: (e["bins"], e["fit"], e["island"]))
+        name, length = np.array(best["assign"], np.int64), np.asarray(items.column("length"))
+        if ordered:
+            name = _along(name, np.asarray(items.column("deal")))
+        order = np.argsort(name, kind="stable")
+        before = np.cumsum(length[order]) - length[order]
+        first = np.concatenate([[True], name[order][1:] != name[order][:-1]])
+        offset = np.empty(len(name), np.int64)
+        offset[order] = before - before[first][np.cumsum(first) - 1]
+        columns = {c: items.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        return pa.table(columns | {"sequence_id": pa.array(best["grp"] * (1 << 32) + name), "offset": pa.array(offset)})
+
+    return run
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, crossovers: int = CROSSOVERS
+    docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, crossovers: int = CROSSOVERS,
+    order: tuple[str, str] | None = None,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece.
 
     Null and empty texts are the single token 0. Repeated rows are packed each; rows without
     an id keep their null. Other columns are ignored; an empty table gives no rows.
+    ``order`` names two whole-number columns, not null, that order the documents: groups are
+    then contiguous ranges of it, and within a group sequences follow their longest pieces.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer_path, capacity))
-    groups = max(1, round(cut.count() / group))
-    dealt = cut.withColumn("grp", F.pmod("deal", F.lit(groups)))
+    cut = materialize(pieces(docs, tokenizer_path, capacity, order))
+    n = cut.count()
+    groups = max(1, round(n / group))
+    if order:
+        loose, cut = cut, materialize(_ranked(cut))
+        discard(loose)
+        dealt = cut.withColumn("grp", F.expr(f"deal * {groups} div {max(1, n)}"))
+    else:
+        dealt = cut.withColumn("grp", F.pmod("deal", F.lit(groups)))
     spread = dealt.select("grp", "doc_id", "piece", "length", "deal", "ids_crc32", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     elites = spark.createDataFrame([], ELITE)
     for epoch in range(epochs):
@@ -274,5 +318,5 @@ def pack(
         elites = materialize(spread.groupBy("grp", "island").cogroup(visible.groupBy("grp", "island")).applyInArrow(_island(capacity, population, crossovers, epoch), ELITE))
     release(spark)
     return dealt.groupBy("grp").cogroup(elites.groupBy("grp")).applyInArrow(
-        _place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+        _place(order is not None), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     )

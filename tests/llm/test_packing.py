@@ -71,3 +71,16 @@ def test_degenerate_tables(spark):
     assert packing.pack(empty).count() == 0
     odd = spark.createDataFrame([(None, "a"), (None, "a"), (7, "b c"), (7, "b c")], "doc_id bigint, text string")
     assert packing.pack(odd).count() == 4
+
+
+def test_groups_are_contiguous_ranges_of_an_order(spark):
+    slot = [(i * 37) % 101 * 1000 for i in range(101)]
+    docs = spark.createDataFrame([(i, "word " * (i * 7 + 1), s, i) for i, s in enumerate(slot)], "doc_id bigint, text string, slot bigint, at bigint")
+    rows = packing.pack(docs, capacity=256, group=30, order=("slot", "at")).collect()
+    assert sum(r.length for r in rows) == packing.pack(docs, capacity=256, group=30).agg({"length": "sum"}).first()[0]
+    ranges = {}
+    for r in rows:
+        ranges.setdefault(r.sequence_id >> 32, []).append(slot[r.doc_id])
+    parts = [ranges[g] for g in sorted(ranges)]
+    assert len(parts) > 5 and all(max(a) <= min(b) for a, b in zip(parts, parts[1:]))
+    assert max(map(len, parts)) <= min(map(len, parts)) + 1

@@ -51,3 +51,22 @@ def test_odd_tables(spark):
             out = stage(spark, docs, FOLDER)
             assert name == "packing" or out.columns == docs.columns
             assert out.count() <= max(len(rows), 4) * 3
+
+
+def test_sequences_follow_the_mixture(spark):
+    """The small source holds its tempered share of tokens along sequence_id until it runs dry."""
+    rows = [(i, "word and thing " * 2700, "small" if i % 10 == 0 else "large") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    stages = dict(cp.STAGES)
+    packed = stages["packing"](spark, materialize(stages["mixing"](spark, docs, FOLDER)), FOLDER).collect()
+    small, every = Counter(), Counter()
+    for r in packed:
+        every[r.sequence_id] += r.length
+        small[r.sequence_id] += r.length * (r.doc_id % 10 == 0)
+    want = 0.1**cp.POWER / (0.1**cp.POWER + 0.9**cp.POWER)
+    ids, seen, tokens = sorted(every), 0, 0
+    for k, s in enumerate(ids):
+        seen, tokens = seen + small[s], tokens + every[s]
+        if 0.1 < k / len(ids) < 0.35:
+            assert abs(seen / tokens - want) < 0.05
+    assert sum(every.values()) == sum(r.length for r in packed) and len({(r.doc_id, r.piece) for r in packed}) == len(packed)
