@@ -239,7 +239,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, crowd: int = CROWD, bin_size: int = BIN) -> DataFrame:
     """(doc_id, lo, hi): byte ranges that hold every repeated byte; ranges may overlap.
 
-    ``docs`` has doc_id (not null) and text. Order is by doc_id, then start.
+    ``docs`` has doc_id (unique, not null) and text. Order is by doc_id, then start.
     """
     spark = docs.sparkSession
     seen = materialize(docs.mapInArrow(_scan, "class bigint, content bigint, doc_id bigint, lo int, shape int"))
@@ -311,12 +311,29 @@ def _kept_text(text: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array([_keep(t, _union(s, len(t))).decode("utf-8", "ignore") for t, s in zip(texts_of(text), spans.to_pylist(), strict=True)], pa.string())
 
 
+def _numbered(docs: DataFrame, key: str) -> DataFrame:
+    """A copy of the documents, numbered by doc_id, nulls last, then by hashes of the text.
+
+    Copies of a row are told apart by their place in the input, so that they are spread too.
+    """
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    order = [F.col("doc_id").cast("bigint").asc_nulls_last(), F.xxhash64(text), F.xxhash64(text, F.lit(1)), F.col(key)]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.withColumn(key, F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    copy = materialize(rows.withColumn(key, F.monotonically_increasing_id()))
+    release(spark)
+    return copy
+
+
 def _marked(docs: DataFrame, crowd: int, bin_size: int) -> tuple[DataFrame, str, str]:
-    """The documents with a key and the list of their repeated ranges."""
+    """The documents with a key of their own and the list of their repeated ranges."""
     key, spans = "_key", "_spans"
     while {key, spans} & set(docs.columns):
         key, spans = key + "_", spans + "_"
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
+    if not keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        keyed = _numbered(docs, key)
     found = repeats(keyed.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), crowd, bin_size)
     lists = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("lo", "hi")).alias(spans))
     return keyed.join(lists, key, "left"), key, spans
@@ -326,9 +343,9 @@ def substring_report(docs: DataFrame, crowd: int = CROWD, bin_size: int = BIN) -
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every input row.
 
     A byte goes if a LENGTH-byte string that also starts earlier covers it. Null text is
-    empty. Rows without an id come last in the order and, like rows that share an id, count
-    as one document: none of them is earlier than another at the same start, and ranges
-    found in one hold for all. Other columns are ignored; an empty table gives no rows.
+    empty. Rows without an id come last in the order; they and rows that share an id are
+    documents of their own, ordered by a hash of the text. Other columns are ignored; an
+    empty table gives no rows.
     """
     marked, _, spans = _marked(docs.select("doc_id", "text"), crowd, bin_size)
     return marked.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), spans).mapInArrow(

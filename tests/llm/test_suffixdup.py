@@ -80,3 +80,19 @@ def test_removal_keeps_rows_and_columns(spark):
     kept = {r.doc_id: r for r in out.collect()}
     assert kept[4].text is None and kept[2].n_chars == len(kept[2].text) < 405 and kept[None].text == ""
     assert sd.substring_report(docs.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_documents_of_their_own(spark):
+    texts = corpus()
+    passage = "a passage at the same offset of two rows, " * 4
+    texts += [passage + "one", passage + "two", "clean text that repeats nothing " + "".join(map(chr, range(200, 500)))]
+    ids = [(None, 7, None, 3, i)[i % 5] for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    rows = docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h))
+    want = sorted(((str(r.doc_id), *x) for r, x in zip(rows, brute([r.text for r in rows]), strict=True)))
+    for crowd, size in ((sd.CROWD, sd.BIN), (2, 4)):
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.substring_report(docs, crowd, size).collect())
+        assert got == want
+    kept = sd.remove_repeats(docs.withColumn("n_chars", docs.doc_id)).collect()
+    assert len(kept) == len(texts) and any(r.text == texts[-1] for r in kept)
