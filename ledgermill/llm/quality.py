@@ -160,21 +160,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
-    """Fit on labelled rows outside the held-out third, at most ``sample`` of them.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """doc_id, text and the label of at most ``sample`` labelled rows outside the held-out third.
 
-    The sample's ids, a table of at most ``sample`` rows, is what the driver sees and what is
-    broadcast. Null labels and ids, and labels without a document, are left out.
+    Those with the smallest hashed ids; their ids, a table of at most ``sample`` rows, are
+    broadcast. Null labels and ids, and labels without a document, are left out; of several
+    labels of an id the largest counts, of several texts the one with the smallest hash.
     """
     chosen = (
-        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias(label))
+        .filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id")
+        .agg(F.max(label).alias(label))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = few.select("doc_id", statistics_of("text").alias("s"), "quality").select("doc_id", "s.*", "quality").limit(2 * sample).toPandas()
-    rows = rows.sort_values(["doc_id", "quality", *STATISTICS], ignore_index=True)
+    few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return few.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
+    """Fit on at most ``sample`` labelled rows; the driver sees their statistics only."""
+    few = labelled(docs, labels, "quality", sample)
+    rows = few.select("doc_id", statistics_of("text").alias("s"), "quality").select("doc_id", "s.*", "quality").toPandas().sort_values("doc_id", ignore_index=True)
     return fit_rules(rows[STATISTICS].to_numpy(float), rows["quality"].to_numpy(float))
 
 
@@ -191,7 +199,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that the classifier accepts, with their columns."""
+    """The documents that the classifier accepts, with their columns.
+
+    Null texts count as empty, repeated rows are judged each, rows without an id like any
+    other, and an empty table stays empty.
+    """
     model = fit(docs, labels, sample)
     taken = "s"
     while taken in docs.columns:

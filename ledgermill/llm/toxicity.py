@@ -2,7 +2,9 @@
 
 Categories are predicted one after the other; a later model sees the probabilities of the
 earlier ones. In training these are out-of-fold predictions, so that a later model learns
-from what an earlier one will really tell it.
+from what an earlier one will really tell it. The labels only say whether a text is toxic:
+the earlier categories, themes, are clusters of the toxic training rows by the telling words
+that they hold together.
 """
 
 from __future__ import annotations
@@ -18,14 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of
-from .quality import held_out
+from .common import discard, materialize, texts_of
+from .quality import held_out, labelled
 
-#: Labelled rows that a chain is fitted on, at most; feature buckets; features that a model may use; folds; bytes of a word's stem.
-SAMPLE, BUCKETS, WORDS, FOLDS, STEM = 12_000, 1 << 20, 600, 3, 6
-#: Terms that tell toxic texts' categories apart; the last category, toxic, is the label itself.
-TERMS = {"insult": ["idiot", "moron", "stupid", "clown", "loser"], "contempt": ["trash", "scum", "worthless", "pathetic", "disgusting"]}
-CATEGORIES = [*TERMS, "toxic"]
+#: Labelled rows that a chain is fitted on, at most; feature buckets; features that the models may use; folds; bytes of a word's stem; themes.
+SAMPLE, BUCKETS, WORDS, FOLDS, STEM, THEMES = 12_000, 1 << 20, 600, 3, 6, 2
+#: Words that a Python worker remembers while it scores.
+REMEMBERED = 50_000
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -56,94 +57,120 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, y: np.ndarray, earlier: np.ndarray, words: int = WORDS, penalty: float = 2e-4, steps: int = 160) -> Linear:
-    """L1-penalised logistic model on the word buckets that chi-square ranks first.
+def fit_linear(x: np.ndarray, y: np.ndarray, told: np.ndarray, penalty: float = 2e-4, steps: int = 160) -> tuple[float, np.ndarray]:
+    """Intercept and weights of an L1-penalised logistic model on the rows that ``told`` marks.
 
-    ``rows`` and ``cols`` are the word occurrences of ``n`` texts; without both classes the
-    model is the smoothed rate.
+    Rows are left out by weight, so that no fold needs a copy of ``x``. Without both classes
+    the model is the smoothed rate.
     """
-    rate = (y.sum() + 0.5) / (n + 1.0)
+    n, mine = int(told.sum()), y[told]
+    rate = (mine.sum() + 0.5) / (n + 1.0)
     base = math.log(rate / (1 - rate))
-    if n == 0 or y.min() == y.max():
-        return Linear(base, {}, [0.0] * earlier.shape[1])
-    names, idx = np.unique(cols, return_inverse=True)
-    seen, hit = np.bincount(idx, minlength=len(names)), np.bincount(idx, weights=y[rows], minlength=len(names))
-    expect = seen * y.mean()
-    chi = np.where(seen >= 3, (hit - expect) ** 2 / np.maximum(expect * (1 - seen / n) * (1 - y.mean()), 1e-9), 0)
-    best = np.sort(np.argsort(-chi, kind="stable")[:words])
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
-    x = np.zeros((n, len(best) + earlier.shape[1]), np.float32)
-    ok = place[idx] >= 0
-    x[rows[ok], place[idx][ok]] = 1
-    x[:, len(best) :] = earlier
-    step = 4.0 * n / (np.linalg.norm(x.T @ x, 2) + n)
     w, b = np.zeros(x.shape[1], np.float32), base
+    if n == 0 or mine.min() == mine.max():
+        return base, w
+    step = 4.0 * n / (np.linalg.norm(x.T @ x, 2) + n)
+    weight = told.astype(np.float32)
     v, c, t = w, b, 1.0
     for _ in range(steps):
-        err = (_sigmoid(x @ v + c) - y).astype(np.float32)
+        err = ((_sigmoid(x @ v + c) - y) * weight).astype(np.float32)
         w2 = v - step * (x.T @ err) / n
         w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * penalty, 0)
-        b2 = c - step * float(err.mean())
+        b2 = c - step * float(err.sum()) / n
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
-    return Linear(float(b), {int(names[best[k]]): float(w[k]) for k in np.flatnonzero(w[: len(best)])}, [float(z) for z in w[len(best) :]])
+    return float(b), w
 
 
-def apply_linear(model: Linear, rows: np.ndarray, cols: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
-    weight = np.zeros(BUCKETS)
-    for k, w in model.words.items():
-        weight[k] = w
-    return _sigmoid(model.intercept + np.bincount(rows, weights=weight[cols], minlength=n) + earlier @ np.array(model.earlier, float))
+def fit_chain(words: np.ndarray, y: np.ndarray, names: list[int], folds: int = FOLDS, chained: bool = True) -> list[Linear]:
+    """One model for each column of ``y``, in order, on words and out-of-fold earlier probabilities.
 
-
-def fit_chain(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> list[Linear]:
-    """One model for each column of ``y``, in order, on words and out-of-fold earlier probabilities."""
-    n = len(y)
+    ``words`` has a row for each text and a 0/1 column for each bucket of ``names``.
+    """
+    n, k = y.shape
     fold = np.arange(n) % folds
-    earlier, chain = np.zeros((n, 0)), []
-    for k in range(y.shape[1]):
-        chain.append(fit_linear(rows, cols, n, y[:, k], earlier))
-        out = np.zeros(n)
-        for f in range(folds):
-            told, asked = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            sub = {}
-            for name, part in (("told", told), ("asked", asked)):
-                at = np.full(n, -1)
-                at[part] = np.arange(len(part))
-                keep = at[rows] >= 0
-                sub[name] = (at[rows][keep], cols[keep], len(part))
-            model = fit_linear(*sub["told"], y[told, k], earlier[told])
-            out[asked] = apply_linear(model, *sub["asked"], earlier[asked])
-        earlier = np.column_stack([earlier, out])
+    x = np.zeros((n, len(names) + (k - 1 if chained else 0)), np.float32)
+    x[:, : len(names)] = words
+    chain = []
+    for j in range(k):
+        width = len(names) + (j if chained else 0)
+        part = x[:, :width]
+        b, w = fit_linear(part, y[:, j], np.ones(n, bool))
+        chain.append(Linear(b, {names[i]: float(w[i]) for i in np.flatnonzero(w[: len(names)])}, [float(z) for z in w[len(names) :]]))
+        if chained and j + 1 < k:
+            for f in range(folds):
+                asked = fold == f
+                b, w = fit_linear(part, y[:, j], ~asked)
+                x[asked, width] = _sigmoid(part[asked] @ w + b)
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, terms: dict[str, list[str]] = TERMS, sample: int = SAMPLE) -> list[Linear]:
+def apply_chain(chain: list[Linear], words: np.ndarray, names: list[int]) -> np.ndarray:
+    """Probabilities (a row for each text, a column for each category)."""
+    at = {b: i for i, b in enumerate(names)}
+    out = np.zeros((len(words), 0))
+    for m in chain:
+        w = np.zeros(len(names))
+        for b, z in m.words.items():
+            w[at[b]] = z
+        z = m.intercept + words @ w + (out @ np.array(m.earlier, float) if m.earlier else 0)
+        out = np.column_stack([out, _sigmoid(z)])
+    return out
+
+
+def themes_of(words: np.ndarray, toxic: np.ndarray, themes: int = THEMES, rounds: int = 20) -> np.ndarray:
+    """For each text its theme from 0, -1 if it is not toxic or holds no telling word.
+
+    Telling are words at least twice as frequent in toxic texts as in others. Toxic rows are
+    clustered by the telling words that they hold, weighed by rarity: spherical k-means that
+    starts from the rows that are least like each other.
+    """
+    out = np.full(len(toxic), -1)
+    rows = np.flatnonzero(toxic > 0)
+    if not len(rows) or len(rows) == len(toxic):
+        return out
+    hit, miss = words[rows].mean(0), words[toxic == 0].mean(0)
+    telling = np.flatnonzero((hit > 2 * miss) & (hit > 0))
+    x = words[np.ix_(rows, telling)] * np.log(1 / np.maximum(hit[telling], 1e-9))
+    size = np.sqrt((x * x).sum(1))
+    rows, x = rows[size > 0], x[size > 0] / size[size > 0][:, None]
+    if not len(rows):
+        return out
+    centre = [x.mean(0) / max(1e-9, np.linalg.norm(x.mean(0)))]
+    while len(centre) < themes + 1:
+        centre.append(x[int((x @ np.stack(centre).T).max(1).argmin())])
+    c = np.stack(centre[1:])
+    for _ in range(rounds):
+        own = (x @ c.T).argmax(1)
+        c = np.stack([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(themes)])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    out[rows] = (x @ c.T).argmax(1)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, themes: int = THEMES, sample: int = SAMPLE) -> list[Linear]:
     """Fit on at most ``sample`` labelled rows outside the held-out third.
 
-    A toxic text is of a category if it holds one of its terms. The sample's ids, at most
-    ``sample`` rows, are broadcast; its word buckets go to the driver.
+    Spark counts how often each bucket stands in toxic and in other rows; the driver sees the
+    WORDS buckets that chi-square ranks first, and for each sampled row which of those it has.
     """
-    chosen = (
-        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
-        .limit(sample)
-    )
-    few = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = few.select("doc_id", "toxic", word_buckets("text").alias("words")).limit(2 * sample).toPandas().sort_values(["doc_id", "toxic"], kind="stable", ignore_index=True)
-    n = len(got)
-    sizes = [len(w) for w in got["words"]]
-    rows = np.repeat(np.arange(n), sizes)
-    cols = np.concatenate([np.asarray(w, np.int64) for w in got["words"]]) if n else np.zeros(0, np.int64)
-    toxic = got["toxic"].to_numpy(float)
-    y = []
-    for words in terms.values():
-        has = np.bincount(rows, weights=np.isin(cols, [bucket(w.encode()) for w in words]), minlength=n) > 0
-        y.append(toxic * has)
-    return fit_chain(rows, cols, np.column_stack([*y, toxic]))
+    few = labelled(docs, labels, "toxic", sample)
+    held = materialize(few.select("doc_id", "toxic", word_buckets("text").alias("words")))
+    n, bad = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    seen = held.select("toxic", F.explode("words").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("seen"), F.sum("toxic").alias("hit")).filter("seen >= 3")
+    expect = F.col("seen") * F.lit(bad / max(n, 1))
+    chi = (F.col("hit") - expect) ** 2 / F.greatest(expect * (1 - F.col("seen") / F.lit(max(n, 1))), F.lit(1e-9))
+    names = sorted(r["bucket"] for r in seen.orderBy(chi.desc(), "bucket").limit(WORDS).collect()) if 0 < bad < n else []
+    got = held.select("doc_id", "toxic", F.array_intersect("words", F.lit(names).cast("array<int>")).alias("words")).toArrow().sort_by("doc_id")
+    discard(held)
+    lists = got.column("words").combine_chunks()
+    owner = np.repeat(np.arange(n), np.asarray(lists.value_lengths()))
+    words = np.zeros((n, len(names)), np.float32)
+    words[owner, np.searchsorted(names, np.asarray(lists.flatten()))] = 1
+    toxic = np.asarray(got.column("toxic"), float)
+    theme = themes_of(words, toxic, themes)
+    return fit_chain(words, np.column_stack([*[theme == k for k in range(themes)], toxic]).astype(float), names)
 
 
 def _scorer(chain: list[Linear]):
@@ -162,7 +189,7 @@ def _scorer(chain: list[Linear]):
                     own = known.get(w)
                     if own is None:
                         own = tuple(b for b in buckets(w) if b in table)
-                        if len(known) > 300_000:
+                        if len(known) >= REMEMBERED:
                             known.clear()
                         known[w] = own
                     found.update(own)
@@ -181,15 +208,16 @@ def _scorer(chain: list[Linear]):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, terms: dict[str, list[str]] = TERMS, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, p_<category> in the chain's order, predicted (1 if p_toxic >= 0.5).
+def score(docs: DataFrame, labels: DataFrame, themes: int = THEMES, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, p_theme_1, ..., p_toxic in the chain's order, predicted (1 if p_toxic >= 0.5).
 
     One row for each input row, repeated ones included. Null and empty texts score as texts
-    without words; a row without an id is not held out. Other columns are ignored; an empty
-    table gives no rows.
+    without words; a row without an id is not held out. Labels that are null or of no
+    document are left out; a doc_id with both labels counts as toxic. Other columns are
+    ignored; an empty table gives no rows.
     """
-    chain = fit(docs, labels, terms, sample)
-    names = [*terms, "toxic"]
+    chain = fit(docs, labels, themes, sample)
+    names = [*(f"theme_{k}" for k in range(1, themes + 1)), "toxic"]
     schema = "doc_id bigint, " + ", ".join(f"p{k} double" for k in range(len(names)))
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scorer(chain), schema)
     renamed: list[Column] = [F.col(f"p{k}").alias(f"p_{c}") for k, c in enumerate(names)]

@@ -4,51 +4,79 @@ import numpy as np
 
 from ledgermill.llm import toxicity
 
+KINDS = (["vrakor", "smeltik", "drozz"], ["phlumbering", "yirrowgate", "oksu"])
 
-def make(spark, n=1500):
+
+def make(spark, n=1800):
     rng = np.random.default_rng(6)
     plain = ["sa", "rethi", "onde", "that", "lurem", "ipsa", "vento", "mara", "été"]
-    bad = [w for x in toxicity.TERMS.values() for w in x] + ["réeuxpal", "réeuxmen"]
-    docs, labels = [], []
+    docs, labels, kinds = [], [], []
     for i in range(n):
         words = list(rng.choice(plain, int(rng.integers(5, 60))))
-        toxic = int(rng.random() < 0.2)
-        for w in rng.choice(bad, 3 * toxic):
+        kind = int(rng.integers(2)) if rng.random() < 0.25 else -1
+        for w in rng.choice(KINDS[kind], 3) if kind >= 0 else ():
             words.insert(int(rng.integers(len(words))), w.upper() if i % 3 else w + "!")
         docs.append((i, " ".join(words), "s", 0.1))
-        labels.append((i, 1, toxic))
-    return spark.createDataFrame(docs, "doc_id bigint, text string, words string, p_toxic double"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), labels
+        labels.append((i, 1, int(kind >= 0)))
+        kinds.append(kind)
+    return spark.createDataFrame(docs, "doc_id bigint, text string, words string, p_toxic double"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), kinds
 
 
-def test_held_out_recall_and_precision(spark):
-    docs, labels, rows = make(spark)
+def test_every_link_of_the_chain_holds_on_the_held_out_third(spark):
+    docs, labels, kinds = make(spark)
     got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
-    truth = {i: t for i, _, t in rows}
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
     held = [i for i in got if got[i].held_out]
-    assert np.mean([got[i].predicted for i in held if truth[i]]) > 0.95
-    assert np.mean([got[i].predicted for i in held if not truth[i]]) < 0.02
+    truth = np.array([kinds[i] for i in held])
+    first, second, toxic = (np.array([getattr(got[i], c) >= 0.5 for i in held]) for c in ("p_theme_1", "p_theme_2", "p_toxic"))
+    if (first & (truth == 0)).sum() < (first & (truth == 1)).sum():
+        first, second = second, first
+    for said, true in ((first, truth == 0), (second, truth == 1), (toxic, truth >= 0)):
+        assert (said & true).sum() > 0.95 * true.sum() and (said & true).sum() > 0.95 * said.sum()
+    assert [got[i].predicted for i in held] == toxic.astype(int).tolist()
+
 
+def test_toxic_rows_of_the_tables(spark):
+    """Held-out recall and precision on the given tables."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, labels).filter("held_out").join(labels, "doc_id").selectExpr("sum(predicted * toxic) AS hit", "sum(predicted) AS said", "sum(toxic) AS true").first()
+    assert got.true > 50 and got.hit > 0.8 * got.true and got.hit > 0.9 * got.said
 
-def test_chain_uses_out_of_fold_predictions():
+
+def test_earlier_probabilities_win_where_words_alone_cannot():
+    """The last label is the exclusive-or of two words: linear only beside the earlier label, both words together."""
     rng = np.random.default_rng(1)
-    n = 400
-    y = np.column_stack([(rng.random(n) < 0.3), np.zeros(n)]).astype(float)
-    y[:, 1] = y[:, 0]
-    rows, cols = np.arange(n), rng.integers(0, 10_000, n)
-    chain = toxicity.fit_chain(rows, cols, y)
-    assert len(chain) == 2 and len(chain[1].earlier) == 1
-    cols = np.where(y[:, 0] == 1, 5, 6)
-    chain = toxicity.fit_chain(rows, cols, y)
-    p = toxicity.apply_linear(chain[0], rows, cols, n, np.zeros((n, 0)))
-    q = toxicity.apply_linear(chain[1], rows, cols, n, p[:, None])
-    assert ((q > 0.5) == (y[:, 1] == 1)).all()
+    words = (rng.random((3000, 2)) < 0.5).astype(np.float32)
+    y = np.column_stack([words.all(1), words.sum(1) == 1]).astype(float)
+    said = {}
+    for chained in (True, False):
+        chain = toxicity.fit_chain(words[:2000], y[:2000], [11, 22], chained=chained)
+        assert [len(m.earlier) for m in chain] == ([0, 1] if chained else [0, 0])
+        said[chained] = ((toxicity.apply_chain(chain, words[2000:], [11, 22])[:, 1] > 0.5) == y[2000:, 1]).mean()
+    assert said[True] > 0.95 and said[False] < 0.8
+
+
+def test_earlier_probabilities_are_out_of_fold():
+    """A label that is noise: told in-fold, the next model would lean on it; out-of-fold it can't."""
+    rng = np.random.default_rng(2)
+    words = np.eye(300, dtype=np.float32)
+    noise = (rng.random(300) < 0.5).astype(float)
+    chain = toxicity.fit_chain(words, np.column_stack([noise, noise]), list(range(300)))
+    assert chain[1].earlier[0] < 1
 
 
 def test_degenerate_inputs(spark):
-    docs, labels, _ = make(spark, 40)
-    assert toxicity.score(docs, labels.limit(0)).count() == 40
+    docs, labels, _ = make(spark, 60)
+    assert toxicity.score(docs, labels.limit(0)).count() == 60
     assert toxicity.score(docs.limit(0), labels).count() == 0
-    odd = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "idiot " * 50_000)], "doc_id bigint, text string")
+    odd = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "drozz " * 50_000)], "doc_id bigint, text string")
     rows = toxicity.score(odd, labels).collect()
     assert len(rows) == 4 and all(0 <= r.p_toxic <= 1 for r in rows)
+
+
+def test_null_and_conflicting_labels(spark):
+    docs, labels, _ = make(spark)
+    want = sorted((r.doc_id, r.p_toxic) for r in toxicity.score(docs, labels).collect())
+    more = labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, 1, None), (999_999, 1, 1)], labels.schema))
+    more = more.unionByName(labels.filter("toxic = 1").selectExpr("doc_id", "quality", "CAST(0 AS INT) AS toxic"))
+    assert sorted((r.doc_id, r.p_toxic) for r in toxicity.score(docs, more).collect()) == want
