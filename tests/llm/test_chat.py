@@ -48,3 +48,23 @@ def test_empty_and_native(spark):
     out = chat.format_chats(frame)
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_turns_that_share_a_number_are_split_and_keep_their_order(spark):
+    lines = [("user" if k % 3 else "assistant", f"line {k}") for k in range(200)]
+    hashed = spark.createDataFrame(lines, "role string, text string").selectExpr("role", "text", "xxhash64(role, text) AS h").orderBy("h").collect()
+    inner = [(r.role, r.text) for r in hashed]
+    data = [(1, 7, r, x, 0) for r, x in inner] + [(2, 7, r, x, 0) for r, x in inner[:120]]
+    data = [(1, 3, "system", "first", 0), (2, 3, "system", "first", 0), *data, (1, 9, "user", "last", 0)]
+    want = [("system", "first"), *inner, ("user", "last")]
+    for crowd in (chat.CROWD, 20):
+        got = sorted(chat.format_chats(spark.createDataFrame(data, SCHEMA), bucket=16, crowd=crowd).collect(), key=lambda r: r.part)
+        assert {r.conv_id for r in got} == {1} and {r.n_turns for r in got} == {202}
+        assert [r.text.count("<|end|>") for r in got] == [16] * 12 + [10]
+        assert "".join(r.text for r in got) == "".join(f"<|{r}|>\n{x}\n<|end|>\n" for r, x in want)
+
+
+def test_very_long_text(spark):
+    data = [(1, 0, "user", "long " * 400_000, 0), (1, 1, "assistant", "short", 0), (2, 0, "user", "long " * 400_000, 0)]
+    got = chat.format_chats(spark.createDataFrame(data, SCHEMA)).collect()
+    assert [(r.conv_id, r.n_turns) for r in got] == [(1, 2)] and len(got[0].text) > 2_000_000
