@@ -21,25 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a block; slots of a period for each source and at least; most sources.
-BLOCK, PER_SOURCE, PERIOD, SOURCES = 1 << 16, 16, 1000, 10_000
-#: Documents of a (source, bucket) on average, within which sizes are summed up in one task.
+#: Bytes of a block; most sources.
+BLOCK, SOURCES = 1 << 16, 10_000
+#: Documents of a (source, bucket) on average at most, within which sizes are summed up in one task.
 BUCKET = 4096
 #: Slots of the schedule that are held at once; blocks up to which the schedule is broadcast.
 CHUNK, BROADCAST = 1 << 16, 1 << 17
 
 
-def shares(weights: Mapping[str, float]) -> tuple[dict[str, int], int]:
-    """Whole slots of a period for each source, at least one, and the period: rounded, so not for schedule()."""
-    total = sum(weights.values())
-    period = max(PERIOD, PER_SOURCE * len(weights))
-    out = {s: max(1, int(period * w / total)) for s, w in weights.items()}
-    left = sorted(weights, key=lambda s: (out[s] - period * weights[s] / total, s))
-    for s in left[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    return out, sum(out.values())
-
-
 def edf(share: Mapping[str, int], period: int) -> Iterator[str]:
     """The source of each slot, without end, by earliest deadline among released blocks."""
     waiting = [(0, s, 0) for s in sorted(share)]
@@ -58,14 +47,6 @@ def edf(share: Mapping[str, int], period: int) -> Iterator[str]:
         t += 1
 
 
-def edf_period(share: Mapping[str, int], period: int) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period."""
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for t, s in zip(range(period), edf(share, period)):
-        slots[s].append(t)
-    return slots
-
-
 def whole(weights: Mapping[str, float]) -> tuple[dict[str, int], int]:
     """The weights as whole numbers in exactly their proportions, and their sum."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -113,48 +94,61 @@ def _schedule(blocks: Mapping[str, int], weights: Mapping[str, float]):
     return run
 
 
+def prefix(columns: list[str]) -> str:
+    """What the schedule's own columns start with: "mix_", with more underscores where the input has such names."""
+    out = "mix_"
+    while any(c.startswith(out) for c in columns):
+        out += "_"
+    return out
+
+
 def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, bucket: int = BUCKET, power: float = 1.0) -> DataFrame:
     """The documents with mix_source, mix_bytes, mix_start, mix_block and mix_slot.
 
-    mix_start is a document's place in its source's stream of bytes, whose order is a hash's;
-    mix_block is the block that it starts in and mix_slot the block's slot in the mixture. All
-    rows stay. ``weights`` names target weights; without them, or for sources they don't name,
-    a source's share of bytes to the given power is its weight. A null source counts as the empty name; null
-    and empty texts, as one byte; repeated rows take a place each; rows without an id are
-    placed by their text. Sources are at most SOURCES, which bounds what the driver holds.
+    mix_start is a document's place in its source's stream of bytes, whose order is a hash's
+    of id and text; mix_block is the block that it starts in and mix_slot the block's slot in
+    the mixture. All rows stay. ``weights`` names target weights; without them, or for sources
+    they don't name, a source's share of bytes to the given power is its weight: power one
+    follows the shares, power zero draws all sources alike until they run dry. A null source
+    counts as the empty name; null and empty texts, as one byte; repeated rows take a place
+    each; rows without an id are placed by their text. Where the input has columns that start
+    with mix_, the new ones take prefix() instead. A weight that is not above zero, or more than
+    SOURCES sources (which bounds what the driver holds), raises ValueError.
     """
-    spark = docs.sparkSession
-    taken = [c for c in docs.columns if c.startswith("mix_")]
-    if taken:
-        raise ValueError(f"columns {taken} clash with the schedule's own")
-    size = F.greatest(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(1)), F.lit(1)).cast("bigint")
-    rows = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("mix_bytes", size)
-    rows = rows.withColumn("mix_key", F.coalesce(F.xxhash64("doc_id"), F.xxhash64("text")))
-    totals = rows.groupBy("mix_source").agg(F.sum("mix_bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()
+    spark, p = docs.sparkSession, prefix(docs.columns)
+    source, size, key, buck, total, base, start, blk, slot = (p + x for x in ("source", "bytes", "key", "bucket", "sum", "base", "start", "block", "slot"))
+    n_bytes = F.greatest(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(1)), F.lit(1)).cast("bigint")
+    rows = docs.withColumn(source, F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn(size, n_bytes)
+    rows = rows.withColumn(key, F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
+    totals = rows.groupBy(source).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).limit(SOURCES + 1).collect()
     if len(totals) > SOURCES:
         raise ValueError(f"over {SOURCES} sources")
     if not totals:
-        return rows.drop("mix_key").withColumns({c: F.lit(0).cast("bigint") for c in ("mix_start", "mix_block", "mix_slot")})
+        return rows.drop(key).withColumns({c: F.lit(0).cast("bigint") for c in (start, blk, slot)})
     every = sum(r["bytes"] for r in totals)
-    target = {r["mix_source"]: float((weights or {}).get(r["mix_source"], (r["bytes"] / every) ** power)) for r in totals}
+    target = {r[source]: float((weights or {}).get(r[source], (r["bytes"] / every) ** power)) for r in totals}
     if min(target.values()) <= 0:
         raise ValueError("weights must be positive")
-    blocks = {r["mix_source"]: -(-r["bytes"] // block) for r in totals}
-    buckets = max(1, max(r["n"] for r in totals) // bucket)
-    rows = rows.withColumn("mix_bucket", F.pmod(F.xxhash64("mix_key", F.lit(1)), F.lit(buckets)))
-    sums = rows.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_bytes").alias("mix_sum"))
-    before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("mix_source", "mix_bucket", F.coalesce(F.sum("mix_sum").over(before), F.lit(0)).alias("mix_base"))
-    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "doc_id", "mix_bytes").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(base, ["mix_source", "mix_bucket"]).withColumn("mix_start", F.col("mix_base") + F.coalesce(F.sum("mix_bytes").over(inside), F.lit(0)))
-    placed = placed.withColumn("mix_block", F.floor(F.col("mix_start") / F.lit(block)).cast("bigint"))
-    steps = spark.range(0, 1, 1, 1).mapInArrow(_schedule(blocks, target), "mix_source string, mix_block bigint, mix_slot bigint")
+    blocks = {r[source]: -(-r["bytes"] // block) for r in totals}
+    # Several buckets for each task, so that those of a hot source spread evenly.
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), max(r["n"] for r in totals) // bucket)
+    rows = rows.withColumn(buck, F.pmod(F.xxhash64(key, F.lit(1)), F.lit(buckets)))
+    sums = rows.groupBy(source, buck).agg(F.sum(size).alias(total))
+    before = Window.partitionBy(source).orderBy(buck).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(source, buck, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy(source, buck).orderBy(key, "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(bases, [source, buck]).withColumn(start, F.col(base) + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    placed = placed.withColumn(blk, F.floor(F.col(start) / F.lit(block)).cast("bigint"))
+    steps = spark.range(0, 1, 1, 1).mapInArrow(_schedule(blocks, target), "source string, block bigint, slot bigint").toDF(source, blk, slot)
     steps = F.broadcast(steps) if sum(blocks.values()) <= BROADCAST else steps
-    return placed.join(steps, ["mix_source", "mix_block"]).select(*docs.columns, "mix_source", "mix_bytes", "mix_start", "mix_block", "mix_slot")
+    return placed.join(steps, [source, blk]).select(*docs.columns, source, size, start, blk, slot)
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, partitions: int | None = None, power: float = 1.0) -> DataFrame:
-    """All documents with their columns, in the order of the mixture: range-partitioned by slot."""
-    placed = schedule(docs, weights, block, power=power)
+    """All documents with their columns, in the order of the mixture: range-partitioned by slot.
+
+    Nulls, repeats and clashing names are as in schedule(); an empty table stays empty.
+    """
+    placed, p = schedule(docs, weights, block, power=power), prefix(docs.columns)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(n, "mix_slot", "mix_start").sortWithinPartitions("mix_slot", "mix_start").select(docs.columns)
+    return placed.repartitionByRange(n, f"{p}slot", f"{p}start").sortWithinPartitions(f"{p}slot", f"{p}start").select(docs.columns)

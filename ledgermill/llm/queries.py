@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from . import chat, htmlcut, mixing, neardup, packing, quality, simhash, suffixdup, toxicity, vptree
 from .common import read
 
+#: Power of a source's share of bytes that is its target weight: zero, so all have the same.
+EQUAL = 0.0
+
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlcut.extract(read(spark, sf_dir, "pages"))
@@ -35,7 +38,6 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries are the rows whose vec_id is divisible by 100, searched among all rows."""
     return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -50,8 +52,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's block and slot; targets are the sources' own shares of bytes."""
-    rows = mixing.schedule(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    """Every document's block and slot; all sources have the same target weight, EQUAL, until they run dry."""
+    rows = mixing.schedule(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), power=EQUAL)
     return rows.select("doc_id", "source", F.col("mix_bytes").alias("n_bytes"), F.col("mix_start").alias("source_start"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"))
 
 

@@ -1,20 +1,10 @@
+import math
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 
-from ledgermill.llm import mixing
-
-
-def test_period_keeps_every_source_within_one_block():
-    rng = np.random.default_rng(0)
-    for n in (1, 2, 7, 40):
-        weights = {f"s{i}": float(w) for i, w in enumerate(rng.random(n) + 0.01)}
-        share, period = mixing.shares(weights)
-        slots = mixing.edf_period(share, period)
-        assert sorted(t for x in slots.values() for t in x) == list(range(period))
-        for s, x in slots.items():
-            got = np.searchsorted(x, np.arange(period + 1))
-            assert np.abs(got - np.arange(period + 1) * share[s] / period).max() < 1
+from ledgermill.llm import mixing, queries
 
 
 def test_phases_schedule_every_block_once():
@@ -35,10 +25,28 @@ def frame(spark, n=600):
     return spark.createDataFrame(rows, "doc_id bigint, text string, source string, slot int"), rows
 
 
+def slow_slots(blocks, weights):
+    """Slot by slot: of the released blocks the one of the earliest deadline; weights of what is left after a source runs dry."""
+    left, out, t = dict(blocks), {}, 0
+    while any(left.values()):
+        live = sorted(s for s in left if left[s])
+        total = sum(Fraction(weights[s]) for s in live)
+        share = {s: Fraction(weights[s]) / total for s in live}
+        taken, first = dict.fromkeys(live, 0), t
+        while all(left[s] for s in live):
+            ready = [(math.ceil((taken[s] + 1) / share[s]), s) for s in live if math.floor(taken[s] / share[s]) <= t - first]
+            s = min(ready)[1]
+            out[t] = (s, blocks[s] - left[s])
+            taken[s], left[s], t = taken[s] + 1, left[s] - 1, t + 1
+            for x in live:
+                assert abs(taken[x] - share[x] * (t - first)) < 1
+    return out
+
+
 def test_schedule_is_whole_and_follows_the_targets(spark):
     docs, rows = frame(spark)
-    for weights in (None, {"s0": 0.5, "hot": 0.1}):
-        got = mixing.schedule(docs, weights, block=256, bucket=20).collect()
+    for weights, power in ((None, 1.0), (None, 0.0), ({"s0": 0.5, "hot": 0.1}, 1.0)):
+        got = mixing.schedule(docs, weights, block=256, bucket=20, power=power).collect()
         assert len(got) == len(rows)
         streams = {}
         for r in got:
@@ -51,13 +59,38 @@ def test_schedule_is_whole_and_follows_the_targets(spark):
                 at += r.mix_bytes
                 assert slots.setdefault(r.mix_slot, (s, r.mix_block)) == (s, r.mix_block)
         total = {s: sum(r.mix_bytes for r in x) for s, x in streams.items()}
-        want = {}
-        for p in mixing.phases({s: -(-b // 256) for s, b in total.items()}, {s: (weights or {}).get(s, b / sum(total.values())) for s, b in total.items()}):
-            for j in range(p["n"]):
-                want[p["start"] + j // p["share"] * p["period"] + p["slots"][j % p["share"]]] = (p["source"], p["first"] + j)
+        want = slow_slots({s: -(-b // 256) for s, b in total.items()}, {s: (weights or {}).get(s, (b / sum(total.values())) ** power) for s, b in total.items()})
         assert all(want[t] == x for t, x in slots.items())
 
 
+def test_sources_of_the_query_run_dry_one_after_the_other(spark):
+    """With equal targets each source has the same number of blocks, less than one apart, until the smallest runs dry."""
+    got = queries.op10_mixing(spark, "/root/testdata/sf0.1").collect()
+    last, size = {}, {}
+    for r in got:
+        last[r.source] = max(last.get(r.source, 0), r.slot)
+        size[r.source] = max(size.get(r.source, 0), r.block + 1)
+    least, n = min(size.values()), len(size)
+    for r in got:
+        if r.block < least:
+            assert r.block - 1 < (r.slot + 1) / n and r.block + 1 > r.slot / n
+    assert len(set(size.values())) > 3 and size[max(last, key=last.get)] >= max(size.values()) - 2
+
+
+def test_rows_without_an_id_are_placed_by_their_text(spark):
+    rows = [(None, f"text {i}", "a") for i in range(300)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), block=64, bucket=10).collect()
+    again = mixing.schedule(spark.createDataFrame(rows[::-1], "doc_id bigint, text string, source string"), block=64, bucket=10).collect()
+    assert {r.text: r.mix_start for r in got} == {r.text: r.mix_start for r in again} and len({r.mix_start for r in got}) == 300
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 0.5, 3), (2, "b", "y", 0.25, 4)], "doc_id bigint, text string, source string, mix_ratio double, mix_slot int")
+    got = mixing.schedule(docs)
+    assert got.columns == [*docs.columns, *(f"mix__{x}" for x in ("source", "bytes", "start", "block", "slot"))]
+    assert sorted(map(tuple, mixing.mixed(docs).collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_mixed_keeps_columns_and_rows(spark):
     docs, rows = frame(spark, 50)
     out = mixing.mixed(docs, partitions=3)
