@@ -25,9 +25,9 @@ from .common import discard, materialize, release, texts_of
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of a group on average, islands of a group, epochs, and an island's population and crossovers in an epoch.
-GROUP, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 8192, 2, 2, 4, 8
+GROUP, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 8192, 2, 2, 6, 40
 #: Words whose ids a Python worker remembers, at most, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 # How this tokenizer splits a normalised word; letters that normalising leaves as they are.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")

@@ -84,3 +84,36 @@ def test_groups_are_contiguous_ranges_of_an_order(spark):
     parts = [ranges[g] for g in sorted(ranges)]
     assert len(parts) > 5 and all(max(a) <= min(b) for a, b in zip(parts, parts[1:]))
     assert max(map(len, parts)) <= min(map(len, parts)) + 1
+
+
+def hard_lengths(n=2700, capacity=2048):
+    """Lengths that fill n / 3 sequences exactly, three in each: largest first, best fit misses that by far."""
+    rng = np.random.default_rng(n)
+    a = rng.integers(capacity // 4, capacity // 2, n // 3)
+    b = rng.integers(capacity // 4, np.minimum(capacity // 2, capacity - a - capacity // 5))
+    return np.concatenate([a, b, capacity - a - b])
+
+
+def test_crossover_gains_bins_where_best_fit_misses_the_bound():
+    length = hard_lengths()
+    plain = packing.best_fit(np.full(len(length), -1), length, np.argsort(-length, kind="stable"), 2048)
+    best = packing.evolve(length, [], 2048, packing.POPULATION, packing.CROSSOVERS, np.random.default_rng(1))
+    assert packing.worth(best, length, 2048)[0] <= packing.worth(plain, length, 2048)[0] - 4
+
+
+def test_islands_and_migration_gain_bins_on_documents(spark):
+    rows = [(i, "a " * (n - 1), "s") for i, n in enumerate(hard_lengths(120, 256).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    count = lambda **kw: packing.pack(docs, capacity=256, **kw).select("sequence_id").distinct().count()
+    plain = count(islands=1, epochs=1, population=1, crossovers=0)
+    alone = count(islands=1, epochs=1)
+    assert count(islands=3, epochs=3) <= alone <= plain - 1
+
+
+def test_an_elite_of_the_neighbour_island_is_taken_in():
+    """An island without time of its own ends with the better packing that has moved in."""
+    length = hard_lengths(120)
+    good = packing.evolve(length, [], 2048, 8, 200, np.random.default_rng(5))
+    got = packing.evolve(length, [good], 2048, 2, 0, np.random.default_rng(6))
+    assert packing.worth(got, length, 2048) == packing.worth(good, length, 2048)
+    assert packing.worth(packing.evolve(length, [], 2048, 2, 0, np.random.default_rng(6)), length, 2048) > packing.worth(good, length, 2048)
