@@ -19,6 +19,8 @@ SEED = 42
 DIRECT = 1024
 #: Buckets (two longs each) that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Fingerprints, with 64 variants each, that one task spreads on average.
+TASK = 16_384
 
 
 def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -86,7 +88,8 @@ def links(distinct: DataFrame, direct: int = DIRECT) -> DataFrame:
     the task. Buckets of over ``direct`` members are not compared pairwise: their members
     get all variants with two of 64 bits deleted, which hold at most four fingerprints each.
     """
-    spread = distinct.select("fp", F.explode(_variants()).alias("key"))
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.count() // TASK + 1)
+    spread = distinct.repartition(tasks, "fp").select("fp", F.explode(_variants()).alias("key"))
     buckets = materialize(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     pairs = buckets.filter("n = 2").filter(near).select("a", "b")
