@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,6 +117,12 @@ def render_amount(value: Column, locale: str = "tr", refund_style: str = "minus"
     return F.when(value < 0, marked).otherwise(size)
 
 
+def odd_characters(rows: DataFrame, column: str, beyond: int = 0x24F, n: int = 8) -> DataFrame:
+    """beyond, c, n: the n commonest characters with a code point over ``beyond``."""
+    letters = rows.select(F.explode(F.regexp_extract_all(column, F.lit(f"[^\\x{{0}}-\\x{{{beyond:x}}}]"), F.lit(0))).alias("c"))
+    return letters.groupBy(F.lit(beyond).alias("beyond"), "c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(n)
+
+
 def shape(text: Column) -> Column:
     """Letters as A and digits as 9."""
     return F.regexp_replace(F.regexp_replace(text, r"\p{L}", "A"), r"\p{N}", "9")

@@ -28,15 +28,26 @@ def spend_by(tx: DataFrame, by: list[str], key: str) -> DataFrame:
 
 
 def ranked(totals: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Adds ``rank`` by falling total, ties by key.
-
-    Without ``by`` the totals, one row for each key, are ranked together.
-    """
+    """Adds ``rank`` by falling total within an entity, ties by key."""
     return totals.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("total"), key)))
 
 
+def top_k(totals: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
+    """The k largest totals with their rank; without ``by`` only those k rows meet in one task."""
+    if by:
+        return ranked(totals, by, key).filter(F.col("rank") <= k)
+    few = totals.orderBy(F.desc("total"), key).limit(k)
+    return few.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), key)))
+
+
 def top_n_with_other(totals: DataFrame, by: list[str], key: str, n: int = 7) -> DataFrame:
     """The n largest totals and one row for the rest, last and named after their number."""
+    if not by:
+        top = top_k(totals, by, key, n)
+        sums = lambda rows, tag: rows.agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.coalesce(F.sum("total"), F.lit(0)).alias(f"t_{tag}"))
+        rest = sums(totals, "all").join(F.broadcast(sums(top, "top")), F.lit(True)).filter("n_all > n_top")
+        name = F.concat(F.lit(OTHER + " ("), F.col("n_all") - F.col("n_top"), F.lit(")")).alias(key)
+        return top.select("rank", key, "total").unionByName(rest.select(F.lit(n + 1).alias("rank"), name, (F.col("t_all") - F.col("t_top")).cast(WIDE).alias("total")))
     every = Window.partitionBy(*by)
     rows = ranked(totals, by, key).withColumn("_left", F.greatest(F.count(F.lit(1)).over(every) - n, F.lit(0)))
     label = F.when(F.col("rank") <= n, F.col(key)).otherwise(F.concat(F.lit(OTHER + " ("), F.col("_left"), F.lit(")")))
@@ -50,9 +61,19 @@ def colour_slots(top: DataFrame, key: str, n: int = 7) -> DataFrame:
 
 def top_merchants(tx: DataFrame, by: list[str], n: int) -> DataFrame:
     spent = spend_by(tx, by, "clean_description")
+    return top_k(spent, by, "clean_description", n).drop("rank")
+
+
+def with_aggregates(rows: DataFrame, by: list[str], **values: Column) -> DataFrame:
+    """Adds each entity's aggregates to its rows; null is an entity, and without ``by`` all rows are one."""
+    keys = [f"_by{k}" for k in range(len(by))]
+    sums = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(*[v.alias(n) for n, v in values.items()])
     if not by:
-        return spent.orderBy(F.desc("total"), "clean_description").limit(n)
-    return ranked(spent, by, "clean_description").filter(F.col("rank") <= n).drop("rank")
+        return rows.join(F.broadcast(sums), F.lit(True))
+    same = F.lit(True)
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return rows.join(sums, same).drop(*keys)
 
 
 def relative_frequency(df: DataFrame, by: list[str], key: str) -> DataFrame:

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import finance
 from ..functions.text import clean_merchant, fold, tl
 from ..schema import copilot_refund, copilot_spend, ensure_columns
 from . import aggregates, obligations
@@ -38,8 +39,11 @@ INTENTS = [
     ("top_merchants", ["en cok", "en fazla", "nereye", "hangi magaza", "hangi isyeri", "lider", "nerelere"]),
     ("summary", ["ozet", "toplam", "genel", "borc", "asgari", "ekstre", "durum"]),
 ]
+# Words that name no merchant; the start of a word.
 STOP_WORDS = ["market", "magaza", "magazacilik", "ticaret", "kahve", "gida", "istanbul", "ankara", "izmir", "sanayi", "perakende", "hizmetleri", "elektronik", "giyim", "<num>", "<date>", "<cur>"]
 START = r"(?U)(?<![^\W\d_])"
+# The part of a category that saving cuts, the fund it goes to, stems of categories that can't be cut.
+CUT, FUND, BOUND = 0.2, "Para Piyasası / Mevduat Fonu", "finans|vergi|fatura|diger"
 UNSURE = "Bu soruyu anlayamadım."
 NO_HISTORY = "Bu soruyu yanıtlayamıyorum: yalnızca yüklenen dönem görülüyor."
 
@@ -93,7 +97,7 @@ def in_category(category_id: int) -> Column:
 
 
 def tool_summary(tx: DataFrame, by: list[str]) -> DataFrame:
-    top = aggregates.ranked(aggregates.spend_by(tx.filter(copilot_spend()), by, "category"), by, "category").filter("rank <= 4")
+    top = aggregates.top_k(aggregates.spend_by(tx.filter(copilot_spend()), by, "category"), by, "category", 4)
     named = top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "category", "total"))), lambda x: F.struct(x["category"].alias("category"), x["total"].alias("amount"))).alias("top_categories"))
     return aggregates.summary(tx, by).join(named, by, "left") if by else aggregates.summary(tx, by).join(F.broadcast(named), F.lit(True), "left")
 
@@ -123,9 +127,25 @@ def tool_merchant_spend(tx: DataFrame, by: list[str], token: str) -> DataFrame:
 
 
 def tool_top_merchants(tx: DataFrame, by: list[str], n: int = 5) -> DataFrame:
-    return aggregates.ranked(aggregates.spend_by(tx.filter(copilot_spend()), by, "clean_description"), by, "clean_description").filter(F.col("rank") <= n)
+    return aggregates.top_k(aggregates.spend_by(tx.filter(copilot_spend()), by, "clean_description"), by, "clean_description", n)
 
 
+def tool_top_share(tx: DataFrame, by: list[str], n: int = 5) -> DataFrame:
+    """What each entity's n top merchants cover of its spend."""
+    covered = tool_top_merchants(tx, by, n).groupBy(*by).agg(aggregates.total(F.col("total")).alias("covered"))
+    every = tx.filter(copilot_spend()).groupBy(*by).agg(aggregates.total(F.col("amount")).alias("total"))
+    both = every.join(covered, by) if by else every.join(F.broadcast(covered), F.lit(True))
+    return both.withColumn("covered_pct", F.when(F.col("total") > 0, F.round(100 * F.col("covered").cast("double") / F.col("total").cast("double"), 1)).otherwise(F.lit(0.0)))
+
+
+def tool_savings(tx: DataFrame, by: list[str], years: int = 3) -> DataFrame:
+    """A part of each entity's largest free category, saved each month in the reference fund, in today's money."""
+    free = tx.filter(copilot_spend() & ~F.col("category_folded").rlike(BOUND))
+    top = aggregates.top_k(aggregates.spend_by(free, by, "category"), by, "category", 1)
+    plans = top.select(*by, "category", "total", F.round(F.col("total").cast("double") * CUT, 2).alias("saving"), F.lit(None).cast("double").alias("expense"))
+    got = finance.simulate(plans, years, returns={FUND: finance.RETURNS[FUND]})
+    return got.select(*by, "category", "total", F.col("saving").alias("monthly_saving"), "invested", "final_real")
+
 def tool_anomalies(tx: DataFrame) -> DataFrame:
     """Flagged rows; none where no detection has run."""
     return tx.filter("is_anomaly") if "is_anomaly" in tx.columns else tx.limit(0)
@@ -156,13 +176,19 @@ def render_items(rows: DataFrame, label: str, amount: str) -> DataFrame:
     return rows.withColumn("answer", F.concat(F.col(label), F.lit(": "), tl(F.col(amount))))
 
 
+def render_savings(rows: DataFrame) -> DataFrame:
+    parts = ["category", F.lit(": "), tl(F.col("total")), F.lit("; ayda "), tl(F.col("monthly_saving").cast("decimal(38,2)")), F.lit(" birikim, "), tl(F.col("invested").cast("decimal(38,2)")), F.lit(" anapara, bugünün parasıyla "), tl(F.col("final_real").cast("decimal(38,2)"))]
+    return rows.withColumn("answer", F.concat(*parts))
+
+
 def ask(tx: DataFrame, question: str, ties: list[str]) -> tuple[str, str]:
     """(intent, answer) for one entity's transactions; refuses what it has no data for."""
     spark = tx.sparkSession
     rows = normalise(tx)
     asked = route(spark.createDataFrame([(question,)], "question string"), merchant_tokens(rows.filter(copilot_spend()))).first()
     intent, none = asked["intent"], "kayıt yok"
-    lines = lambda df, k=20: "\n".join(r["answer"] for r in df.select("answer").limit(k).collect()) or none
+    # An answer to one person about one entity: every row of it, none left out.
+    lines = lambda df: "\n".join(r["answer"] for r in df.select("answer").collect()) or none
     if intent == "unknown":
         return intent, UNSURE
     if intent == "unsupported_temporal":
@@ -183,6 +209,4 @@ def ask(tx: DataFrame, question: str, ties: list[str]) -> tuple[str, str]:
         return intent, lines(render_items(tool_obligations(rows, [], ties), "description", "amount").orderBy("kind", "description"))
     if intent == "anomalies":
         return intent, lines(render_items(tool_anomalies(rows), "clean_description", "amount").orderBy("date", *ties))
-    free = rows.filter(copilot_spend() & ~F.col("category_folded").rlike("finans|vergi|fatura|diger"))
-    top = aggregates.ranked(aggregates.spend_by(free, [], "category"), [], "category").filter("rank = 1").withColumn("total", (F.col("total") * F.lit(0.2).cast("decimal(3,2)")).cast("decimal(38,2)"))
-    return intent, lines(render_items(top, "category", "total"))
+    return intent, lines(render_savings(tool_savings(rows, [])))

@@ -23,7 +23,8 @@ def char_wb_ngrams(word: Column, low: int = LOW, high: int = HIGH) -> Column:
 def terms(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     """row_id, term, tf over all words of the text."""
     words = rows.select(F.col(row_id).alias("row_id"), F.explode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("word"))
-    return words.select("row_id", F.explode(char_wb_ngrams(F.col("word"))).alias("term")).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = words.groupBy("row_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("row_id", "n", F.explode(char_wb_ngrams(F.col("word"))).alias("term")).groupBy("row_id", "term").agg(F.sum("n").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, documents: int, min_df: int = MIN_DF, size: int = VOCABULARY) -> DataFrame:

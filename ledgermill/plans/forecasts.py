@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import finance
 from ..operators import features, forecast, obligations
-from ..schema import read
+from ..schema import TX_SQL, read, tx_of
+from .transactions import _KNOWN, TIES, WIDE
 
 PRIORITY = ["o_orderpriority"]
 
 
 def _order_days(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "orders").select("o_orderpriority", F.col("o_orderdate").cast("date").alias("date"), "o_totalprice")
-    return obligations.complete_calendar(rows.filter(F.col("date") >= F.lit("1998-01-01")), PRIORITY, "date", "o_totalprice")
+    return obligations.complete_calendar(rows, PRIORITY, "date", "o_totalprice")
 
 
 def fc_calendar(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,6 +42,22 @@ def fc_selection(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.select_candidate(forecast.scores(forecast.fold_predictions(_order_days(spark, sf), PRIORITY, seasonal=False), PRIORITY), PRIORITY)
 
 
+def fc_selection_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The choice among all candidates, seasonal smoothing included."""
+    return forecast.select_candidate(forecast.scores(forecast.fold_predictions(_order_days(spark, sf), PRIORITY), PRIORITY), PRIORITY)
+
+
+def fc_expected_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Each category's forecast of free spend with what is committed in it."""
+    by = ["category"]
+    parts = obligations.components(tx_of(spark, sf), by)
+    days = obligations.complete_calendar(parts.filter("component = 'discretionary'").select(*by, "date", F.col("amount").cast("double").alias("amount")), by, "date", "amount")
+    totals = obligations.obligation_totals(obligations.known_obligations(parts, by, TIES), by)
+    got = forecast.with_obligations(forecast.forecast(days, by), totals, by)
+    whole = F.abs(F.col("total_expected") - F.col("committed") - F.col("discretionary")) < 0.01
+    return got.select(*by, "status", F.col("n_days").cast("bigint").alias("n_days"), F.round("committed", 2).alias("committed"), (whole & (F.col("total_lower") <= F.col("total_upper"))).alias("adds_up"))
+
+
 def fc_daily_band(spark: SparkSession, sf: str) -> DataFrame:
     got = forecast.residuals(_order_days(spark, sf), PRIORITY).groupBy(*PRIORITY).agg(F.expr("percentile(res_mean, array(0.025, 0.975))").alias("q"), F.avg("y").alias("m"))
     return got.select("o_orderpriority", F.round(F.greatest(F.lit(0.0), F.col("m") + F.col("q")[0]), 2).alias("lower"), F.round(F.col("m") + F.col("q")[1], 2).alias("upper"))
@@ -112,9 +129,8 @@ def ml_group_split(spark: SparkSession, sf: str) -> DataFrame:
 def ml_naive_bayes(spark: SparkSession, sf: str) -> DataFrame:
     """The language of every document by n-gram naive Bayes fitted on one side of a split."""
     docs = features.stratified_split(read(spark, sf, "documents").select("doc_id", "lang", F.lower("text").alias("text")), "lang", "doc_id")
-    words = F.concat_ws(" ", F.array_distinct(F.split("text", r"\s+")))
-    counts = features.terms(docs.withColumn("text", words), "doc_id", "text")
-    vocab = features.vocabulary(counts, docs.count(), size=2000)
+    counts = features.terms(docs, "doc_id", "text")
+    vocab = features.vocabulary(counts, docs.count())
     weights = features.tfidf(counts, vocab)
     train = docs.filter("not is_test").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("label"))
     coefs, intercepts = features.fit_naive_bayes(weights.join(train.select("row_id"), "row_id", "left_semi"), train)
@@ -132,12 +148,12 @@ def ml_word_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    fc_calendar, fc_weekday_mean, fc_folds, fc_scores, fc_selection, fc_daily_band, fc_forecast, fin_real_rate, fin_scenarios, fin_best_asset, ml_ngrams, ml_tfidf, ml_class_metrics, ml_calibration, ml_selective,
+    fc_calendar, fc_weekday_mean, fc_folds, fc_scores, fc_selection, fc_selection_all, fc_daily_band, fc_forecast, fc_expected_total, fin_real_rate, fin_scenarios, fin_best_asset, ml_ngrams, ml_tfidf, ml_class_metrics, ml_calibration, ml_selective,
     ml_group_split, ml_naive_bayes, ml_word_attribution,
 )}
 
 _DAYS = """
-o AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS s FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-01-01' GROUP BY 1, 2),
+o AS (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS s FROM orders GROUP BY 1, 2),
 e AS (SELECT o_orderpriority, unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS x FROM o GROUP BY 1),
 days AS (SELECT e.o_orderpriority, CAST(x AS DATE) AS day, coalesce(s, 0.0) AS y, row_number() OVER (PARTITION BY e.o_orderpriority ORDER BY x) - 1 AS t,
          count(*) OVER (PARTITION BY e.o_orderpriority) AS n FROM e LEFT JOIN o ON o.o_orderpriority = e.o_orderpriority AND o.d = CAST(x AS DATE))"""
@@ -184,6 +200,9 @@ ORACLE_SQL = {
     "fc_selection": f"WITH {_SCORES} SELECT o_orderpriority, candidate AS selected FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY daily_rmse, candidate) AS rn FROM sc WHERE folds = n_folds) WHERE rn = 1",
     "fc_daily_band": f"""WITH {_DAYS}, m AS (SELECT *, avg(y) OVER (PARTITION BY o_orderpriority) AS a FROM days)
       SELECT o_orderpriority, round(greatest(0.0, max(a) + quantile_cont(y - a, 0.025)), 2) AS lower, round(max(a) + quantile_cont(y - a, 0.975), 2) AS upper FROM m GROUP BY 1""",
+    "fc_expected_total": f"""WITH {TX_SQL}, {_KNOWN.replace("statement", "category")}, free AS (SELECT category, CAST(date_diff('day', min(date), max(date)) + 1 AS BIGINT) AS n_days FROM comp WHERE component = 'discretionary' GROUP BY 1),
+      t AS (SELECT category, round(CAST(CAST(sum(amount) AS {WIDE}) AS DOUBLE), 2) AS committed FROM due GROUP BY 1)
+      SELECT category, CASE WHEN n_days >= 14 THEN 'ok' ELSE 'insufficient_data' END AS status, n_days, coalesce(committed, 0.0) AS committed, CASE WHEN n_days >= 14 THEN true END AS adds_up FROM free LEFT JOIN t USING (category)""",
     "fin_real_rate": "SELECT c_custkey, round((1 + abs(c_acctbal) / 10000) / 1.3 - 1, 6) AS real, round(pow(1 + abs(c_acctbal) / 10000, 1.0 / 12) - 1, 8) AS monthly FROM customer",
     "fin_scenarios": f"""WITH a AS ({_ASSETS}) SELECT c_custkey, asset, round(c_acctbal * 36, 2) AS invested, {_annuity("c_acctbal", "pow(1 + r, 1.0 / 12)", 36)} AS final_nominal,
       {_annuity("c_acctbal", "pow((1 + r) / 1.3, 1.0 / 12)", 36)} AS final_real FROM customer, a WHERE c_acctbal > 0""",

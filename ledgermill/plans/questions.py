@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import copilot, redaction
 from ..schema import TX_SQL, read, tx_of
-from ..sources import synthetic
+from ..sources import storage, synthetic
 from ..streaming import ingest
 
 
@@ -59,14 +58,13 @@ def gen_statement_accounts(spark: SparkSession, sf: str) -> DataFrame:
 
 def gen_merchant_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Corrupted texts of the parts' names by type, a row for each line item."""
-    names = {r["p_type"]: r["names"] for r in read(spark, sf, "part").groupBy("p_type").agg(F.slice(F.array_sort(F.collect_set("p_name")), 1, 50).alias("names")).collect()}
-    return synthetic.merchant_texts(spark, names, read(spark, sf, "lineitem").count())
+    names = read(spark, sf, "part").select(F.col("p_type").alias("category"), F.col("p_name").alias("brand")).distinct()
+    return synthetic.merchant_texts(names, read(spark, sf, "lineitem").count())
 
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a stream: repeated ids dropped, hourly sums of each kind; then read back."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgermill-")
-    where = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = f"{storage.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     table = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     table.write.parquet(f"{where}/in")
     stream = spark.readStream.schema(table.schema).parquet(f"{where}/in")
@@ -76,7 +74,14 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("event_type", F.date_trunc("day", "ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (qa_route, qa_merchant_tokens, qa_top_merchants, qa_summary_text, pii_label_values, gen_national_ids, gen_statement_accounts, gen_merchant_texts, stream_windows)}
+def stream_spend(spark: SparkSession, sf: str) -> DataFrame:
+    """Six-hour windows that start every three hours, as the stream of events sums them up."""
+    table = read(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("decimal(18,4)").alias("value"))
+    got = ingest.spend_windows(table, "ts", "event_type", "value", "6 hours", "3 hours")
+    return got.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("total").cast("decimal(38,4)").alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (qa_route, qa_merchant_tokens, qa_top_merchants, qa_summary_text, pii_label_values, gen_national_ids, gen_statement_accounts, gen_merchant_texts, stream_windows, stream_spend)}
 
 _TL = "translate(format('{{:,.2f}}', CAST({} AS DOUBLE)), ',.', '.,') || ' TL'"
 _SPENT = "amount > 0 AND transaction_type NOT IN ('PAYMENT', 'POINT_REDEMPTION')"
@@ -95,5 +100,7 @@ ORACLE_SQL = {
     "gen_national_ids": "SELECT c_custkey AS id, true AS valid FROM customer",
     "gen_statement_accounts": """WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS s, CAST(o_custkey / 100 AS DECIMAL(18,2)) AS i FROM orders), l AS (SELECT *, CAST(round(i * CAST(0.15 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS levy FROM o)
       SELECT o_orderkey, levy AS kkdf, levy AS bsmv, CAST(s + i + levy + levy AS DECIMAL(18,2)) AS total_debt, CAST(round((s + i + levy + levy) * CAST(0.20 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS min_payment FROM l""",
+    "stream_spend": """WITH e AS (SELECT event_type, CAST(value AS DECIMAL(18,4)) AS value, unnest([time_bucket(INTERVAL 3 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 3 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01') - INTERVAL 3 HOUR]) AS start FROM events)
+      SELECT event_type, start, count(*) AS n, CAST(sum(value) AS DECIMAL(38,4)) AS total FROM e GROUP BY 1, 2""",
     "stream_windows": "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }

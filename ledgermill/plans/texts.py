@@ -38,8 +38,8 @@ def diag_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def diag_odd_characters(spark: SparkSession, sf: str) -> DataFrame:
-    letters = read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x{0}-\x{ff}]"), F.lit(0))).alias("c"))
-    return letters.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(8)
+    """The commonest characters beyond Latin ones, and beyond ASCII."""
+    return text.odd_characters(read(spark, sf, "documents"), "text").unionByName(text.odd_characters(read(spark, sf, "documents"), "text", 0x7F))
 
 
 def pii_luhn(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +57,12 @@ def pii_emails(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("email").alias("first_email"))
 
 
+def pii_email_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """E-mail addresses of each document, as the masking finds them."""
+    rows = read(spark, sf, "documents").select("doc_id", F.explode(pii.spans(pii.clear(F.col("text")), pii.EMAIL, "email")).alias("h"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("h.raw").alias("first_email"), F.sum(F.col("h.e") - F.col("h.s")).alias("covered"))
+
+
 def pii_mask(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     return docs.select("doc_id", pii.mask_text(F.col("text")).alias("masked"))
@@ -67,7 +73,7 @@ def pii_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("doc_id", F.col("h.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (str_fold, str_clean_names, str_tl, str_escape, str_collapse, diag_shapes, diag_odd_characters, pii_luhn, pii_national_id, pii_emails, pii_mask, pii_counts)}
+QUERIES = {f.__name__: f for f in (str_fold, str_clean_names, str_tl, str_escape, str_collapse, diag_shapes, diag_odd_characters, pii_luhn, pii_national_id, pii_emails, pii_email_spans, pii_mask, pii_counts)}
 
 _REPAIR = "replace(translate(nfc_normalize(text), 'ÐÝÞðýþ', 'ĞİŞğış'), chr(775), '')"
 _RAW = "lower('iyzico* ' || p_name || ' ltd. istanbul ' || p_size || ' 3/6 taksit')"
@@ -83,7 +89,11 @@ ORACLE_SQL = {
     "str_collapse": "SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS key, contains(lower(url), 'example') AS found FROM pages",
     "diag_shapes": """WITH w AS (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]*[0-9][^ \\t\\n\\r\\f\\v]*')) AS w FROM documents)
       SELECT regexp_replace(regexp_replace(w, '\\pL', 'A', 'g'), '\\pN', '9', 'g') AS shape, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, shape LIMIT 14""",
-    "diag_odd_characters": "WITH w AS (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x{FF}]')) AS c FROM documents) SELECT c, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, c LIMIT 8",
+    "diag_odd_characters": " UNION ALL ".join(
+        f"(WITH w AS (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x{{{k:X}}}]')) AS c FROM documents) SELECT CAST({k} AS INTEGER) AS beyond, c, count(*) AS n FROM w GROUP BY 2 ORDER BY n DESC, c LIMIT 8)" for k in (0x24F, 0x7F)
+    ),
+    "pii_email_spans": r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS email FROM documents)
+      SELECT doc_id, count(*) AS n, min(email) AS first_email, CAST(sum(length(email)) AS BIGINT) AS covered FROM e GROUP BY 1""".replace("\\\\", "\\"),
     "pii_luhn": """WITH o AS (SELECT o_orderkey, lpad(CAST(o_orderkey * 7919 + 4000000000000000 AS VARCHAR), 16, '4') AS x FROM orders)
       SELECT o_orderkey, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(x, i, 1) AS INTEGER)
         WHEN CAST(substr(x, i, 1) AS INTEGER) * 2 > 9 THEN CAST(substr(x, i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(x, i, 1) AS INTEGER) * 2 END)) % 10 = 0 AS valid FROM o""",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import anomaly, merging, obligations
+from ..operators import anomaly, copilot, merging, obligations
 from ..schema import TX_SQL, copilot_refund, copilot_spend, dashboard_spend, read, tx_of
 
 BY = ["statement"]
@@ -94,6 +94,44 @@ def qa_savings(spark: SparkSession, sf: str) -> DataFrame:
     return spent.select("statement", "category", "total", saving.alias("monthly_saving"), F.round(final_value(saving, rate, F.lit(36)), 2).alias("final_real"))
 
 
+def _questioned(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions as the question tools take them, with the tools' own categories, dealt by part."""
+    names = F.array(*[F.lit(name) for name, _, _ in copilot.CATEGORIES])
+    return copilot.normalise(tx_of(spark, sf).withColumn("category", F.get(names, F.pmod("l_partkey", F.lit(len(copilot.CATEGORIES))).cast("int"))))
+
+
+def tool_category_spend(spark: SparkSession, sf: str) -> DataFrame:
+    rows = copilot.tool_category_spend(_questioned(spark, sf), BY, 2)
+    return rows.select("statement", "category", "gross_spend", "refunds", "net_spend", "transaction_count", "total_spend", "share_pct")
+
+
+def tool_compare_categories(spark: SparkSession, sf: str) -> DataFrame:
+    rows = copilot.tool_compare_categories(_questioned(spark, sf), BY, [0, 3, 10])
+    return rows.select("statement", "category", "gross_spend", F.col("difference").cast("decimal(38,2)").alias("difference"), "rank")
+
+
+def tool_merchant_spend(spark: SparkSession, sf: str) -> DataFrame:
+    return copilot.tool_merchant_spend(_questioned(spark, sf), BY, "small")
+
+
+def tool_top_share(spark: SparkSession, sf: str) -> DataFrame:
+    return copilot.tool_top_share(_questioned(spark, sf), BY)
+
+
+def tool_refunds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = copilot.render_items(copilot.tool_refunds(_questioned(spark, sf)), "clean_description", "amount")
+    return rows.select("statement", "l_orderkey", "l_linenumber", F.col("amount").cast("decimal(18,2)").alias("amount"), "answer")
+
+
+def tool_savings(spark: SparkSession, sf: str) -> DataFrame:
+    return copilot.tool_savings(_questioned(spark, sf), BY).select("statement", "category", "total", "monthly_saving", F.round("final_real", 1).alias("final_real"))
+
+
+def tool_obligations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = copilot.render_items(copilot.tool_obligations(tx_of(spark, sf), BY, TIES), "description", "amount")
+    return rows.select("statement", "kind", "amount", "answer")
+
+
 def rel_membership(spark: SparkSession, sf: str) -> DataFrame:
     """Customers with a refund, and those without, by semi and anti join."""
     customers = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("statement"))
@@ -162,6 +200,13 @@ def win_detect_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy("statement", "anomaly_type").agg(F.count(F.lit(1)).alias("n"), F.max("anomaly_score").alias("top_score"))
 
 
+def win_anomaly_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """What is odd from 1996 on, with the years before as history: every kind and its reason in words."""
+    rows, cut = tx_of(spark, sf), F.lit("1996-01-01").cast("date")
+    got = anomaly.detect_anomalies(rows.filter(F.col("date") >= cut), BY, TIES, rows.filter(F.col("date") < cut), forest=False)
+    return got.filter("is_anomaly").select("statement", "l_orderkey", "l_linenumber", "amount", "anomaly_type", "anomaly_score", "anomaly_reason")
+
+
 def win_isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
     got = anomaly.detect_anomalies(tx_of(spark, sf), BY, TIES)
     return got.select("statement", "l_orderkey", "l_linenumber", "anomaly_score", "iforest_score", "is_anomaly")
@@ -187,7 +232,7 @@ def obl_totals(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     agg_kpis, agg_category_totals, agg_top_n_other, agg_colour_slots, agg_daily_spend, agg_top_merchants, agg_merchant_share, agg_quantiles, qa_summary, qa_category_spend, qa_compare_categories,
     qa_merchant_spend, qa_top_share, qa_refunds, qa_savings, rel_membership, rel_first_copy, rel_repeated_statements, rel_union_order, win_robust_z, win_amount_outliers, win_duplicates, win_novel,
-    win_forest_features, win_gaps, win_detect_anomalies, win_isolation_forest, obl_rhythms, obl_components, obl_known, obl_totals,
+    win_forest_features, win_gaps, win_detect_anomalies, win_anomaly_reasons, win_isolation_forest, tool_category_spend, tool_compare_categories, tool_merchant_spend, tool_top_share, tool_refunds, tool_savings, tool_obligations, obl_rhythms, obl_components, obl_known, obl_totals,
 )}
 
 _COMPONENTS = """
@@ -266,7 +311,47 @@ told AS (
   UNION ALL SELECT statement, '', 0 FROM tx WHERE NOT (amount > 0 AND transaction_type IN ('EXPENSE', 'INSTALLMENT', 'FINANCING_FEE'))
 )"""
 
+_NAMES = "[" + ", ".join(f"'{name}'" for name, _, _ in copilot.CATEGORIES) + "]"
+_QUESTIONED = f"{TX_SQL}, q AS (SELECT * EXCLUDE (category), list_extract({_NAMES}, CAST(l_partkey % {len(copilot.CATEGORIES)} AS INTEGER) + 1) AS category FROM tx)"
+_TL = "translate(format('{{:,.2f}}', CAST({} AS DOUBLE)), ',.', '.,') || ' TL'"
+_SINCE = (
+    _ANOMALY[: _ANOMALY.index("told AS (")].replace("FROM tx WHERE amount > 0 AND", "FROM tx WHERE date >= DATE '1996-01-01' AND amount > 0 AND")
+    + """h AS (SELECT * FROM tx WHERE date < DATE '1996-01-01'),
+hl AS (SELECT statement, count(*) AS hn, quantile_cont(CASE WHEN amount > 0 THEN CAST(amount AS DOUBLE) END, 0.9) AS lim FROM h GROUP BY 1),
+flag AS (
+  SELECT s.*, coalesce(installment_no IS NULL AND gap <= 3, false) AS dup, z > 3.5 AND ratio >= 2 AS big,
+         coalesce(hn >= 20 AND v > lim AND NOT EXISTS (SELECT 1 FROM h WHERE h.statement = s.statement AND h.clean_description = s.clean_description), false) AS novel
+  FROM s LEFT JOIN hl USING (statement)
+)
+SELECT statement, l_orderkey, l_linenumber, amount, concat_ws('+', CASE WHEN dup THEN 'duplicate_charge' END, CASE WHEN big THEN 'amount_outlier' END, CASE WHEN novel THEN 'new_merchant_high_amount' END) AS anomaly_type,
+  round(greatest(z, 0), 3) AS anomaly_score, concat_ws(' ',
+    CASE WHEN dup THEN 'Olası mükerrer çekim: aynı işyerinden 3 gün içinde aynı tutar (' || format('{:,.2f}', v) || ' TL) ikinci kez çekilmiş.' END,
+    CASE WHEN big THEN 'Bu harcama (' || format('{:,.2f}', v) || ' TL), ' || CASE WHEN cn >= 5 THEN chr(39) || category || chr(39) || ' kategorisindeki harcamalarınızın' ELSE 'tüm harcamalarınızın' END
+      || ' medyanının (' || format('{:,.2f}', CASE WHEN cn >= 5 THEN cv ELSE av END) || ' TL) ' || format('{:,.1f}', ratio) || ' katı.' END,
+    CASE WHEN novel THEN 'Geçmiş ekstrelerinizde hiç görülmeyen bir işyerinde, geçmiş harcamalarınızın %90''ından yüksek tutar.' END) AS anomaly_reason
+FROM flag WHERE dup OR big OR novel"""
+)
+
 ORACLE_SQL = {
+    "win_anomaly_reasons": f"WITH {TX_SQL}, {_SINCE}",
+    "tool_category_spend": f"""WITH {_QUESTIONED}, c AS (SELECT statement, CAST(coalesce(sum(amount) FILTER ({SPENT} AND category = 'Akaryakıt / Ulaşım'), 0) AS {WIDE}) AS gross_spend,
+      CAST(coalesce(sum(-amount) FILTER ({BACK} AND category = 'Akaryakıt / Ulaşım'), 0) AS {WIDE}) AS refunds, count(*) FILTER ({SPENT} AND category = 'Akaryakıt / Ulaşım') AS transaction_count,
+      CAST(coalesce(sum(amount) FILTER ({SPENT}), 0) AS {WIDE}) AS total_spend FROM q GROUP BY 1)
+      SELECT *, 'Akaryakıt / Ulaşım' AS category, CAST(gross_spend - refunds AS {WIDE}) AS net_spend, CASE WHEN total_spend > 0 THEN round(100 * CAST(gross_spend AS DOUBLE) / CAST(total_spend AS DOUBLE), 1) ELSE 0.0 END AS share_pct FROM c""",
+    "tool_compare_categories": f"""WITH {_QUESTIONED}, k AS (SELECT unnest(['Market / Gıda', 'Giyim / Aksesuar', 'E-Ticaret / Pazaryeri']) AS category), s AS (SELECT DISTINCT statement FROM q),
+      c AS (SELECT s.statement, k.category, CAST(coalesce(sum(amount) FILTER ({SPENT}), 0) AS {WIDE}) AS gross_spend FROM s CROSS JOIN k LEFT JOIN q ON q.statement = s.statement AND q.category = k.category GROUP BY 1, 2)
+      SELECT *, CAST(gross_spend - lead(gross_spend) OVER w AS {WIDE}) AS difference, CAST(row_number() OVER w AS INTEGER) AS rank FROM c WINDOW w AS (PARTITION BY statement ORDER BY gross_spend DESC, category)""",
+    "tool_merchant_spend": f"WITH {TX_SQL} SELECT statement, 'small' AS merchant_token, CAST(sum(amount) AS {WIDE}) AS gross_spend, count(*) AS transaction_count FROM tx WHERE {SPENT} AND regexp_matches(lower(clean_description), '(^|[^a-z])small') GROUP BY 1",
+    "tool_top_share": f"""WITH {TX_SQL}, c AS (SELECT statement, clean_description, sum(amount) AS total FROM tx WHERE {SPENT} GROUP BY 1, 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY total DESC, clean_description) AS rn FROM c),
+      s AS (SELECT statement, CAST(sum(total) AS {WIDE}) AS total, CAST(sum(total) FILTER (rn <= 5) AS {WIDE}) AS covered FROM r GROUP BY 1)
+      SELECT *, CASE WHEN total > 0 THEN round(100 * CAST(covered AS DOUBLE) / CAST(total AS DOUBLE), 1) ELSE 0.0 END AS covered_pct FROM s""",
+    "tool_refunds": f"WITH {TX_SQL} SELECT statement, l_orderkey, l_linenumber, CAST(-amount AS DECIMAL(18,2)) AS amount, clean_description || ': ' || {_TL.format('-amount')} AS answer FROM tx WHERE {BACK}",
+    "tool_savings": f"""WITH {_QUESTIONED}, c AS (SELECT statement, category, CAST(sum(amount) AS {WIDE}) AS total FROM q WHERE {SPENT} AND category NOT IN ('Ev / Yaşam / Fatura', 'Finans / Vergi / Masraf') GROUP BY 1, 2),
+      r AS (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY total DESC, category) AS rn FROM c),
+      s AS (SELECT statement, category, total, round(CAST(total AS DOUBLE) * 0.2, 2) AS monthly_saving, pow(1 + ((1 + 0.40) / (1 + 0.30) - 1), 1.0 / 12) AS g FROM r WHERE rn = 1)
+      SELECT statement, category, total, monthly_saving, round(round(monthly_saving * g * (pow(g, 36) - 1) / (g - 1), 2), 1) AS final_real FROM s""",
+    "tool_obligations": f"WITH {TX_SQL}, {_KNOWN} SELECT statement, kind, amount, description || ': ' || {_TL.format('amount')} AS answer FROM due",
     "agg_kpis": f"""WITH {TX_SQL}, c AS (SELECT statement, category, CAST(sum(amount) AS {WIDE}) AS total FROM tx WHERE amount > 0 GROUP BY ALL),
       t AS (SELECT statement, category AS top_category FROM (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY total DESC, category) AS rn FROM c) WHERE rn = 1)
       SELECT k.*, t.top_category FROM (SELECT statement, CAST(coalesce(sum(amount) FILTER (amount > 0), 0) AS {WIDE}) AS spend, count(*) AS n FROM tx GROUP BY statement) k LEFT JOIN t USING (statement)""",

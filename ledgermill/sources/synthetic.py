@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_merchant
@@ -32,14 +32,21 @@ def corrupted(text: Column, seed: int) -> Column:
     return F.substr(whole, F.lit(1), F.get(F.array(*[F.lit(c) for c in CUTS]), draw(seed, "cut", len(CUTS))))
 
 
-def merchant_texts(spark: SparkSession, brands: dict[str, list[str]], rows: int, seed: int = 42) -> DataFrame:
-    """raw_text, clean_text, category, group, source: classes of equal size, groups that keep a brand on one side of a split."""
-    names = spark.createDataFrame([(c, b) for c, bs in brands.items() for b in bs], "category string, brands string").groupBy("category").agg(F.array_sort(F.collect_list("brands")).alias("brands"))
-    classes = sorted(brands)
-    ids = spark.range(rows // len(classes) * len(classes)).withColumn("category", pick(classes, F.pmod("id", F.lit(len(classes))).cast("int")))
-    both = ids.join(F.broadcast(names), "category")
-    brand = F.get("brands", F.pmod(draw(seed, "brand", 1 << 30), F.size("brands")))
-    out = both.withColumn("group", brand).withColumn("raw_text", corrupted(F.upper(F.col("group")), seed))
+def merchant_texts(brands: DataFrame, rows: int, seed: int = 42) -> DataFrame:
+    """raw_text, clean_text, category, group, source: classes of equal size, groups that keep a brand on one side of a split.
+
+    ``brands`` has distinct (category, brand) pairs. A class's rows draw its brands by number,
+    joined by equality.
+    """
+    spark = brands.sparkSession
+    numbered = brands.withColumn("number", F.row_number().over(Window.partitionBy("category").orderBy("brand")) - 1)
+    sizes = brands.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    # Classes are a few dozen names, the labels of a classifier.
+    classes = sizes.withColumn("class", F.row_number().over(Window.orderBy("category")) - 1)
+    many = max(classes.count(), 1)
+    ids = spark.range(rows // many * many).withColumn("class", F.pmod("id", F.lit(many)).cast("int")).join(F.broadcast(classes), "class")
+    both = ids.withColumn("number", F.pmod(draw(seed, "brand", 1 << 30), F.col("n")).cast("int")).join(numbered, ["category", "number"])
+    out = both.withColumn("group", F.col("brand")).withColumn("raw_text", corrupted(F.upper(F.col("group")), seed))
     out = out.select("raw_text", clean_merchant(F.col("raw_text"), nfc=False).alias("clean_text"), "category", F.concat_ws(":", "category", "group").alias("group"), F.lit("brand").alias("source"))
     return out.filter(F.length("clean_text") > 0)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgermill.functions import finance
 from ledgermill.operators import aggregates, anomaly, copilot, features, forecast, obligations
-from ledgermill.operators.isolation import isolation_scores
+from ledgermill.operators.isolation import forest_score, forest_scores, grow_forest
 from ledgermill.plans.pipeline import run_pipeline
 from ledgermill.schema import copilot_spend, ensure_columns
 from ledgermill.sources import documents
@@ -67,10 +67,24 @@ def test_zero_deviation_and_isolation(spark):
     assert z[5.0] == 0 and z[50.0] == pytest.approx(45 / (1.253314 * 9))
     x = np.random.default_rng(0).normal(size=(80, 3))
     x[0] = 9
-    s = isolation_scores(x)
+    s = forest_score(x, grow_forest(x))
     assert s[0] == s.max() > 0.65 and s[1:].mean() < 0.55
 
 
+def test_forest_scores_do_not_depend_on_the_tasks_that_score(spark, monkeypatch):
+    from ledgermill.operators import isolation
+
+    rng = np.random.default_rng(3)
+    rows = [(e, i, float(rng.normal()), float(rng.normal())) for e, n in (("a", 1500), ("b", 40), ("c", 5), (None, 60)) for i in range(n)]
+    frame = spark.createDataFrame([*rows, ("a", 9999, 30.0, -30.0)], "e string, i int, x double, y double")
+    score = lambda: {(r.e, r.i): r.iforest_score for r in forest_scores(frame, ["e"], ["x", "y"], ["i"], 30).collect()}
+    whole = score()
+    monkeypatch.setattr(isolation, "CHUNK", 100)
+    assert score() == whole and len(whole) == 1606
+    assert whole["a", 9999] == max(whole.values()) > 0.65 and whole["c", 0] == 0 < whole[None, 0]
+    assert forest_scores(frame.drop("e"), [], ["x", "y"], ["i"], 30).filter("iforest_score > 0").count() == 1606
+
+
 def series(spark, n, keys=("a",), seed=0, noise=60):
     rng = np.random.default_rng(seed)
     rows = [(k, day(t), float(max(1.0, 300 + 80 * np.sin(2 * np.pi * t / 7) + rng.normal(0, noise)))) for k in keys for t in range(n)]
@@ -141,6 +155,10 @@ def test_documents_and_pipeline(spark, tmp_path):
     assert sorted(r.clean_description for r in transactions.collect()) == ["HAVALE [KİŞİ]", "MARKET"]
     import zlib
 
+    two = spark.createDataFrame([("1", "p", [good]), ("2", "q", [good]), ("3", "q", [good]), ("4", "q", ["x"]), ("5", "q", ["x"])], "doc string, customer string, pages array<string>")
+    kept, rows, repeated = run_pipeline(two, forest=False)
+    assert sorted(r.doc for r in kept.collect()) == ["1", "2", "4", "5"] and [r.doc for r in repeated.collect()] == ["3"]
+    assert rows.filter("doc IN ('1', '2')").count() == 4
     raw = spark.createDataFrame([("p", bytearray(zlib.compress(b"0" * 5000)), True), ("p", bytearray(b"junk"), True), ("p", bytearray(b"raw!!"), False)], "path string, raw binary, is_deflated boolean")
     assert documents.over_budget(raw).first().total == 5009
 
