@@ -1,9 +1,11 @@
 """Main-text extraction from HTML by minimum-cut labelling of blocks.
 
-A page becomes text blocks. A classifier of block features gives each block a cost for the
-label content and one for boilerplate: capacities from and to the terminals. Neighbours on
-the page, and blocks that follow each other under one parent, are tied by smoothness edges.
-A maximum flow separates content from boilerplate at the least total cost.
+A page becomes text blocks. A classifier of a block's text (length, links, element) gives it
+a cost for content or for boilerplate: its capacity from or to the terminals. Elements whose
+name or class tells what they hold are nodes too, with a bounded capacity for each block in
+them. Smoothness edges tie a block to its nearest telling element, to its neighbours on the
+page and to the block before it under one parent. A maximum flow separates content from
+boilerplate at the least total cost, often against a block's own text.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import texts_of
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_HINT = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# A quote only opens an attribute's value right after its equals sign; one that never closes is a letter.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]|=)*)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TELLING = frozenset("class id role itemprop".split())
 # Fixed values of the HTML standard: elements that make blocks, hold no text, or have no end tag.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -30,6 +34,7 @@ BLOCKS = frozenset(
 OPAQUE = frozenset("script style noscript template svg math iframe object audio video canvas head title textarea select button option datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LEAVES = frozenset("p li dd dt h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: Containers that tell a block's kind by their element or by words of their class, id or role.
 BAD_TAGS = frozenset("nav header footer aside form menu dialog".split())
@@ -39,43 +44,69 @@ BAD_WORDS = re.compile(
     re.I,
 )
 GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|main\w*|story|text|body|articlebody)(?=$|[\s_-])", re.I)
-#: Costs of the classifier and of the edges.
-KIND, LENGTH_COST, LINK_COST, HEADING, BIAS, ADJACENT, SIBLING, SURE = 6.0, 1.2, 4.0, 0.5, -1.0, 0.6, 0.8, 60.0
+#: Costs of the classifier: length and its most, links, headings, bias, blocks outside a page's telling elements.
+LENGTH_COST, LONGEST, LINK_COST, HEADING, BIAS, OUTSIDE = 1.2, 5.0, 4.0, 0.5, -1.0, 6.0
+#: Edges: neighbours, siblings, and a block's tie to its telling element, which is also that element's capacity for each block.
+ADJACENT, SIBLING, TIE = 0.6, 0.8, 14.0
+#: Share of a page's unlinked text from which a class name like "sidebar" on its holder is not believed, if nothing else tells of content.
+MOST = 0.7
 
 
 @dataclass
 class Block:
     tag: str
     parent: int
-    kind: int
+    hint: int
     depth: int
     text: str = ""
     linked: int = 0
     parts: list[str] = field(default_factory=list)
 
 
-def _kind(tag: str, attrs: str) -> int:
-    """-1 boilerplate, 1 content, 0 no hint, of one element; -2 is hidden."""
+@dataclass
+class Hint:
+    """An element that tells what it holds: kind 1 content, -1 boilerplate; by its name or by its class only."""
+
+    kind: int
+    by_name: bool
+    above: int
+
+
+def _kind(tag: str, attrs: str) -> tuple[int, bool]:
+    """-1 boilerplate, 1 content, 0 no hint, -2 hidden; and whether the element's name says so.
+
+    Class names of body and html tell of the whole page, and names of both kinds tell nothing.
+    """
     names = []
-    for name, a, b, c in _HINT.findall(attrs):
-        if name.lower() in ("hidden", "aria-hidden"):
-            if name.lower() == "hidden" or (a or b or c).lower() == "true":
-                return -2
-        else:
-            names.append(a or b or c)
+    if attrs and not attrs.isspace():
+        for name, a, b, c in _ATTRIBUTE.findall(attrs):
+            name = name.lower()
+            if name == "hidden" or name == "aria-hidden" and (a or b or c).lower() == "true":
+                return -2, True
+            if name in _TELLING:
+                names.append(a or b or c)
+    if tag in BAD_TAGS:
+        return -1, True
+    if tag in ("body", "html"):
+        return 0, False
     words = " ".join(names)
-    if tag in BAD_TAGS or BAD_WORDS.search(words):
-        return -1
-    if tag in GOOD_TAGS or (tag not in ("body", "html", "p") and GOOD_WORDS.search(words)):
-        return 1
-    return 0
+    bad, good = bool(BAD_WORDS.search(words)), bool(GOOD_WORDS.search(words)) and tag != "p"
+    if tag in GOOD_TAGS:
+        return (-1, False) if bad and not good else (1, True)
+    return (-1 if bad and not good else 1 if good and not bad else 0), False
+
 
+def blocks_of(page: str) -> tuple[list[Block], list[Hint]]:
+    """Text blocks in page order and the telling elements. Unclosed and stray tags are tolerated.
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order. Unclosed and stray tags are tolerated."""
+    Every tag costs the same at any depth: open elements are counted by name, and a search
+    down the stack ends at the first block element or takes off what it passes.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # element, its number, kind from the nearest hint
-    count, pos, opaque, links = 0, 0, [], 0
+    hints: list[Hint] = []
+    stack: list[tuple[str, int, int, bool]] = [("", 0, -1, False)]  # element, its number, nearest hint, is its text left out
+    open_now: dict[str, int] = {}
+    count, pos, opaque, links = 0, 0, 0, 0
     now: Block | None = None
 
     def flush() -> None:
@@ -94,13 +125,34 @@ def blocks_of(page: str) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            holder = next((s for s in reversed(stack) if s[0] in BLOCKS or not s[0]), stack[0])
-            at = next(k for k in range(len(stack) - 1, -1, -1) if stack[k] is holder)
-            now = Block(holder[0], stack[at - 1][1] if at and holder[0] in ("p", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6") else holder[1], stack[-1][2], len(stack))
+            at = len(stack) - 1
+            while at and stack[at][0] not in BLOCKS:
+                at -= 1
+            tag = stack[at][0]
+            now = Block(tag, stack[at - 1][1] if at and tag in LEAVES else stack[at][1], stack[-1][2], len(stack))
         now.parts.append(text)
         if links:
             now.linked += len(text.strip())
 
+    def close(at: int) -> None:
+        nonlocal links, opaque
+        for s in stack[at:]:
+            open_now[s[0]] -= 1
+            links -= s[0] == "a"
+            opaque -= s[3]
+        del stack[at:]
+
+    def above(tag: str, stop: bool) -> int:
+        """The place of the innermost ``tag``, 0 if none; with ``stop`` no block element may lie over it."""
+        if not open_now.get(tag):
+            return 0
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] == tag:
+                return k
+            if stop and stack[k][0] in BLOCKS:
+                return 0
+        return 0
+
     for m in _TOKEN.finditer(page):
         if m.start() < pos:
             continue
@@ -111,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
         if m[3] is None:
             continue
         closing, tag = m[2] == "/", m[3].lower()
-        if tag == "br" or tag in VOID:
+        if tag in VOID:
             if tag == "hr":
                 flush()
             elif now is not None:
@@ -120,55 +172,76 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCKS:
             flush()
         if closing:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if at and not (tag not in BLOCKS and any(s[0] in BLOCKS for s in stack[at + 1 :])):
-                for s in stack[at:]:
-                    links -= s[0] == "a"
-                    if s[0] in OPAQUE or s[2] == -2:
-                        opaque.pop()
-                del stack[at:]
+            at = above(tag, tag not in BLOCKS)
+            if at:
+                close(at)
             continue
-        if tag in CLOSES_P and any(s[0] == "p" for s in stack):
-            at = max(k for k, s in enumerate(stack) if s[0] == "p")
-            if not any(s[0] in BLOCKS for s in stack[at + 1 :]):
-                for s in stack[at:]:
-                    links -= s[0] == "a"
-                del stack[at:]
-        if m[4].endswith("/") and tag not in BLOCKS | OPAQUE:
+        if tag in CLOSES_P:
+            at = above("p", True)
+            if at:
+                close(at)
+        if m[4].endswith("/") and tag not in BLOCKS and tag not in OPAQUE:
             continue
-        count += 1
-        hint = _kind(tag, m[4])
-        kind = hint if hint in (-1, -2) else 1 if hint == 1 and stack[-1][2] >= 0 else stack[-1][2]
-        stack.append((tag, count, kind))
-        links += tag == "a"
-        if tag in OPAQUE or kind == -2:
-            opaque.append(tag)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
             pos = end.end() if end else len(page)
-            stack.pop()
-            opaque.pop()
+            continue
+        count += 1
+        kind, by_name = _kind(tag, m[4])
+        near = stack[-1][2]
+        if abs(kind) == 1:
+            hints.append(Hint(kind, by_name, near))
+            near = len(hints) - 1
+        left_out = tag in OPAQUE or kind == -2
+        stack.append((tag, count, near, left_out))
+        open_now[tag] = open_now.get(tag, 0) + 1
+        links += tag == "a"
+        opaque += left_out
     add(page[pos:])
     flush()
-    return out
+    return out, hints
+
 
+def kinds_of(blocks: list[Block], hints: list[Hint]) -> list[int]:
+    """What each telling element says of what is in it: boilerplate wins over content around it.
 
-def costs(blocks: list[Block]) -> list[float]:
-    """The classifier: how much more likely content than boilerplate each block is."""
-    hinted = any(b.kind > 0 for b in blocks)
-    out = []
+    A class name that calls nearly all of the page's text boilerplate, with no content outside
+    it, is about the page's layout and is not believed.
+    """
+    own, good = [0] * len(hints), [0] * len(hints)
+    total = 0
     for b in blocks:
-        density = b.linked / max(1, len(b.text))
-        if b.kind < 0:
-            out.append(-SURE)
-        elif b.kind > 0:
-            out.append(KIND - (LINK_COST if density > 0.8 and b.tag == "li" else 0))
-        else:
-            words = b.text.count(" ") + 1
-            score = BIAS + LENGTH_COST * math.log(1 + words / 4) - LINK_COST * density
-            score += HEADING * (b.tag in ("h1", "h2", "h3")) - 2.0 * (b.tag in ("li", "td")) * (words < 6)
-            out.append(score - (KIND if hinted else 0))
-    return out
+        free = max(0, len(b.text) - b.linked)
+        total += free
+        if b.hint >= 0:
+            own[b.hint] += free
+    for k in range(len(hints) - 1, -1, -1):
+        if hints[k].above >= 0:
+            own[hints[k].above] += own[k]
+    said = [h.kind for h in hints]
+
+    def spread() -> list[int]:
+        out: list[int] = []
+        for k, h in enumerate(hints):
+            up = out[h.above] if h.above >= 0 else 0
+            out.append(-1 if said[k] < 0 or up < 0 else 1 if said[k] > 0 or up > 0 else 0)
+        return out
+
+    found = spread()
+    while not any(b.hint >= 0 and found[b.hint] > 0 for b in blocks):
+        outer = next((k for k, h in enumerate(hints) if said[k] < 0 and not h.by_name and own[k] > MOST * total), None)
+        if outer is None:
+            break
+        said[outer] = 0
+        found = spread()
+    return found
+
+
+def cost(b: Block) -> float:
+    """The classifier: how much more likely content than boilerplate a block's own text is."""
+    density, words = b.linked / max(1, len(b.text)), b.text.count(" ") + 1
+    score = BIAS + min(LONGEST, LENGTH_COST * math.log(1 + words / 4)) - LINK_COST * density
+    return score + HEADING * (b.tag in ("h1", "h2", "h3")) - 2.0 * (b.tag in ("li", "td")) * (words < 6)
 
 
 def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -236,21 +309,37 @@ def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list
             u = to[e]
 
 
-def label(blocks: list[Block]) -> list[bool]:
-    """True for content. Edges join neighbours, the more the nearer in depth, and siblings."""
-    edges, last = [], {}
+def graph(blocks: list[Block], hints: list[Hint]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal capacities of the blocks and the telling elements with blocks, and the edges."""
+    kinds = kinds_of(blocks, hints)
+    score, edges, last, nodes = [cost(b) for b in blocks], [], {}, {}
+    told = any(b.hint >= 0 and kinds[b.hint] > 0 for b in blocks)
     for k, b in enumerate(blocks):
+        kind = kinds[b.hint] if b.hint >= 0 else 0
+        if kind:
+            node = nodes.setdefault(b.hint, len(blocks) + len(nodes))
+            if node == len(score):
+                score.append(0.0)
+            score[node] += kind * TIE
+            edges.append((k, node, TIE))
+        elif told:
+            score[k] -= OUTSIDE
         if k:
             edges.append((k - 1, k, ADJACENT / (1 + abs(b.depth - blocks[k - 1].depth))))
         if b.parent in last:
             edges.append((last[b.parent], k, SIBLING))
         last[b.parent] = k
-    return minimum_cut(costs(blocks), edges)
+    return score, edges
+
+
+def label(blocks: list[Block], hints: list[Hint]) -> list[bool]:
+    """True for content, for each block."""
+    return minimum_cut(*graph(blocks, hints))[: len(blocks)]
 
 
 def main_text(page: str) -> str:
-    blocks = blocks_of(page)
-    return "\n\n".join(b.text for b, keep in zip(blocks, label(blocks), strict=True) if keep)
+    blocks, hints = blocks_of(page)
+    return "\n\n".join(b.text for b, keep in zip(blocks, label(blocks, hints), strict=True) if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

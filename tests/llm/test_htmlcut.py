@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -41,6 +42,13 @@ PARA = "Long enough words make this a paragraph that a reader would want, number
         (f"<main><p>{PARA.format(1)}</p><form>Name <input></form><aside>{PARA.format(2)}</aside><p>{PARA.format(3)}", f"{PARA.format(1)}\n\n{PARA.format(3)}"),
         (f"<div><p>{PARA.format(1)}</p><p>{PARA.format(2)}</p></div><ul><li><a href=x>Home</a></li><li><a href=y>More</a></li></ul>", f"{PARA.format(1)}\n\n{PARA.format(2)}"),
         ("<!-- open " * 3 + "x", ""),
+        (f"<body class='has-sidebar single-post with-comments'><div><p>{PARA.format(1)}</p></div><div class=sidebar>{PARA.format(2)}</div></body>", PARA.format(1)),
+        (f"<div class='post text-tags'><p>{PARA.format(1)}</p><p>{PARA.format(2)}</p></div>", f"{PARA.format(1)}\n\n{PARA.format(2)}"),
+        (f"<div class='with-sidebar'><article><p>{PARA.format(1)}</p></article><aside>{PARA.format(2)}</aside></div>", PARA.format(1)),
+        (f"<div class=post><p>{PARA.format(1)}</p></div><div class=comments>" + f"<article><p>{PARA.format(3)}</p></article>" * 9 + "</div>", PARA.format(1)),
+        (f"<article><p class=x\">{PARA.format(1)}<p data-x='class=\"ad\"'>{PARA.format(2)}<p title='a>b'>{PARA.format(3)}</article>", "\n\n".join(map(PARA.format, (1, 2, 3)))),
+        (f'<article><p>{PARA.format(1)}<p title="it>{PARA.format(2)}</article>', f"{PARA.format(1)}\n\n{PARA.format(2)}"),
+        ("<article><p>Hi</p></article>", "Hi"),
     ],
 )
 def test_main_text(spark, page, want):
@@ -54,3 +62,30 @@ def test_rows_are_whole(spark):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert [r.n_chars for r in got if r.page_id == 1] == [4000 * 29 + 3999 * 2] * 2
     assert htmlcut.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    body = f"<p>{PARA.format(1)}"
+    for page in ("<div>" * 100_000 + body, "<div class=post>" * 100_000 + body, "<b><div>" * 50_000 + "</b>" * 50_000 + body, "</section>" * 100_000 + body, "<p>" + "<i>" * 100_000 + "</p>" + body):
+        began = time.process_time()
+        assert htmlcut.main_text(page) == PARA.format(1)
+        assert time.process_time() - began < 10
+
+
+def test_the_flow_changes_labels_of_the_pages(spark):
+    """Short paragraphs of an article, and long text of a notice, are labelled against their own cost."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()
+    rescued = removed = blocks_n = 0
+    for (page,) in pages:
+        blocks, hints = htmlcut.blocks_of(page)
+        for b, keep in zip(blocks, htmlcut.label(blocks, hints), strict=True):
+            blocks_n += 1
+            rescued += keep and htmlcut.cost(b) < 0
+            removed += not keep and htmlcut.cost(b) > 0
+    assert blocks_n > 1000 and rescued > 0 and removed > 0
+
+
+def test_edges_alone_decide_without_hints():
+    """A short line between paragraphs of one parent is content; the same line in a menu is not."""
+    page = f"<div><p>{PARA.format(1)}</p><p>Ha ha.</p><p>{PARA.format(2)}</p></div><ul><li><a href=a>Ha ha.</a></li><li><a href=b>One</a></li></ul>"
+    assert htmlcut.main_text(page) == f"{PARA.format(1)}\n\nHa ha.\n\n{PARA.format(2)}"
