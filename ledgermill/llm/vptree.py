@@ -3,24 +3,34 @@
 A tree splits its vectors at the median distance from a vantage point. A search leaves out
 the far side when the query is further from the split than ``factor`` times its current
 k-th distance; by the triangle inequality factor one (or more) loses nothing, and a smaller
-factor trades recall for work. Every row is indexed; shards' results are merged by rank.
+factor trades recall for work. Every query starts from the k-th distance in a pilot sample,
+so that no shard begins without a bound; the factor shortens that distance, which does not
+shrink during the search, so a query among many close vectors is not cut off from them. The
+factor is tuned on the pilot: the smallest that keeps the recall. Every row is indexed;
+shards' results are merged by rank.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .neardup import usable
 
-NEIGHBOURS, FACTOR = 10, 0.5
-#: Candidates of a shard and queries of a block on average; vectors of a leaf.
-SHARD, QUERY_BLOCK, LEAF = 8192, 2048, 128
+NEIGHBOURS = 10
+#: Factors that tuning tries, in order; recall that it asks for; queries and levels that it tries them with.
+FACTORS, RECALL, TRIED, LEVELS = (0.15, 0.17, 0.2, 0.3, 0.5), 0.95, 128, 6
+#: Candidates of a shard at most and, while there are fewer shards than cores, at least; queries of a block; vectors of a leaf.
+SHARD, SMALL_SHARD, QUERY_BLOCK, LEAF = 65_536, 8192, 2048, 128
+#: Vectors that give each query its first bound, at most: those with the smallest hashes.
+PILOT = 2048
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -75,14 +85,19 @@ class _Best:
         self.d[q], self.id[q] = np.take_along_axis(alld, best, 1), np.take_along_axis(alli, best, 1)
 
 
-def search(tree: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> _Best:
-    """k nearest rows of ``x`` for each query, its own id left out; queries go down together."""
+def search(tree: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> _Best:
+    """k nearest rows of ``x`` for each query, its own id left out; queries go down together.
+
+    ``bound`` is a distance within which each query has k candidates anywhere; without one
+    the search is exact.
+    """
     best = _Best(len(queries), k, own)
+    bound = np.full(len(queries), np.inf) if bound is None else bound
     todo = [(0, np.arange(len(queries)), None)] if len(x) else []
     while todo:
         node, q, gap = todo.pop()
         if gap is not None:
-            go = gap <= factor * best.d[q, -1]
+            go = gap <= np.minimum(best.d[q, -1], factor * bound[q])
             q = q[go]
         if not len(q):
             continue
@@ -102,6 +117,34 @@ def search(tree: dict[str, np.ndarray], x: np.ndarray, ids: np.ndarray, queries:
     return best
 
 
+def kth(near: np.ndarray, k: int) -> np.ndarray:
+    """The k-th smallest of each row, infinite if there are fewer; a little more, as sums may be rounded otherwise in another shape."""
+    if near.shape[1] < k:
+        return np.full(len(near), np.inf)
+    return np.partition(near, k - 1, axis=1)[:, k - 1] * (1 + 1e-9)
+
+
+def tuned(x: np.ndarray, k: int = NEIGHBOURS) -> float:
+    """The smallest of FACTORS with which a search of the sample ``x`` keeps RECALL; one if none does.
+
+    Bounds come from an eighth of the sample, and the tree has as many levels as a large shard's.
+    """
+    queries = x[:TRIED]
+    own, ids = np.arange(len(queries)), np.arange(len(x))
+    d = distances(x, queries)
+    d[own, own] = np.inf
+    eighth = max(k + 1, len(x) // 8)
+    if len(x) <= 4 * k:
+        return 1.0
+    bound, tree = kth(d[:, -eighth:], k), build(x, max(2, len(x) >> LEVELS))
+    true = np.sort(d, axis=1)[:, k - 1]
+    for factor in FACTORS:
+        found = search(tree, x, ids, queries, own, k, factor, bound)
+        if (found.d <= true[:, None] * (1 + 1e-9)).mean() >= RECALL:
+            return factor
+    return 1.0
+
+
 def _pack(arrays: dict[str, np.ndarray]) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -124,11 +167,11 @@ def _search(k: int, factor: float):
     def run(queries: pa.Table, trees: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if queries.num_rows:
-            own, q = queries.column("vec_id").to_numpy(), _matrix(queries)
+            own, q, bound = queries.column("vec_id").to_numpy(), _matrix(queries), queries.column("bound").to_numpy()
             for packed in trees.column("tree").to_pylist():
                 with np.load(io.BytesIO(packed)) as z:
                     tree = {c: z[c] for c in z.files}
-                best = search(tree, tree["x"].astype(float), tree["ids"], q, own, k, factor)
+                best = search(tree, tree["x"].astype(float), tree["ids"], q, own, k, factor, bound)
                 hit = np.isfinite(best.d)
                 for to, col in zip(out, (np.broadcast_to(own[:, None], hit.shape)[hit], best.id[hit], best.d[hit]), strict=True):
                     to.append(col)
@@ -138,20 +181,49 @@ def _search(k: int, factor: float):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, factor: float = FACTOR, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _by_length(pilot: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors and ids of the pilot by the vectors' length."""
+    parts = {d: pilot.filter(pa.compute.equal(pilot.column("dim"), d)) for d in sorted(set(pilot.column("dim").to_pylist()))}
+    return {d: (_matrix(t), t.column("vec_id").to_numpy()) for d, t in parts.items()}
+
+
+def _bounds(samples: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """Adds to queries the k-th distance among the pilot vectors of other ids, infinite if they are fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, v, d in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "v", "dim")), strict=True):
+                x, ids = samples.get(d, (np.zeros((0, d)), np.zeros(0)))
+                out.append(float(kth(distances(x[ids != i], np.array([v], float)), k)[0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "bound"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, factor: float | None = None, shard: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest candidates found, by distance, then id.
 
     Every row is a candidate but those of the query's own id; queries are the rows for which
-    ``is_query`` (on ``vec_id``) holds. Null, zero and non-finite vectors and rows without an
+    ``is_query`` (on ``vec_id``) holds. Without a ``factor`` it is tuned on the pilot. Null, zero and non-finite vectors and rows without an
     id take no part; vectors only meet those of their own length. A query that is repeated is
-    answered once. Other columns are ignored; an empty table gives no rows.
+    answered once, by its vector with the smallest hash. Other columns are ignored; an empty
+    table gives no rows.
     """
     kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).filter(usable("v") & F.col("vec_id").isNotNull())
     rows = rows.withColumn("dim", F.size("v"))
-    wanted = rows.filter(is_query).dropDuplicates(["vec_id"])
-    size, asked = rows.count(), wanted.count()
-    shards, blocks = max(1, -(-size // shard)), max(1, -(-asked // query_block))
+    first = F.min(F.struct(F.xxhash64("v").alias("h"), "v", "dim")).alias("f")
+    wanted = rows.filter(is_query).groupBy("vec_id").agg(first).select("vec_id", "f.v", "f.dim")
+    pilot = rows.orderBy(F.xxhash64("vec_id", F.lit(4)), F.xxhash64("v")).limit(PILOT).select("vec_id", "v", "dim").toArrow()
+    samples = _by_length(pilot)
+    if factor is None:
+        factor = max((tuned(x, k) for x, _ in samples.values()), default=1.0)
+    wanted = wanted.mapInArrow(_bounds(samples, k), f"vec_id bigint, v array<{kind}>, dim int, bound double")
+    size, asked = rows.count(), rows.filter(is_query).count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    shards = -(-size // shard) if shard else max(-(-size // SHARD), min(cores, -(-size // SMALL_SHARD)))
+    shards, blocks = max(1, shards), max(1, -(-asked // query_block))
     part = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     trees = materialize(rows.withColumn("shard", part(shards, 5)).groupBy("dim", "shard").applyInArrow(_index, "dim int, shard int, tree binary"), "snappy")
