@@ -23,9 +23,11 @@ from .common import connected_components, forest, materialize, release
 
 COSINE, BLOCKS = 0.9, 4
 #: Vectors of one side of a task; rows of one comparison in it.
-SIDE, STRIP = 16384, 256
+SIDE, STRIP = 16384, 128
 #: Added to budgets; links are sought at half of it, so that rounding loses none.
 SLACK = 1e-6
+#: Added where block distances are computed in single precision, to choose pairs for the exact check.
+ROUGH = 1e-5
 
 
 def usable(column: str) -> F.Column:
@@ -82,12 +84,13 @@ def compare(x: np.ndarray, y: np.ndarray, block: int, blocks: int, cosine: float
     dim = x.shape[1]
     turn, edges = rotation_of(dim), block_edges(dim, blocks)
     a, b = edges[block]
-    px, py = x @ turn[:, a:b], y @ turn[:, a:b]
+    px, py = ((z @ turn[:, a:b]).astype(np.float32) for z in (x, y))
     nx, ny = (px * px).sum(1), (py * py).sum(1)
-    budget = _radius(a, b, dim, cosine) ** 2
+    budget = np.float32(_radius(a, b, dim, cosine) ** 2 + ROUGH)
+    py *= -2
     left, right = [np.zeros(0, int)], [np.zeros(0, int)]
     for k in range(0, len(x), STRIP):
-        gap = px[k : k + STRIP] @ (-2 * py.T)
+        gap = px[k : k + STRIP] @ py.T
         gap += ny[None, :]
         i, j = np.nonzero(gap <= (budget - nx[k : k + STRIP])[:, None])
         i += k
