@@ -77,6 +77,11 @@ class _Best:
 
     def offer(self, q: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
         d = np.where(ids[None, :] == self.own[q][:, None], np.inf, d)
+        # Most queries gain nothing from most leaves.
+        gains = (d <= self.d[q, -1:]).any(1) & np.isfinite(d).any(1)
+        q, d = q[gains], d[gains]
+        if not len(q):
+            return
         k = self.d.shape[1]
         alld = np.concatenate([self.d[q], d], 1)
         alli = np.concatenate([self.id[q], np.broadcast_to(ids, d.shape)], 1)
@@ -195,7 +200,7 @@ def _bounds(samples: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
             out = []
             for i, v, d in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "v", "dim")), strict=True):
                 x, ids = samples.get(d, (np.zeros((0, d)), np.zeros(0)))
-                out.append(float(kth(distances(x[ids != i], np.array([v], float)), k)[0]))
+                out.append(float(kth(np.where(ids != i, distances(x, np.array([v], float)), np.inf), k)[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "bound"])
 
     return run
