@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,9 @@ CUT = 1 << 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 _LAST = (1 << 63) - 1
+#: Places of the grams that cover a content, and the odd factors that join their hashes.
+_STEPS = np.arange(0, SPAN + LENGTH - 1, GRAM)
+_WEIGHTS = np.cumprod(np.full(len(_STEPS), 0x94D049BB133111EB, np.uint64))
 
 
 def _rolling(raw: np.ndarray, width: int) -> np.ndarray:
@@ -62,60 +66,92 @@ def _rolling(raw: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _content_hash(h: np.ndarray, lo: np.ndarray, size: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Hash of each content, its length and its anchor's place, from hashes of grams that cover it."""
+    grams = h.take(np.minimum(lo[:, None] + _STEPS, (lo + size - GRAM)[:, None]))
+    mixed = (size * 128 + off).astype(np.uint64) * _MUL + grams @ _WEIGHTS
+    return mixed ^ (mixed >> np.uint64(31))
+
+
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class, anchor, first window, windows) of each run of windows with one minimizer."""
+    """(class, content hash, first window, windows) of each run of windows with one minimizer."""
     h = _rolling(raw, GRAM)
     key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    rows = np.concatenate([key, np.full(-len(key) % SPAN, np.uint64(2**64 - 1))]).reshape(-1, SPAN)
+    rows = np.full(-(-len(key) // SPAN) * SPAN, np.uint64(2**64 - 1))
+    rows[: len(key)] = key
+    rows = rows.reshape(-1, SPAN)
     before = np.minimum.accumulate(rows, axis=1).ravel()
     after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     n = len(raw) - LENGTH + 1
     at = (np.minimum(after[:n], before[SPAN - 1 : SPAN - 1 + n]) & _PLACE).astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return h[at[start]], at[start], start, np.diff(np.append(start, n))
+    edge = np.ones(n + 1, bool)
+    edge[1:n] = at[1:] != at[:-1]
+    bounds = np.flatnonzero(edge)
+    lo, windows = bounds[:-1], bounds[1:] - bounds[:-1]
+    at = at[lo]
+    return h[at], _content_hash(h, lo, windows + LENGTH - 1, at - lo), lo, windows
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["class", "content", "doc_id", "lo", "shape"]
+    names = ["class", "content", "doc_id", "lo", "windows"]
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for first in range(0, len(ids), 512):
-            out: list[list] = [[], [], [], [], []]
+            docs, bases, found = [], [], []
             for doc, text in zip(ids[first : first + 512], texts_of(batch.column(1).slice(first, 512)), strict=True):
                 for base in range(0, max(1, len(text) - LENGTH + 1), CUT):
                     piece = text[base : base + CUT + LENGTH - 1]
-                    if len(piece) < LENGTH:
-                        continue
-                    cls, at, lo, n = anchors(np.frombuffer(piece, np.uint8))
-                    off = at - lo
-                    hashed = [xxhash.xxh3_64_intdigest(piece[a : a + m + LENGTH - 1], o) for a, m, o in zip(lo.tolist(), n.tolist(), off.tolist(), strict=True)]
-                    for to, x in zip(out, (cls.view(np.int64), np.array(hashed, np.uint64).view(np.int64), np.full(len(lo), doc, np.int64), (lo + base).astype(np.int32), (n * 128 + off).astype(np.int32)), strict=True):
-                        to.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+                    if len(piece) >= LENGTH:
+                        docs.append(doc)
+                        bases.append(base)
+                        found.append(anchors(np.frombuffer(piece, np.uint8)))
+            if found:
+                cls, content, lo, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+                n = [len(x[0]) for x in found]
+                columns = (cls.view(np.int64), content.view(np.int64), np.repeat(np.array(docs, np.int64), n), (lo + np.repeat(bases, n)).astype(np.int32), windows.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, cls, lo, shape, body = [], [], [], [], []
+        docs, cls, lo, windows, body = [], [], [], [], []
         for doc, text, wanted in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             for w in wanted:
                 docs.append(doc)
                 cls.append(w["class"])
                 lo.append(w["lo"])
-                shape.append(w["shape"])
-                body.append(text[w["lo"] : w["lo"] + w["shape"] // 128 + LENGTH - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(docs, pa.int64()), pa.array(lo, pa.int32()), pa.array(shape, pa.int32()), pa.array(body, pa.binary())], ["class", "doc_id", "lo", "shape", "body"])
+                windows.append(w["windows"])
+                body.append(text[w["lo"] : w["lo"] + w["windows"] + LENGTH - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(docs, pa.int64()), pa.array(lo, pa.int32()), pa.array(windows, pa.int32()), pa.array(body, pa.binary())], ["class", "doc_id", "lo", "windows", "body"])
+
 
+def _order(key: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of keys between 0 and ``most``: key and place are sorted as one number where both fit."""
+    bits = len(key).bit_length()
+    if most >> (63 - bits):
+        return np.argsort(key, kind="stable")
+    return np.sort((key.astype(np.int64) << bits) | np.arange(len(key))) & ((1 << bits) - 1)
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
+
+def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Dense ranks of keys that stand together in ``order``."""
     sorted_key = key[order]
     rank = np.empty(len(key), np.int64)
     rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
     return rank
 
 
+def _names(h: np.ndarray) -> np.ndarray:
+    """Dense numbers of 64-bit hashes; the full sort is for hashes that differ in their low bits only."""
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    packed = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
+    order = (packed & low).astype(np.int64)
+    same = (packed[1:] & ~low) == (packed[:-1] & ~low)
+    if (same & (h[order[1:]] != h[order[:-1]])).any():
+        order = np.argsort(h)
+    return _ranks(h, order)
+
+
 def shard_transform(symbol: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Suffix array, transform, its LF mapping, and how many suffixes are terminators.
 
@@ -124,24 +160,20 @@ def shard_transform(symbol: np.ndarray, begin: np.ndarray, end: np.ndarray) -> t
     """
     n = len(symbol)
     here = np.arange(n)
-    rank, step, longest = symbol, SYMBOL, int((end - begin).max()) + 1
+    sa = _order(symbol, int(symbol.max()))
+    rank, step, longest = _ranks(symbol, sa), SYMBOL, int((end - begin).max()) + 1
     while step < longest:
-        rank = _dense(rank * (int(rank.max()) + 1) + rank[np.minimum(here + step, end)])
+        most = int(rank.max()) + 1
+        key = rank * most + rank[np.minimum(here + step, end)]
+        sa = _order(key, most * most)
+        rank = _ranks(key, sa)
         step *= 2
-    sa = np.sort(rank * n + here) % n
     before = sa - SYMBOL
-    bwt = np.where(before >= begin[sa], symbol[np.maximum(before, 0)], -1)
-    ends = int((symbol == 0).sum())
-    lf = np.full(n, -1)
-    has = np.flatnonzero(bwt >= 0)
-    lf[has[np.argsort(bwt[has], kind="stable")]] = np.arange(ends, n)
-    return sa, bwt, lf, ends
-
-
-def _by_symbol(c: np.ndarray) -> np.ndarray:
-    """Stable order by symbol: two radix passes."""
-    low = np.argsort((c & 0xFFFF).astype(np.uint16), kind="stable")
-    return low[np.argsort((c[low] >> 16).astype(np.uint16), kind="stable")]
+    has = before >= begin[sa]
+    before = np.maximum(before, 0)
+    row = np.empty(n, np.int32)
+    row[sa] = here
+    return sa, np.where(has, symbol[before], -1).astype(np.int32), np.where(has, row[before], -1).astype(np.int32), int((symbol == 0).sum())
 
 
 def merge_transforms(parts: list[tuple[np.ndarray, np.ndarray, int]], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,25 +182,28 @@ def merge_transforms(parts: list[tuple[np.ndarray, np.ndarray, int]], depth: int
     Returns the interleave (row numbers of the concatenated shards, in merged order) and the
     common-prefix length of each row with the row before it, -1 where it is ``depth`` or more.
     """
-    base = np.cumsum([0] + [len(p[0]) for p in parts])
+    base = np.cumsum([0] + [len(p[0]) for p in parts]).astype(np.int32)
     bwt = np.concatenate([p[0] for p in parts])
     lf = np.concatenate([p[1] + b for p, b in zip(parts, base, strict=False)])
-    stop = np.concatenate([np.arange(p[2]) + b for p, b in zip(parts, base, strict=False)])
-    order, block = np.arange(len(bwt)), np.zeros(len(bwt), np.int64)
-    prefix = np.full(len(bwt), -1)
+    stop = np.concatenate([np.arange(p[2], dtype=np.int32) + b for p, b in zip(parts, base, strict=False)])
+    most = int(bwt.max(initial=0))
+    order, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
+    prefix = np.full(len(bwt), -1, np.int8)
     prefix[:1] = 0
     for level in range(depth):
-        c = bwt[order]
-        has = c >= 0
-        c, row, own = c[has], order[has], block[has]
-        perm = _by_symbol(c)
-        c, own = c[perm], own[perm]
-        order = np.concatenate([stop, lf[row[perm]]])
-        split = np.concatenate([[True], (c[1:] != c[:-1]) | (own[1:] != own[:-1])]) if len(c) else np.zeros(0, bool)
-        edge = np.concatenate([np.zeros(len(stop), bool), split])
+        c = bwt.take(order)
+        has = np.flatnonzero(c >= 0)
+        c = c.take(has)
+        perm = _order(c, most)
+        c, has = c.take(perm), has.take(perm)
+        own = block.take(has)
+        order = np.concatenate([stop, lf.take(order.take(has))])
+        edge = np.zeros(len(bwt), bool)
+        edge[len(stop) : len(stop) + 1] = True
+        edge[len(stop) + 1 :] = (c[1:] != c[:-1]) | (own[1:] != own[:-1])
         fresh = edge & (prefix < 0)
         prefix[fresh] = level
-        block = np.cumsum(edge)
+        block = np.cumsum(edge, dtype=np.int32)
         if level and not fresh.any():
             break
     return order, prefix
@@ -182,9 +217,8 @@ def repeated(bodies: list[bytes], windows: np.ndarray) -> np.ndarray:
     begin, end = np.repeat(base[:-1], size), np.repeat(base[1:] - 1, size)
     here = np.arange(len(flat))
     symbol = np.zeros(len(flat), np.int64)
-    whole = here + SYMBOL <= end
-    hashed = _rolling(flat, SYMBOL)
-    symbol[whole] = _dense(hashed[here[whole]]) + 1
+    whole = np.flatnonzero(here + SYMBOL <= end)
+    symbol[whole] = _names(_rolling(flat, SYMBOL)[whole]) + 1
     parts, rows = [], []
     for k in range(0, len(bodies), SHARD):
         a, b = base[k], base[min(k + SHARD, len(bodies))]
@@ -192,23 +226,22 @@ def repeated(bodies: list[bytes], windows: np.ndarray) -> np.ndarray:
         parts.append((bwt, lf, ends))
         rows.append(sa + a)
     order, prefix = merge_transforms(parts, LENGTH // SYMBOL)
-    place = np.concatenate(rows)[order]
-    interval = np.cumsum(prefix >= 0)
-    own = np.searchsorted(base, place, side="right") - 1
-    counts = place - base[own] < windows[own]
-    place, interval = place[counts], interval[counts]
-    first = np.full(int(interval.max(initial=0)) + 1, len(flat))
-    np.minimum.at(first, interval, place)
+    place = np.concatenate(rows).take(order)
+    interval = np.cumsum(prefix >= 0, dtype=np.int32)
+    counts = np.flatnonzero((here < begin + np.repeat(windows, size)).take(place))
+    place, interval = place.take(counts), interval.take(counts)
+    edge = np.concatenate([[True], interval[1:] != interval[:-1]])[: len(place)]
+    heads = np.flatnonzero(edge)
     mark = np.zeros(len(flat), bool)
-    mark[place] = first[interval] < place
+    if len(heads):
+        mark[place] = np.minimum.reduceat(place, heads)[np.cumsum(edge) - 1] < place
     starts = np.repeat(base[:-1], windows) + (np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))
     return mark[starts]
 
 
 def _merge_bin(table: pa.Table) -> pa.Table:
     table = table.sort_by([("doc_id", "ascending"), ("lo", "ascending")])
-    docs, lo, windows = (np.asarray(table.column(c)) for c in ("doc_id", "lo", "shape"))
-    windows = windows // 128
+    docs, lo, windows = (np.asarray(table.column(c)) for c in ("doc_id", "lo", "windows"))
     found = repeated(table.column("body").to_pylist(), windows)
     start = np.repeat(lo, windows) + (np.arange(len(found)) - np.repeat(np.cumsum(windows) - windows, windows))
     owner = np.repeat(np.arange(len(lo)), windows)
@@ -225,8 +258,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first in range(0, batch.num_rows, 256):
             key, low, docs, at = [], [], [], []
             part = batch.slice(first, 256)
-            for doc, lo, shape, body in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                for k in range(shape // 128):
+            for doc, lo, windows, body in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+                for k in range(windows):
                     h = xxhash.xxh3_128_digest(body[k : k + LENGTH])
                     key.append(h[:8])
                     low.append(h[8:])
@@ -242,7 +275,7 @@ def repeats(docs: DataFrame, crowd: int = CROWD, bin_size: int = BIN) -> DataFra
     ``docs`` has doc_id (unique, not null) and text. Order is by doc_id, then start.
     """
     spark = docs.sparkSession
-    seen = materialize(docs.mapInArrow(_scan, "class bigint, content bigint, doc_id bigint, lo int, shape int"))
+    seen = materialize(docs.mapInArrow(_scan, "class bigint, content bigint, doc_id bigint, lo int, windows int"))
     classes = materialize(seen.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class"))
     release(spark)
     shared = materialize(seen.join(classes, "class"))
@@ -250,25 +283,25 @@ def repeats(docs: DataFrame, crowd: int = CROWD, bin_size: int = BIN) -> DataFra
     discard(seen)
     discard(classes)
     firsts = materialize(
-        shared.groupBy("class", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "lo", "shape")).alias("f")).select("class", "content", "n", "f.*")
+        shared.groupBy("class", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "lo", "windows")).alias("f")).select("class", "content", "n", "f.*")
     )
     release(spark)
     again = firsts.filter("n > 1").select("class", "content", F.col("doc_id").alias("d"), F.col("lo").alias("l"))
-    whole = shared.join(again, ["class", "content"]).filter("doc_id <> d or lo <> l").select("doc_id", "lo", (F.col("lo") + F.floor(F.col("shape") / 128).cast("int") + (LENGTH - 1)).alias("hi"))
+    whole = shared.join(again, ["class", "content"]).filter("doc_id <> d or lo <> l").select("doc_id", "lo", (F.col("lo") + F.col("windows") + (LENGTH - 1)).alias("hi"))
     whole = materialize(whole)
     release(spark)
     discard(shared)
     mixed = firsts.groupBy("class").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1")
-    wanted = firsts.join(mixed, "class").groupBy("doc_id").agg(F.collect_list(F.struct("class", "lo", "shape")).alias("wanted"))
-    bodies = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contents, "class bigint, doc_id bigint, lo int, shape int, body binary")
+    wanted = firsts.join(mixed, "class").groupBy("doc_id").agg(F.collect_list(F.struct("class", "lo", "windows")).alias("wanted"))
+    bodies = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contents, "class bigint, doc_id bigint, lo int, windows int, body binary")
     bodies = materialize(bodies)
     sized = materialize(firsts.groupBy("class").agg(F.count(F.lit(1)).alias("contents")).filter(F.col("contents") > crowd).select("class"))
     release(spark)
     discard(firsts)
     bins = max(1, bodies.count() // bin_size)
     calm = bodies.join(sized, "class", "left_anti").withColumn("bin", F.pmod(F.xxhash64("class"), F.lit(bins)))
-    found = calm.select("bin", "doc_id", "lo", "shape", "body").groupBy("bin").applyInArrow(_merge_bin, "doc_id bigint, lo int, hi int")
-    each = bodies.join(sized, "class", "left_semi").select("doc_id", "lo", "shape", "body").mapInArrow(_windows, "k1 bigint, k2 bigint, doc_id bigint, lo int")
+    found = calm.select("bin", "doc_id", "lo", "windows", "body").groupBy("bin").applyInArrow(_merge_bin, "doc_id bigint, lo int, hi int")
+    each = bodies.join(sized, "class", "left_semi").select("doc_id", "lo", "windows", "body").mapInArrow(_windows, "k1 bigint, k2 bigint, doc_id bigint, lo int")
     least = each.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "lo")).alias("f")).filter("n > 1")
     rest = each.join(least, ["k1", "k2"]).filter(F.struct("doc_id", "lo") > F.col("f")).select("doc_id", "lo", (F.col("lo") + LENGTH).alias("hi"))
     spans = materialize(whole.unionByName(found).unionByName(rest))
@@ -278,37 +311,50 @@ def repeats(docs: DataFrame, crowd: int = CROWD, bin_size: int = BIN) -> DataFra
     return spans
 
 
-def _union(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], min(s["hi"], size)) for s in spans or ()):
-        if lo >= hi:
-            continue
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
-
-
-def _keep(text: bytes, runs: list[tuple[int, int]]) -> bytes:
-    edges = [0, *(x for run in runs for x in run), len(text)]
-    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+def _edges(spans: pa.Array, size: np.ndarray) -> list[list[int]]:
+    """For each row the starts and ends, in turn, of the disjoint runs that its ranges cover."""
+    flat, n = spans.flatten(), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    base = np.concatenate([[0], np.cumsum(size + 1)])
+    lo, hi = (np.asarray(flat.field(c)).astype(np.int64) for c in ("lo", "hi"))
+    hi = np.minimum(hi, size[row])
+    some = np.flatnonzero(lo < hi)
+    lo, hi = lo[some] + base[row[some]], hi[some] + base[row[some]]
+    order = np.argsort(lo)
+    lo, top = lo[order], np.maximum.accumulate(hi[order])
+    new = np.ones(len(lo) + 1, bool)
+    new[1:-1] = lo[1:] > top[:-1]
+    if not len(lo):
+        return [[] for _ in n]
+    bounds = np.flatnonzero(new)
+    start, end = lo[bounds[:-1]], top[bounds[1:] - 1]
+    own = np.searchsorted(base, start, side="right") - 1
+    both = np.stack([start - base[own], end - base[own]], axis=1).ravel().tolist()
+    cuts = (2 * np.searchsorted(own, np.arange(len(n) + 1))).tolist()
+    return [both[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _keep(text: bytes, edges: list[int]) -> bytes:
+    if not edges:
+        return text
+    return b"".join(text[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(text)], strict=True))
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for text, spans in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            runs = _union(spans, len(text))
-            for to, x in zip(out, (len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_keep(text, runs)).hexdigest()), strict=True):
-                to.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        texts = texts_of(batch.column(1))
+        size = np.array([len(x) for x in texts], np.int64)
+        edges = _edges(batch.column(2), size)
+        kept = [_keep(t, e) for t, e in zip(texts, edges, strict=True)]
+        columns = [pa.array(size), pa.array(size - [len(x) for x in kept], pa.int64()), pa.array([len(e) // 2 for e in edges], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 @F.arrow_udf(returnType=T.StringType())
 def _kept_text(text: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([_keep(t, _union(s, len(t))).decode("utf-8", "ignore") for t, s in zip(texts_of(text), spans.to_pylist(), strict=True)], pa.string())
+    texts = texts_of(text)
+    edges = _edges(spans, np.array([len(x) for x in texts], np.int64))
+    return pa.array([_keep(t, e).decode("utf-8", "ignore") for t, e in zip(texts, edges, strict=True)], pa.string())
 
 
 def _numbered(docs: DataFrame, key: str) -> DataFrame:
