@@ -48,19 +48,31 @@ def visual_rows(words: DataFrame, tolerance: float = ROW_GAP) -> DataFrame:
     return rows.select("doc", "page", "row", F.array_min(F.transform("r.words", lambda w: w["y0"])).alias("y0"), F.array_join(F.transform(F.array_sort("r.words"), lambda w: w["text"]), " ").alias("text"))
 
 
+def _label_pattern() -> str:
+    """Any label as a whole word with its colon; of labels that start together the longest."""
+    labels = sorted((x for some in LABELS.values() for x in some), key=len, reverse=True)
+    return r"(?U)(?<![^\W\d_])(?:" + "|".join(rf"\Q{x}\E" for x in labels) + r")(?![^\W\d_])\s*:?"
+
+
 def label_hits(lines: DataFrame) -> DataFrame:
-    """Adds ``hits``: (start, end, kind) of labels, the longest of equal starts, none overlapping."""
-    low = fold(F.col("text"), nfc=False)
-    kind = "array<struct<s:int,neg:int,e:int,kind:string>>"
-    found = []
-    for name, labels in LABELS.items():
-        for x in labels:
-            at = F.regexp_instr(low, F.lit(r"(?U)(?<![^\W\d_])\Q" + x + r"\E(?![^\W\d_])"))
-            tail = F.length(F.regexp_extract(F.substr(low, at + len(x)), r"^\s*:?", 0))
-            found.append(F.when(at > 0, F.struct((at - 1).alias("s"), (-(tail + len(x))).alias("neg"), (at - 1 + len(x) + tail).alias("e"), F.lit(name).alias("kind"))))
-    ordered = F.array_sort(F.array_compact(F.array(*found))).cast(kind)
-    keep = F.aggregate(ordered, F.array().cast(kind), lambda acc, h: F.when((F.size(acc) == 0) | (h["s"] >= F.try_element_at(acc, F.lit(-1))["e"]), F.concat(acc, F.array(h))).otherwise(acc))
-    return lines.withColumn("hits", F.transform(keep, lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"), h["kind"].alias("kind"))))
+    """Adds ``hits``: (s, e, kind) of every label in a line, the longest of equal starts, none overlapping.
+
+    Lines flagged ``is_tx``, where there is such a column, hold merchants and no labels. Null text has none.
+    """
+    low, pattern = F.coalesce(fold(F.col("text"), nfc=False), F.lit("")), _label_pattern()
+    kinds = F.create_map(*[F.lit(x) for kind, labels in LABELS.items() for label in labels for x in (label, kind)])
+    chars = lambda parts, n: F.length(F.array_join(F.slice(parts, 1, n), ""))
+    found, gaps = F.col("_found"), F.col("_gaps")
+
+    def hit(x: Column, k: Column) -> Column:
+        start = chars(gaps, k + 1) + chars(found, k)
+        return F.struct(start.alias("s"), (start + F.length(x)).alias("e"), F.element_at(kinds, F.regexp_replace(x, r"(?U)\s*:?$", "")).alias("kind"))
+
+    cut = lines.withColumns({"_found": F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), "_gaps": F.split(low, pattern)})
+    hits = F.transform(found, hit)
+    if "is_tx" in lines.columns:
+        hits = F.when(F.coalesce("is_tx", F.lit(False)), F.slice(hits, 1, 0)).otherwise(hits)
+    return cut.withColumn("hits", hits).drop("_found", "_gaps")
 
 
 def label_values(lines: DataFrame) -> DataFrame:
@@ -79,23 +91,29 @@ def known_names(values: DataFrame) -> DataFrame:
 def address_lines(lines: DataFrame) -> DataFrame:
     """doc, page, y0, text of unlabelled lines aligned under a name or address, at most four.
 
-    Lines not aligned are passed over; a labelled line, or a gap of over 2.2 line heights,
-    ends the address. Only the 14 following lines are looked at.
+    Aligned is what starts where the label's line or the value itself does; other lines are
+    passed over. A labelled line, a transaction (``is_tx``, where there is such a column), or a
+    gap of over 2.2 line heights ends the address. Only the 14 following lines are looked at.
     """
     order = Window.partitionBy("doc", "page").orderBy(F.round("y0", 1), "x0")
     rows = label_hits(lines).withColumn("n", F.row_number().over(order))
-    item = F.struct("n", "y0", "x0", "height", "text", (F.size("hits") > 0).alias("labelled"))
+    tx = F.coalesce("is_tx", F.lit(False)) if "is_tx" in lines.columns else F.lit(False)
+    item = F.struct("n", "y0", "x0", "height", "text", ((F.size("hits") > 0) | tx).alias("ends"))
     ahead = F.collect_list(item).over(order.rowsBetween(1, SCAN))
-    anchors = rows.withColumn("ahead", ahead).filter(F.exists("hits", lambda h: h["kind"].isin("name", "address")))
+    each = rows.withColumn("ahead", ahead).select("*", F.posexplode("hits").alias("k", "h")).filter(F.col("h.kind").isin("name", "address"))
+    until = F.coalesce(F.get("hits", F.col("k") + 1)["s"], F.length("text"))
+    starts = F.transform("words", lambda w, i: F.struct((F.length(F.array_join(F.transform(F.slice("words", 1, i), lambda x: x["text"]), " ")) + F.when(i > 0, 1).otherwise(0)).alias("at"), w["x0"].alias("x0")))
+    value = F.get(F.filter(starts, lambda w: (w["at"] >= F.col("h.e")) & (w["at"] < until)), F.lit(0))
+    anchors = each.withColumn("value_x", value["x0"]).filter("value_x is not null")
     state = "struct<y:double,h:double,open:boolean,out:array<struct<y0:double,text:string>>>"
     begin = F.struct(F.col("y0").cast("double").alias("y"), F.col("height").cast("double").alias("h"), F.lit(True).alias("open"), F.array().cast("array<struct<y0:double,text:string>>").alias("out")).cast(state)
 
     def step(acc: Column, w: Column) -> Column:
         stop = ~acc["open"] | (w["y0"] - acc["y"] > LINE_GAP * F.greatest(acc["h"], F.lit(1.0))) | (F.size(acc["out"]) >= ADDRESS_LINES)
-        aside = (F.abs(w["x0"] - F.col("x0")) >= ALIGNED) | (w["y0"] <= acc["y"])
+        aside = ((F.abs(w["x0"] - F.col("x0")) >= ALIGNED) & (F.abs(w["x0"] - F.col("value_x")) >= ALIGNED)) | (w["y0"] <= acc["y"])
         closed = F.struct(acc["y"].alias("y"), acc["h"].alias("h"), F.lit(False).alias("open"), acc["out"].alias("out"))
         taken = F.struct(w["y0"].alias("y"), w["height"].alias("h"), F.lit(True).alias("open"), F.concat(acc["out"], F.array(F.struct(w["y0"].alias("y0"), w["text"].alias("text")))).alias("out"))
-        return F.when(stop, closed).when(aside, acc).when(w["labelled"], closed).otherwise(taken).cast(state)
+        return F.when(stop, closed).when(aside, acc).when(w["ends"], closed).otherwise(taken).cast(state)
 
     return anchors.select("doc", "page", F.explode(F.aggregate("ahead", begin, step)["out"]).alias("a")).select("doc", "page", "a.*").distinct()
 
