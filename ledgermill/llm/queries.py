@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmlcut, mixing, neardup, packing, quality, simhash, suffixdup, toxicity, vptree
+from . import chat, htmlcut, mixing, neardup, packing, quality, simhash, suffixdup, toxicity, vectorcodes, vptree
 from .common import read
 
 #: Power of a source's share of bytes that is its target weight: zero, so all have the same.
@@ -57,6 +57,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", F.col("mix_bytes").alias("n_bytes"), F.col("mix_start").alias("source_start"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_chat": op2_chat,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op13_codes": op13_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_chat": chat.ORACLE, "op13_codes": vectorcodes.ORACLE}
