@@ -198,7 +198,7 @@ def oracle(parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, uni
     return f"""
 WITH kept AS (
   SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, embedding AS v FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, z -> z IS NULL OR NOT isfinite(z))) = 0
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0
 ), w AS (SELECT len(v) // {parts} AS w FROM kept WHERE r = 0
 ), x AS (
   SELECT r, (j - 1) // w AS p, (j - 1) % w AS i, CAST(floor(CAST(v[j] AS DOUBLE) * {unit}) AS BIGINT) AS c
