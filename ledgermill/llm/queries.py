@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmlcut, mixing, neardup, packing, quality, repair, simhash, suffixdup, toxicity, vectorcodes, vptree
+from . import chat, crossparse, htmlcut, mixing, neardup, packing, quality, repair, simhash, suffixdup, toxicity, vectorcodes, vptree
 from .common import read
 
 #: Power of a source's share of bytes that is its target weight: zero, so all have the same.
@@ -57,6 +57,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", F.col("mix_bytes").alias("n_bytes"), F.col("mix_start").alias("source_start"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossparse.identify(read(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(read(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_language": op11_language,
     "op12_repair": op12_repair,
     "op13_codes": op13_codes,
 }
