@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, forest, materialize, release, texts_of
+from .suffixdup import _LAST as LAST
+from .suffixdup import _numbered
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHINGLE = 3
@@ -130,11 +132,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents without later members of near-duplicate groups: the smallest doc_id stays.
+def drop_near_duplicates(docs: DataFrame, direct: int = DIRECT) -> DataFrame:
+    """One row of each group of near-duplicates: that with the smallest doc_id, with all columns.
 
-    Rows without an id and rows that repeat a kept id stay.
+    Every row is judged alone: of rows that share an id each stays or goes by its own text,
+    and where a group's smallest id stands in several rows, that with the smallest hash of
+    its text stays. Rows without an id come after all others; of repeated rows one stays.
+    Null and empty texts are one group, as in near_duplicates(); an empty table stays empty.
     """
-    found = near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
+    if not keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        keyed = _numbered(docs, key)
+    found = near_duplicates(keyed, key, direct=direct)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    return keyed.join(gone, key, "left_anti").select(docs.columns)

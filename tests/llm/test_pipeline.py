@@ -53,6 +53,21 @@ def test_odd_tables(spark):
             assert out.count() <= max(len(rows), 4) * 3
 
 
+def test_a_unique_text_under_a_repeated_id_passes_all_stages(spark):
+    """The id 5 stands beside a copy and beside a text of its own; only the copy goes."""
+    docs = read(spark, FOLDER, "documents").filter("length(text) > 600").limit(3).collect()
+    w, u, x = (r.text for r in docs)
+    rows = [(1, w, "en", "a", len(w)), (5, w, "en", "a", len(w)), (5, u, "en", "b", len(u)), (None, w, "en", "b", len(w)), (None, x, "en", "c", len(x))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    single = dict(cp.STAGES)["near_duplicates"](spark, table, FOLDER)
+    assert sorted(map(tuple, single.collect()), key=repr) == sorted([rows[0], rows[2], rows[4]], key=repr)
+    for _, stage in cp.STAGES[2:4]:
+        single = materialize(stage(spark, single, FOLDER))
+    assert single.count() == 3
+    packed = dict(cp.STAGES)["packing"](spark, single, FOLDER)
+    assert {r.doc_id for r in packed.collect()} == {1, 5, None}
+
+
 def test_sequences_follow_the_mixture(spark):
     """The small source holds its tempered share of tokens along sequence_id until it runs dry."""
     rows = [(i, "word and thing " * 2700, "small" if i % 10 == 0 else "large") for i in range(400)]
