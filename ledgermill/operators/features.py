@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import smallest_share
+
 LOW, HIGH, MIN_DF, VOCABULARY = 2, 5, 2, 20_000
 ABSTAIN, SURE, BINS = 0.55, 0.90, 10
 
@@ -81,33 +83,52 @@ def predict(scores: DataFrame, other: str, threshold: float = ABSTAIN) -> DataFr
     return best.select("row_id", "top", "confidence", F.when(unsure, other).otherwise(F.col("top")).alias("label"), unsure.alias("abstained"))
 
 
-def fit_logistic(weights: DataFrame, labels: DataFrame, c: float = 10.0, size: int = 1 << 15):
-    """Multinomial logistic regression on hashed terms: (Spark ML model, hashed rows).
+def fit_logistic(rows: DataFrame, text: str, label: str, c: float = 10.0, size: int = 1 << 15):
+    """Multinomial logistic regression on hashed n-grams: a Spark ML pipeline model, ``prediction`` numbers the labels by name.
 
-    The rows become sparse vectors of ``size`` slots; the model's size doesn't grow with them.
+    Terms fall into ``size`` slots, so the model's size doesn't grow with the rows; ``n_grams`` is added.
     """
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
+
+    named = with_ngrams(rows.filter(F.col(label).isNotNull()), text)
+    steps = [
+        StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc"), HashingTF(inputCol="n_grams", outputCol="tf", numFeatures=size), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=MIN_DF), Normalizer(inputCol="tfidf", outputCol="x"),
+        LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (c * max(rows.count(), 1)), standardization=False, maxIter=60),
+    ]
+    return Pipeline(stages=steps).fit(named)
+
+
+def with_ngrams(rows: DataFrame, text: str) -> DataFrame:
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    return rows.withColumn("n_grams", F.flatten(F.transform(words, lambda w: char_wb_ngrams(w))))
 
-    sparse = F.udf(lambda cells: Vectors.sparse(size, sorted((x["slot"], x["w"]) for x in cells)), VectorUDT())
-    slots = weights.groupBy("row_id", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("slot")).agg(F.sum("weight").alias("w"))
-    rows = slots.groupBy("row_id").agg(F.collect_list(F.struct("slot", "w")).alias("cells")).join(labels, "row_id")
-    hashed = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows).transform(rows).select("row_id", "label", "y", sparse("cells").alias("x")).cache()
-    model = LogisticRegression(featuresCol="x", labelCol="y", regParam=1.0 / (c * max(hashed.count(), 1)), standardization=False, maxIter=60).fit(hashed)
-    return model, hashed
+
+def hash_key(seed: int, *columns: str) -> Column:
+    """A number of 60 bits from the MD5 of a seed and of columns as text, nulls empty."""
+    words = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *words).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def stratified_split(rows: DataFrame, label: str, row_id: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds is_test: the given share of each class, by a hash of the seed and the row."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), row_id), row_id)
-    return rows.withColumn("is_test", F.percent_rank().over(order) < test)
+    """Adds is_test: the nearest number of rows to the given share of each class, those with the smallest hashes.
+
+    The hash of the last one is selected by rank, so no task holds a class. Rows with one id
+    are on one side; rows without a class form one.
+    """
+    keyed = rows.withColumns({"_key": hash_key(seed, row_id), "_class": F.struct(F.lit(0).alias("_"), label)})
+    limits = smallest_share(keyed, ["_class"], "_key", test).select(F.col("_class").alias("_of"), "limit")
+    joined = keyed.join(limits, F.col("_class") == F.col("_of"), "left")
+    return joined.withColumn("is_test", F.coalesce(F.col("_key") <= F.col("limit"), F.lit(False))).drop("_key", "_class", "_of", "limit")
 
 
 def group_split(rows: DataFrame, group: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds is_test: whole groups, so that none is on both sides, by a hash of the group."""
-    share = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(group).cast("string"), F.lit(""))), F.lit(10_000)) / 10_000
-    return rows.withColumn("is_test", share < test)
+    """Adds is_test: the given share of the groups, whole, so that none is on both sides; rows without one form one."""
+    key = hash_key(seed, group)
+    limit = smallest_share(rows.select(key.alias("_key")).distinct(), [], "_key", test)
+    joined = rows.withColumn("_key", key).join(F.broadcast(limit), F.lit(True), "left")
+    return joined.withColumn("is_test", F.coalesce(F.col("_key") <= F.col("limit"), F.lit(False))).drop("_key", "limit")
 
 
 def confusion(rows: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forecasts, questions, statements, texts, transactions
+from . import forecasts, learning, questions, statements, texts, transactions
 
-_PARTS = (transactions, texts, statements, forecasts, questions)
+_PARTS = (transactions, texts, statements, forecasts, learning, questions)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

@@ -120,24 +120,6 @@ def ml_selective(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("source", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "coverage", "selective_accuracy", "confident_wrong")])
 
 
-def ml_group_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups on both sides of a split by source: none."""
-    got = features.group_split(read(spark, sf, "documents"), "source")
-    return got.groupBy("source").agg(F.count_distinct("is_test").alias("sides"))
-
-
-def ml_naive_bayes(spark: SparkSession, sf: str) -> DataFrame:
-    """The language of every document by n-gram naive Bayes fitted on one side of a split."""
-    docs = features.stratified_split(read(spark, sf, "documents").select("doc_id", "lang", F.lower("text").alias("text")), "lang", "doc_id")
-    counts = features.terms(docs, "doc_id", "text")
-    vocab = features.vocabulary(counts, docs.count())
-    weights = features.tfidf(counts, vocab)
-    train = docs.filter("not is_test").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("label"))
-    coefs, intercepts = features.fit_naive_bayes(weights.join(train.select("row_id"), "row_id", "left_semi"), train)
-    got = features.predict(features.class_scores(weights, coefs, intercepts), "other")
-    return got.join(docs.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("truth"), "is_test"), "row_id").select(F.col("row_id").alias("doc_id"), "truth", "label", "abstained", "is_test")
-
-
 def ml_word_attribution(spark: SparkSession, sf: str) -> DataFrame:
     """Words of benchmark items by the summed weights of their n-grams."""
     rows = _benchmark(spark, sf)
@@ -149,7 +131,7 @@ def ml_word_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fc_calendar, fc_weekday_mean, fc_folds, fc_scores, fc_selection, fc_selection_all, fc_daily_band, fc_forecast, fc_expected_total, fin_real_rate, fin_scenarios, fin_best_asset, ml_ngrams, ml_tfidf, ml_class_metrics, ml_calibration, ml_selective,
-    ml_group_split, ml_naive_bayes, ml_word_attribution,
+    ml_word_attribution,
 )}
 
 _DAYS = """
@@ -217,7 +199,6 @@ ORACLE_SQL = {
       SELECT round(sum(n * gap) / (SELECT count(*) FROM ev), 6) AS ece FROM b WHERE b >= 1""",
     "ml_selective": f"""WITH {_EVAL} SELECT source, count(*) AS n, round(avg(CASE WHEN is_right THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(CASE WHEN abstained THEN 0.0 ELSE 1.0 END), 6) AS coverage,
       round(avg(CASE WHEN is_right THEN 1.0 ELSE 0.0 END) FILTER (NOT abstained), 6) AS selective_accuracy, round(avg(CASE WHEN NOT is_right AND confidence >= 0.9 AND NOT abstained THEN 1.0 ELSE 0.0 END), 6) AS confident_wrong FROM ev GROUP BY 1""",
-    "ml_group_split": "SELECT source, CAST(1 AS BIGINT) AS sides FROM documents GROUP BY 1",
     "ml_word_attribution": f"""WITH {_TFIDF}, k AS (SELECT item_id, pos, word, term, count(*) AS c FROM g GROUP BY 1, 2, 3, 4), s AS (SELECT *, c / sum(c) OVER (PARTITION BY item_id, term) AS part FROM k)
       SELECT s.item_id, CAST(s.pos AS INTEGER) AS pos, s.word, round(sum(part * weight), 5) AS value FROM s JOIN tfidf t ON t.item_id = s.item_id AND t.term = s.term GROUP BY 1, 2, 3""",
 }

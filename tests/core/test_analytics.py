@@ -133,8 +133,8 @@ def test_features_and_classifiers(spark):
     assert norms == pytest.approx([1.0] * 20)
     got = features.predict(features.class_scores(weights, *features.fit_naive_bayes(weights, rows.select("row_id", "label"))), "other").collect()
     assert all(r.label == ("m" if r.row_id % 2 else "b") and not r.abstained for r in got)
-    model, hashed = features.fit_logistic(weights, rows.select("row_id", "label"), size=1 << 10)
-    assert model.transform(hashed).filter("prediction <> y").count() == 0
+    model = features.fit_logistic(rows, "text", "label", size=1 << 10)
+    assert model.transform(features.with_ngrams(rows, "text")).filter("prediction <> y").count() == 0
 
 
 def test_documents_and_pipeline(spark, tmp_path):
