@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import anomaly, copilot, merging, obligations
+from ..operators import anomaly, copilot, isolation, merging, obligations
 from ..schema import TX_SQL, copilot_refund, copilot_spend, dashboard_spend, read, tx_of
 
 BY = ["statement"]
@@ -208,8 +208,9 @@ def win_anomaly_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def win_isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Forest scores and flags of all rows; z to one digit, since a z of 0.6745 is common and no last bit decides its third."""
     got = anomaly.detect_anomalies(tx_of(spark, sf), BY, TIES)
-    return got.select("statement", "l_orderkey", "l_linenumber", "anomaly_score", "iforest_score", "is_anomaly")
+    return got.select("statement", "l_orderkey", "l_linenumber", F.round("anomaly_score", 1).alias("anomaly_score"), "iforest_score", "is_anomaly")
 
 
 def obl_rhythms(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,6 +312,41 @@ told AS (
   UNION ALL SELECT statement, '', 0 FROM tx WHERE NOT (amount > 0 AND transaction_type IN ('EXPENSE', 'INSTALLMENT', 'FINANCING_FEE'))
 )"""
 
+_PRIME = isolation.PRIME
+
+
+def _forest(src: str, entity: str, row: list[str], features: list[str], ties: list[str]) -> str:
+    """Tables that grow the isolation forests of ``src`` level by level (nodes) and score its rows (iforest: row, score)."""
+    hex_of = lambda text, at: f"CAST('0x' || substr(md5({text}), {at}, 15) AS BIGINT)"
+    name = " || ':' || ".join(f"coalesce(CAST({t} AS VARCHAR), '')" for t in ties)
+    key, levels = ", ".join(row), range((isolation.SAMPLE - 1).bit_length() + 1)
+    path = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    ranges = ", ".join(f"min(f[{k}]) AS lo{k}, max(f[{k}]) AS hi{k}" for k in range(1, len(features) + 1))
+    lists = f"[{', '.join(f'lo{k}' for k in range(1, len(features) + 1))}] AS lo, [{', '.join(f'hi{k}' for k in range(1, len(features) + 1))}] AS hi"
+    steps = [
+        f"""src AS MATERIALIZED (SELECT {entity} AS e, {key}, [{", ".join(f"CAST({f} AS DOUBLE)" for f in features)}] AS f, row_number() OVER (PARTITION BY {entity} ORDER BY {hex_of(f"'42:' || {name}", 1)}, {", ".join(ties)}) AS r, count(*) OVER (PARTITION BY {entity}) AS many FROM {src}),
+tree AS MATERIALIZED (SELECT t, 1 + {hex_of("'42:' || t", 1)} % {_PRIME - 1} AS a FROM (SELECT unnest(range(0, {isolation.TREES})) AS t)),
+draw AS MATERIALIZED (SELECT t, k, {hex_of("'42:' || t || ':' || k", 1)} / pow(16.0, 15) AS u, {hex_of("'42:' || t || ':' || k", 16)} / pow(16.0, 15) AS w FROM tree, (SELECT unnest(range(0, {2 ** len(levels) - 1})) AS k)),
+size AS (SELECT e, least({isolation.SAMPLE}, {isolation.POOL}, max(many)) AS size FROM src GROUP BY 1),
+p0 AS MATERIALIZED (SELECT e, t, 0 AS k, f, CAST(ceil(log2(greatest(size, 2))) AS INTEGER) AS most FROM (SELECT src.e, t, f, size, row_number() OVER (PARTITION BY src.e, t ORDER BY r * a % {_PRIME}) AS n FROM src JOIN size ON size.e = src.e CROSS JOIN tree WHERE r <= {isolation.POOL}) WHERE n <= size)"""
+    ]
+    for d in levels:
+        steps.append(f"""n{d} AS MATERIALIZED (SELECT e, t, k, CASE WHEN leaf THEN NULL ELSE axis END AS axis, CASE WHEN leaf THEN NULL ELSE lo[axis] + w * (hi[axis] - lo[axis]) END AS cut, CASE WHEN leaf THEN {d} + {path("c")} END AS depth
+  FROM (SELECT *, {d} >= most OR c < 2 OR len(ways) = 0 AS leaf, ways[1 + CAST(floor(u * len(ways)) AS INTEGER)] AS axis
+    FROM (SELECT *, list_filter(range(1, {len(features) + 1}), lambda i: hi[i] > lo[i]) AS ways FROM (SELECT e, t, k, most, c, {lists} FROM (SELECT e, t, k, most, count(*) AS c, {ranges} FROM p{d} GROUP BY 1, 2, 3, 4))) JOIN draw USING (t, k)))""")
+        if d + 1 < len(levels):
+            steps.append(f"p{d + 1} AS MATERIALIZED (SELECT p.e, p.t, 2 * p.k + CASE WHEN p.f[axis] >= cut THEN 2 ELSE 1 END AS k, p.f, p.most FROM p{d} p JOIN n{d} n ON n.e = p.e AND n.t = p.t AND n.k = p.k WHERE axis IS NOT NULL)")
+    steps.append(f"s0 AS MATERIALIZED (SELECT e, {key}, f, t, 0 AS k FROM src CROSS JOIN tree)")
+    own = ", ".join(f"s.{r}" for r in row)
+    for d in levels:
+        steps.append(f"h{d} AS MATERIALIZED (SELECT s.e, {own}, s.f, s.t, s.k, axis, cut, depth FROM s{d} s JOIN n{d} n ON n.e = s.e AND n.t = s.t AND n.k = s.k)")
+        if d + 1 < len(levels):
+            steps.append(f"s{d + 1} AS MATERIALIZED (SELECT e, {key}, f, t, 2 * k + CASE WHEN f[axis] >= cut THEN 2 ELSE 1 END AS k FROM h{d} WHERE axis IS NOT NULL)")
+    ends = " UNION ALL ".join(f"SELECT e, {key}, depth FROM h{d} WHERE axis IS NULL" for d in levels)
+    steps.append(f"iforest AS (SELECT {', '.join('z.' + r for r in row)}, pow(2.0, -avg(depth) / greatest(any_value({path('size')}), 1e-9)) AS score FROM ({ends}) z JOIN size ON size.e = z.e GROUP BY {', '.join('z.' + r for r in row)})")
+    return ",\n".join(steps)
+
+
 _NAMES = "[" + ", ".join(f"'{name}'" for name, _, _ in copilot.CATEGORIES) + "]"
 _QUESTIONED = f"{TX_SQL}, q AS (SELECT * EXCLUDE (category), list_extract({_NAMES}, CAST(l_partkey % {len(copilot.CATEGORIES)} AS INTEGER) + 1) AS category FROM tx)"
 _TL = "translate(format('{{:,.2f}}', CAST({} AS DOUBLE)), ',.', '.,') || ' TL'"
@@ -398,6 +434,14 @@ ORACLE_SQL = {
     "win_duplicates": "SELECT event_id, coalesce(date_diff('day', lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id, round(value, 0) ORDER BY CAST(ts AS DATE), event_id), CAST(ts AS DATE)) <= 3, false) AS is_duplicate FROM events",
     "win_novel": """WITH h AS (SELECT * FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1996-01-01'), q AS (SELECT quantile_cont(o_totalprice, 0.9) AS lim, count(*) AS n FROM h WHERE o_totalprice > 0)
       SELECT o_orderkey, o_custkey NOT IN (SELECT o_custkey FROM h) AND n >= 20 AND o_totalprice > lim AS is_novel FROM orders, q WHERE CAST(o_orderdate AS DATE) >= DATE '1996-01-01'""",
+    "win_isolation_forest": f"""WITH {TX_SQL}, {_ANOMALY[: _ANOMALY.index("told AS (")]}
+      ff AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, count(*) OVER (PARTITION BY statement, clean_description) / count(*) OVER (PARTITION BY statement) AS mf,
+        sin(2 * pi() * (isodow(date) - 1) / 7) AS ds, cos(2 * pi() * (isodow(date) - 1) / 7) AS dc FROM s),
+      {_forest("(SELECT * FROM ff WHERE spend_n >= 30)", "statement", ["rid"], ["lg", "z", "mf", "ds", "dc"], TIES)}
+      SELECT statement, l_orderkey, l_linenumber, round(round(greatest(z, 0), 3), 1) AS anomaly_score, coalesce(round(score, 3), 0.0) AS iforest_score,
+        coalesce(installment_no IS NULL AND gap <= 3, false) OR (z > 3.5 AND ratio >= 2) OR coalesce(score > 0.65 AND z > 3 AND ratio >= 2, false) AS is_anomaly FROM ff LEFT JOIN iforest USING (rid)
+      UNION ALL SELECT statement, l_orderkey, l_linenumber, 0.0, 0.0, false FROM spend WHERE spend_n < 5
+      UNION ALL SELECT statement, l_orderkey, l_linenumber, 0.0, 0.0, false FROM tx WHERE NOT (amount > 0 AND transaction_type IN ('EXPENSE', 'INSTALLMENT', 'FINANCING_FEE'))""",
     "win_forest_features": """SELECT event_id, round(ln(1 + abs(value)), 6) AS log_amount, round(count(*) OVER (PARTITION BY user_id, event_type) / count(*) OVER (PARTITION BY user_id), 6) AS merchant_frequency,
       round(sin(2 * pi() * (isodow(CAST(ts AS DATE)) - 1) / 7), 6) AS dow_sin, round(cos(2 * pi() * (isodow(CAST(ts AS DATE)) - 1) / 7), 6) AS dow_cos FROM events""",
     "win_gaps": "SELECT event_id, CAST(date_diff('day', lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE), event_id), CAST(ts AS DATE)) AS INTEGER) AS gap FROM events",
