@@ -31,9 +31,10 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: Callable
     """by, n, rank, kth: for each rank (from 0) of ``ranks(n)`` the value at it among a group's ``n`` that aren't null.
 
     ``ranks`` gives an array for a group's size. Groups are equal where their columns are,
-    nulls too. Values are numbers whose range is finite.
+    nulls too. Values are numbers whose range is finite. The passes read a copy of the groups
+    and values alone; the result is a table of its own.
     """
-    base = rows.select(F.struct(F.lit(0).alias("_"), *by).alias("g"), F.col(value).alias("v")).filter("v is not null")
+    base = materialize(rows.select(F.struct(F.lit(0).alias("_"), *by).alias("g"), F.col(value).alias("v")).filter("v is not null"))
     sizes = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     # at: the rank among the rows of the range; inside: their number.
     live = materialize(sizes.withColumn("rank", F.explode(F.array_distinct(ranks(F.col("n"))))).withColumns({"at": F.col("rank"), "inside": F.col("n")}))
@@ -52,7 +53,7 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, ranks: Callable
         before = F.sum("rows").over(Window.partitionBy("g", "lo").orderBy("bin")) - F.col("rows")
         held = many.join(counted.withColumn("before", before), ["g", "lo"]).filter("at >= before and at < before + rows")
         live = materialize(held.select("g", "n", F.col("least").alias("lo"), F.col("most").alias("hi"), "rank", (F.col("at") - F.col("before")).alias("at"), F.col("rows").alias("inside")))
-    every = reduce(DataFrame.unionByName, found)
+    every = materialize(reduce(DataFrame.unionByName, found))
     return every.select(*[F.col(f"g.{c}").alias(c) for c in by], "n", "rank", "kth")
 
 

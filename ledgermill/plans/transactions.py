@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import anomaly, copilot, isolation, merging, obligations
+from ..operators import anomaly, copilot, isolation, merging, obligations, selection
 from ..schema import TX_SQL, copilot_refund, copilot_spend, dashboard_spend, read, tx_of
 
 BY = ["statement"]
@@ -47,8 +47,11 @@ def agg_merchant_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agg_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "events").groupBy("event_type")
-    return rows.agg(F.round(F.median("value"), 4).alias("median_value"), F.round(F.expr("percentile(value, 0.9)"), 4).alias("q90_value"), F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))
+    rows = read(spark, sf, "events")
+    exact = selection.quantiles(rows, ["event_type"], {"q": "value"}, [0.5, 0.9]).withColumnRenamed("event_type", "of")
+    counted = rows.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))
+    both = counted.join(exact, F.col("event_type").eqNullSafe(F.col("of")))
+    return both.select("event_type", F.round(F.col("q")[0], 4).alias("median_value"), F.round(F.col("q")[1], 4).alias("q90_value"), "users", "n")
 
 
 def qa_summary(spark: SparkSession, sf: str) -> DataFrame:

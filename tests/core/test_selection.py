@@ -46,3 +46,20 @@ def test_shares_of_long_keys(spark):
     for r in rows.groupBy("c").agg(F.collect_list("h").alias("h")).collect():
         assert sum(x <= limits[r.c] for x in r.h) == math.floor(len(r.h) * 0.2 + 0.5)
     assert selection.smallest_share(rows.limit(2), ["c"], "h", 0.2).count() == 0
+
+
+def test_outliers_are_the_same_by_windows_and_by_rank(spark):
+    from ledgermill.operators import anomaly
+
+    rng = np.random.default_rng(5)
+    rows = [(e, i, "AB"[i % 2], float(np.round(rng.lognormal(4, 1), 2))) for e, n in (("x", 300), ("y", 60), (None, 40), ("z", 3)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "e string, i int, category string, amount double")
+    found = []
+    for small in (4096, 50):
+        got = anomaly.amount_outliers(frame, ["e"], small)
+        found.append({(r.e, r.i): (r.z, r.median, r.ratio, r.is_outlier, r.in_category) for r in got.collect()})
+        z = {(r.e, r.i): (r.z, r.z_n, r.z_median) for r in anomaly.robust_z(frame, "amount", ["e", "category"], small=small).collect()}
+        found.append(z)
+    assert found[0].keys() == found[2].keys() and len(found[0]) == len(rows)
+    for a, b in ((found[0], found[2]), (found[1], found[3])):
+        assert all(a[k] == pytest.approx(b[k]) for k in a)
