@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import anomaly, copilot, isolation, merging, obligations, selection
+from ..operators import anomaly, copilot, history, isolation, merging, obligations, selection
 from ..schema import TX_SQL, copilot_refund, copilot_spend, dashboard_spend, read, tx_of
+from ..sources import storage
 
 BY = ["statement"]
 TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -210,6 +213,24 @@ def win_anomaly_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return got.filter("is_anomaly").select("statement", "l_orderkey", "l_linenumber", "amount", "anomaly_type", "anomaly_score", "anomaly_reason")
 
 
+def rel_recomputed(spark: SparkSession, sf: str) -> DataFrame:
+    """Anomalies of all customers after the uploads since October 2001, a month each, came to stored histories.
+
+    Only customers with a new upload are judged anew; the result is that of judging everybody
+    over everything. August 2001 comes twice, the second time under another name, and once
+    more under its own, and counts once.
+    """
+    judge = lambda rows: anomaly.detect_anomalies(rows, BY, TIES, forest=False)
+    rows = storage.materialize(tx_of(spark, sf).withColumn("upload", F.date_format("date", "yyyy-MM")))
+    cut, again = F.lit("2001-10-01").cast("date"), rows.filter("upload = '2001-08'")
+    path = f"{storage.shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    history.write_history(judge(rows.filter(F.col("date") < cut)), path, BY, 16)
+    news = merging.union_all([rows.filter(F.col("date") >= cut), again, again.withColumn("upload", F.lit("copy of 2001-08"))])
+    history.update_history(spark, path, news, BY, "upload", judge, 16)
+    now = history.read_history(spark, path)
+    return now.groupBy("statement", "anomaly_type").agg(F.count(F.lit(1)).alias("n"), F.max("anomaly_score").alias("top_score"))
+
+
 def win_isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
     """Forest scores and flags of all rows; z to one digit, since a z of 0.6745 is common and no last bit decides its third."""
     got = anomaly.detect_anomalies(tx_of(spark, sf), BY, TIES)
@@ -236,7 +257,7 @@ def obl_totals(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     agg_kpis, agg_category_totals, agg_top_n_other, agg_colour_slots, agg_daily_spend, agg_top_merchants, agg_merchant_share, agg_quantiles, qa_summary, qa_category_spend, qa_compare_categories,
     qa_merchant_spend, qa_top_share, qa_refunds, qa_savings, rel_membership, rel_first_copy, rel_repeated_statements, rel_union_order, win_robust_z, win_amount_outliers, win_duplicates, win_novel,
-    win_forest_features, win_gaps, win_detect_anomalies, win_anomaly_reasons, win_isolation_forest, tool_category_spend, tool_compare_categories, tool_merchant_spend, tool_top_share, tool_refunds, tool_savings, tool_obligations, obl_rhythms, obl_components, obl_known, obl_totals,
+    win_forest_features, win_gaps, rel_recomputed, win_detect_anomalies, win_anomaly_reasons, win_isolation_forest, tool_category_spend, tool_compare_categories, tool_merchant_spend, tool_top_share, tool_refunds, tool_savings, tool_obligations, obl_rhythms, obl_components, obl_known, obl_totals,
 )}
 
 _COMPONENTS = """
@@ -448,6 +469,7 @@ ORACLE_SQL = {
     "win_forest_features": """SELECT event_id, round(ln(1 + abs(value)), 6) AS log_amount, round(count(*) OVER (PARTITION BY user_id, event_type) / count(*) OVER (PARTITION BY user_id), 6) AS merchant_frequency,
       round(sin(2 * pi() * (isodow(CAST(ts AS DATE)) - 1) / 7), 6) AS dow_sin, round(cos(2 * pi() * (isodow(CAST(ts AS DATE)) - 1) / 7), 6) AS dow_cos FROM events""",
     "win_gaps": "SELECT event_id, CAST(date_diff('day', lag(CAST(ts AS DATE)) OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE), event_id), CAST(ts AS DATE)) AS INTEGER) AS gap FROM events",
+    "rel_recomputed": f"WITH {TX_SQL}, {_ANOMALY} SELECT statement, anomaly_type, count(*) AS n, max(anomaly_score) AS top_score FROM told GROUP BY 1, 2",
     "win_detect_anomalies": f"WITH {TX_SQL}, {_ANOMALY} SELECT statement, anomaly_type, count(*) AS n, max(anomaly_score) AS top_score FROM told GROUP BY 1, 2",
     "obl_rhythms": """WITH g AS (SELECT l_partkey, l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, date_diff('day', lag(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate), CAST(l_shipdate AS DATE)) AS gap FROM lineitem)
       SELECT l_partkey, l_suppkey, count(*) AS n, min(amount) AS least, max(amount) AS most, max(amount) - min(amount) <= max(amount) * CAST(0.10 AS DECIMAL(4,2)) AS is_stable FROM g GROUP BY 1, 2 HAVING count(*) >= 2 AND bool_and(gap BETWEEN 25 AND 35)""",

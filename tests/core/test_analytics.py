@@ -150,7 +150,9 @@ def test_documents_and_pipeline(spark, tmp_path):
 
     docs, errors = documents.checked(files, documents.extract_pages(files, extractor))
     assert sorted(r.error for r in errors.collect()) == ["ValueError: broken", "scanned"]
-    statements, transactions, repeated = run_pipeline(docs, forest=False)
+    strangers, _, none = run_pipeline(docs, forest=False)  # nobody knows whose they are, so none repeats another
+    assert strangers.count() == 2 and none.count() == 0 and strangers.select("customer").distinct().count() == 2
+    statements, transactions, repeated = run_pipeline(docs, forest=False, owner="me")
     assert statements.count() == 1 and statements.first().checksum_valid and repeated.count() == 1
     assert sorted(r.clean_description for r in transactions.collect()) == ["HAVALE [KİŞİ]", "MARKET"]
     import zlib
