@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import copilot, redaction
+from ..operators import copilot, features, redaction
+from ..operators.classifier import TextClassifier
 from ..schema import TX_SQL, read, tx_of
 from ..sources import storage, synthetic
 from ..streaming import ingest
@@ -56,10 +57,29 @@ def gen_statement_accounts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("o_orderkey", *[c.cast("decimal(18,2)").alias(k) for k, c in synthetic.statement_accounts(F.col("spend"), F.col("interest")).items()])
 
 
+def _merchants(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str], int]:
+    """Brands are the parts' names, their classes the last words of those, surnames the nations'; a row for each line item."""
+    parts = read(spark, sf, "part").select(F.element_at(F.split("p_name", " "), -1).alias("category"), F.col("p_name").alias("brand"), F.concat_ws(" ", "p_type", F.element_at(F.split("p_name", " "), -1)).alias("keyword"))
+    names = sorted(r[0] for r in read(spark, sf, "nation").select("n_name").collect())
+    return parts.select("category", "brand"), parts.select("category", "keyword"), names, read(spark, sf, "lineitem").count()
+
+
 def gen_merchant_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Corrupted texts of the parts' names by type, a row for each line item."""
-    names = read(spark, sf, "part").select(F.col("p_type").alias("category"), F.col("p_name").alias("brand")).distinct()
-    return synthetic.merchant_texts(names, read(spark, sf, "lineitem").count())
+    """Corrupted merchant texts of the parts' names, a row for each line item."""
+    return synthetic.merchant_texts(*_merchants(spark, sf))
+
+
+def gen_merchant_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each class and source before cleaning: exact quotas."""
+    return synthetic.merchant_rows(*_merchants(spark, sf)).groupBy("category", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ml_merchants(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and hits of each class and source where boosted trees, fitted on other groups, classify all merchant texts."""
+    texts = storage.materialize(features.group_split(synthetic.merchant_texts(*_merchants(spark, sf)), "group"))
+    model = TextClassifier(textCol="clean_text", labelCol="category", rounds=4, rate=0.3).fit(texts.filter("not is_test").select("clean_text", "category").distinct())
+    said = model.transform(texts.select("clean_text", "category", "source", "is_test"))
+    return said.groupBy("category", "source", "is_test").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("top") == F.col("category")).alias("hits"), F.count_if("abstained").alias("abstained"))
 
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +101,7 @@ def stream_spend(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("total").cast("decimal(38,4)").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (qa_route, qa_merchant_tokens, qa_top_merchants, qa_summary_text, pii_label_values, gen_national_ids, gen_statement_accounts, gen_merchant_texts, stream_windows, stream_spend)}
+QUERIES = {f.__name__: f for f in (qa_route, qa_merchant_tokens, qa_top_merchants, qa_summary_text, pii_label_values, gen_national_ids, gen_statement_accounts, gen_merchant_texts, gen_merchant_counts, ml_merchants, stream_windows, stream_spend)}
 
 _TL = "translate(format('{{:,.2f}}', CAST({} AS DOUBLE)), ',.', '.,') || ' TL'"
 _SPENT = "amount > 0 AND transaction_type NOT IN ('PAYMENT', 'POINT_REDEMPTION')"
@@ -98,6 +118,9 @@ ORACLE_SQL = {
       SELECT s.statement, 'Toplam Harcama: ' || {_TL.format("spend")} || ' (' || n || ' işlem). İadeler: ' || {_TL.format("back")} || '. En Yoğun Kategoriler: ' || coalesce(cats, 'yok') AS answer FROM s LEFT JOIN t USING (statement)""",
     "pii_label_values": """SELECT c_custkey AS doc, 'name' AS kind, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'address', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'phone', '0532' FROM customer""",
     "gen_national_ids": "SELECT c_custkey AS id, true AS valid FROM customer",
+    "gen_merchant_counts": f"""WITH k AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS c, count(*) OVER () + 1 AS many FROM (SELECT DISTINCT list_extract(string_split(p_name, ' '), -1) AS category FROM part)),
+      r AS (SELECT count(*) AS n FROM lineitem), a AS (SELECT category, (n - c + many - 1) // many AS n FROM k, r), o AS (SELECT n // many AS n FROM (SELECT DISTINCT many FROM k), r)
+      SELECT category, 'generic' AS source, CAST(floor(n * 0.4) AS BIGINT) AS n FROM a UNION ALL SELECT category, 'brand', n - CAST(floor(n * 0.4) AS BIGINT) FROM a UNION ALL SELECT '{synthetic.OTHER}', 'other', n FROM o""",
     "gen_statement_accounts": """WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS s, CAST(o_custkey / 100 AS DECIMAL(18,2)) AS i FROM orders), l AS (SELECT *, CAST(round(i * CAST(0.15 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS levy FROM o)
       SELECT o_orderkey, levy AS kkdf, levy AS bsmv, CAST(s + i + levy + levy AS DECIMAL(18,2)) AS total_debt, CAST(round((s + i + levy + levy) * CAST(0.20 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS min_payment FROM l""",
     "stream_spend": """WITH e AS (SELECT event_type, CAST(value AS DECIMAL(18,4)) AS value, unnest([time_bucket(INTERVAL 3 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 3 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01') - INTERVAL 3 HOUR]) AS start FROM events)

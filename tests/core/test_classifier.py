@@ -83,3 +83,20 @@ def test_scores_count_classes_that_are_true_or_said(spark):
     r = classifier.scores(rows, [], "t", "s").first()
     f1 = [2 * 6 / (9 + 7), 2 * 1 / (1 + 3), 0.0, 0.0]
     assert (r.n, r.accuracy, r.macro_f1) == (11, pytest.approx(7 / 11), pytest.approx(sum(f1) / 4))
+
+
+def test_merchant_rows_keep_their_quotas_and_groups(spark):
+    from ledgermill.sources import synthetic
+
+    brands = spark.createDataFrame([("market", "MIGROS"), ("market", "SOK"), ("market", "SOK"), ("yakit", "SHELL"), ("yakit", "OPET"), ("ev", "IKEA")], "category string, brand string")
+    words = spark.createDataFrame([("market", "GIDA"), ("yakit", "PETROL"), ("yakit", "PETROL")], "category string, keyword string")
+    made = synthetic.merchant_rows(brands, words, ["YILMAZ", "KAYA"], 403)
+    rows = made.collect()
+    got = Counter((r.category, r.source) for r in rows)
+    assert got == {("ev", "brand"): 101, ("market", "brand"): 61, ("market", "generic"): 40, ("yakit", "brand"): 61, ("yakit", "generic"): 40, (synthetic.OTHER, "other"): 100}
+    assert len({r.id for r in rows}) == 403 and {tuple(r) for r in made.repartition(7).collect()} == {tuple(r) for r in rows}
+    assert {r.group for r in rows if r.source == "brand"} == {"brand:MIGROS", "brand:SOK", "brand:SHELL", "brand:OPET", "brand:IKEA"}
+    assert {r.group.split(":")[1] for r in rows if r.source == "generic"} >= {"YILMAZ", "KAYA"} and all(r.raw_text == r.raw_text.upper() or "*" in r.raw_text or "/" in r.raw_text for r in rows)
+    clean = synthetic.merchant_texts(brands, words, ["YILMAZ", "KAYA"], 403)
+    assert 390 < clean.count() <= 403 and clean.filter("clean_text = ''").count() == 0
+    assert synthetic.merchant_rows(brands, words, ["X"], 0).count() == 0
