@@ -17,35 +17,108 @@ from pyspark.sql import types as T
 MIN_DAYS, MIN_WEEKDAY, MIN_SEASONAL, SPLITS, HORIZON, NEXT, SIMULATIONS, BLOCK = 14, 28, 56, 3, 14, 30, 2000, 7
 MEAN, WEEKDAY, SEASONAL = "run_rate", "weekday_mean", "holt_winters"
 ORDER = [(MEAN, 0, MIN_DAYS), (WEEKDAY, 1, MIN_WEEKDAY), (SEASONAL, 2, MIN_SEASONAL)]
+# Where the search for the weights of level and season begins, and the steps by which it closes in.
 _GRID = [(a, g) for a in (0.02, 0.1, 0.2, 0.4, 0.7) for g in (0.02, 0.1, 0.3)]
+_STEPS = [0.08, 0.04, 0.02, 0.01, 0.004]
+_BOUNDS = (1e-4, 1 - 1e-4)
+#: Series that are fitted together, of one length.
+_TOGETHER = 64
 
 
-def holt_winters(y: np.ndarray, horizon: int, period: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Fitted values and forecast of additive seasonal smoothing without trend.
+def _responses(y: np.ndarray, a: np.ndarray, g: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """How the fitted values, and the states after the last day, follow from the first states and from y.
 
-    The smoothing weights are those of a small grid with the least squared error.
+    ``y`` is (series, days), ``a`` and ``g`` (series, candidates). Smoothing is linear in its first
+    level and seasons, so each of them, and y itself, is carried along as a column of its own:
+    (days, series, candidates, 2 + period) and the same for level and seasons at the end.
+    """
+    n, days = y.shape
+    width = period + 2
+    level, season = np.zeros((*a.shape, width)), np.zeros((period, *a.shape, width))
+    level[..., 0] = 1.0
+    for k in range(period):
+        season[k, ..., 1 + k] = 1.0
+    fit = np.zeros((days, *a.shape, width))
+    a, g = a[..., None], g[..., None]
+    for t in range(days):
+        s = season[t % period]
+        fit[t] = level + s
+        now = (1 - a) * level - a * s
+        now[..., -1] += a[..., 0] * y[:, t, None]
+        new = (1 - g) * s - g * now
+        new[..., -1] += g[..., 0] * y[:, t, None]
+        level, season[t % period] = now, new
+    return fit, np.concatenate([level[None], season])
+
+
+def _solved(y: np.ndarray, a: np.ndarray, g: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(squared error, first states, fitted values, last states) of each series and candidate, the first states by least squares.
+
+    A level and seasons that differ by a constant fit alike; a slight pull to zero picks one.
     """
-    level0 = y[: 2 * period].mean()
-    season0 = np.array([(y[k :: period][:2] - level0).mean() for k in range(period)])
-    season0 -= season0.mean()
-    a, g = (np.array(x) for x in zip(*_GRID, strict=True))
-    level, season, fit = np.full(len(a), level0), np.tile(season0, (len(a), 1)), np.zeros((len(a), len(y)))
-    for t, v in enumerate(y):
-        s = t % period
-        fit[:, t] = level + season[:, s]
-        now = a * (v - season[:, s]) + (1 - a) * level
-        season[:, s] = g * (v - now) + (1 - g) * season[:, s]
-        level = now
-    best = int(((fit - y) ** 2).sum(1).argmin())
-    ahead = level[best] + season[best, (len(y) + np.arange(horizon)) % period]
-    return fit[best], np.maximum(ahead, 0.0)
+    fit, end = _responses(y, a, g, period)
+    x, rest = np.moveaxis(fit[..., :-1], 0, 2), y[:, None, :] - np.moveaxis(fit[..., -1], 0, 2)
+    gram = np.einsum("ncti,nctj->ncij", x, x) + 1e-9 * np.eye(period + 1)
+    first = np.linalg.solve(gram, np.einsum("ncti,nct->nci", x, rest)[..., None])[..., 0]
+    fitted = np.einsum("ncti,nci->nct", x, first)
+    error = ((rest - fitted) ** 2).sum(-1)
+    last = np.einsum("knci,nci->nck", end[..., :-1], first) + np.moveaxis(end[..., -1], 0, -1)
+    return error, first, y[:, None, :] - rest + fitted, last
+
+
+def fit_seasonal(y: np.ndarray, period: int = 7) -> dict[str, np.ndarray]:
+    """Additive seasonal smoothing without trend for all rows of ``y`` (series, days): weights, errors, fits and last states.
+
+    For given weights of level and season the first states are a least-squares problem, solved
+    exactly; the two weights come from a search that begins on a grid, moves to the best
+    neighbour and halves its step, within bounds. The error is never above the grid's.
+    """
+    n = len(y)
+    a, g = (np.tile(np.array(x, float), (n, 1)) for x in zip(*_GRID, strict=True))
+    rows = np.arange(n)
+    error, _, _, _ = _solved(y, a, g, period)
+    best = error.argmin(1)
+    at = np.stack([a[rows, best], g[rows, best]], axis=1)
+    moves = np.array([(i, j) for i in (0, -1, 1) for j in (0, -1, 1)], float)
+    for step in _STEPS:
+        for _ in range(3):
+            near = np.clip(at[:, None, :] + step * moves, *_BOUNDS)
+            error, _, _, _ = _solved(y, near[..., 0], near[..., 1], period)
+            best = error.argmin(1)
+            at = near[rows, best]
+            if not best.any():
+                break
+    error, _, fitted, last = _solved(y, at[:, :1], at[:, 1:], period)
+    return {"weights": at, "error": error[:, 0], "fitted": fitted[:, 0], "last": last[:, 0]}
+
+
+def holt_winters(y: np.ndarray, horizon: int, period: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Fitted values of one series and its forecast, which isn't below zero."""
+    got = fit_seasonal(np.asarray(y, float)[None], period)
+    return got["fitted"][0], _ahead(got["last"], np.array([len(y)]), horizon, period)[0]
+
+
+def _ahead(last: np.ndarray, days: np.ndarray, horizon: int, period: int = 7) -> np.ndarray:
+    at = (days[:, None] + np.arange(horizon)) % period
+    return np.maximum(last[:, :1] + np.take_along_axis(last[:, 1:], at, axis=1), 0.0)
 
 
 @F.arrow_udf(returnType=T.StructType([T.StructField("fitted", T.ArrayType(T.DoubleType())), T.StructField("ahead", T.ArrayType(T.DoubleType()))]))
 def _smooth(y: pa.Array, horizon: pa.Array) -> pa.Array:
-    got = [holt_winters(np.array(v, float), h) if v is not None and len(v) >= MIN_SEASONAL else (None, None) for v, h in zip(y.to_pylist(), horizon.to_pylist(), strict=True)]
+    """Fits and forecasts of a batch of series; those of one length are fitted together."""
+    values, ahead = y.to_pylist(), horizon.to_pylist()
+    alike: dict[int, list[int]] = {}
+    for k, v in enumerate(values):
+        if v is not None and len(v) >= MIN_SEASONAL:
+            alike.setdefault(len(v), []).append(k)
+    got: list[tuple[list[float] | None, list[float] | None]] = [(None, None)] * len(values)
+    for days, rows in alike.items():
+        for part in (rows[k : k + _TOGETHER] for k in range(0, len(rows), _TOGETHER)):
+            fits = fit_seasonal(np.array([values[k] for k in part], float))
+            for k, fitted, last in zip(part, fits["fitted"], fits["last"], strict=True):
+                got[k] = fitted.tolist(), _ahead(last[None], np.array([days]), ahead[k])[0].tolist()
     kind = pa.list_(pa.float64())
-    return pa.StructArray.from_arrays([pa.array([None if x[k] is None else x[k].tolist() for x in got], kind) for k in (0, 1)], ["fitted", "ahead"])
+    return pa.StructArray.from_arrays([pa.array([x[k] for x in got], kind) for k in (0, 1)], ["fitted", "ahead"])
 
 
 def numbered(series: DataFrame, by: list[str]) -> DataFrame:
