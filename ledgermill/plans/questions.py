@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import copilot, features, redaction
@@ -44,6 +44,48 @@ def pii_label_values(spark: SparkSession, sf: str) -> DataFrame:
     return redaction.label_values(rows).select("doc", "kind", "value")
 
 
+def _page_words(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of positioned words for each customer: name, address and a table with a row for each order.
+
+    The words of a table row don't stand at exactly one height, and come in no order.
+    """
+    customers = read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    word = lambda x, y, text, line: F.struct(F.lit(float(x)).alias("x0"), y.cast("double").alias("y0"), F.lit(x + 40.0).alias("x1"), (y + 10).cast("double").alias("y1"), text.cast("string").alias("text"), F.lit(0).alias("block"), line.cast("int").alias("line"))
+    at = lambda y, line, *texts: [word(50 + 60 * k, F.lit(y), t, F.lit(line)) for k, t in enumerate(texts)]
+    top = [*at(40, 0, F.lit("Sayın"), F.col("c_name")), *at(52, 1, F.lit("Adres:"), F.col("c_mktsegment")), *at(64, 2, F.lit("Mah"), F.col("c_nationkey"))]
+    top += [word(300, F.lit(70), F.lit("Sayfa"), F.lit(3)), *at(82, 4, F.lit("Kat"), F.col("c_custkey")), word(300, F.lit(90), F.lit("Ekstre"), F.lit(5))]
+    orders = read(spark, sf, "orders").withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    y, line = F.lit(100) + 12 * F.col("k"), 9 + F.col("k")
+    rows = orders.select(F.col("o_custkey").alias("c_custkey"), F.explode(F.array(word(300, y + 2, F.col("o_orderkey"), line), word(50, y + 1, F.col("o_orderdate").cast("date").cast("string"), line), word(170, y, F.col("o_orderpriority"), line))).alias("w"))
+    every = customers.select("c_custkey", F.explode(F.array(*top)).alias("w")).unionByName(rows)
+    return every.groupBy(F.col("c_custkey").alias("doc")).agg(F.collect_list("w").alias("words")).withColumn("page", F.lit(0))
+
+
+def pii_visual_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that words stand in, by their heights."""
+    return redaction.visual_rows(_page_words(spark, sf)).select("doc", "row", "y0", "text")
+
+
+def pii_address_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines under an address that go on with it."""
+    lines = redaction.lines_of(_page_words(spark, sf)).withColumn("is_tx", F.col("line") > 9)
+    return redaction.address_lines(lines).select("doc", "y0", "text")
+
+
+def pii_header_zone(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each page's head ends: above the first row with a date, or after a quarter of the page."""
+    words = _page_words(spark, sf)
+    rows = redaction.visual_rows(words).withColumn("is_tx", F.col("text").rlike(r"^\d{4}-\d{2}-\d{2} "))
+    return redaction.header_zone(rows, words.select("doc", F.lit(10.0).alias("top"), F.lit(800.0).alias("height")))
+
+
+def qa_route_merchants(spark: SparkSession, sf: str) -> DataFrame:
+    """A question about each part's name, routed with the words of all merchants."""
+    tokens = copilot.merchant_tokens(copilot.normalise(tx_of(spark, sf).filter("amount > 0")))
+    asked = read(spark, sf, "part").select("p_partkey", F.concat(F.initcap("p_name"), F.lit("'a ne kadar gitti?")).alias("question"))
+    return copilot.route(asked, tokens).select("p_partkey", "intent", "merchant_token")
+
+
 def gen_national_ids(spark: SparkSession, sf: str) -> DataFrame:
     """A national number for each customer; all pass the check."""
     from ..functions.pii import is_valid_tc
@@ -101,7 +143,7 @@ def stream_spend(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("total").cast("decimal(38,4)").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (qa_route, qa_merchant_tokens, qa_top_merchants, qa_summary_text, pii_label_values, gen_national_ids, gen_statement_accounts, gen_merchant_texts, gen_merchant_counts, ml_merchants, stream_windows, stream_spend)}
+QUERIES = {f.__name__: f for f in (qa_route, qa_merchant_tokens, qa_top_merchants, qa_summary_text, pii_label_values, pii_visual_rows, pii_address_lines, pii_header_zone, qa_route_merchants, gen_national_ids, gen_statement_accounts, gen_merchant_texts, gen_merchant_counts, ml_merchants, stream_windows, stream_spend)}
 
 _TL = "translate(format('{{:,.2f}}', CAST({} AS DOUBLE)), ',.', '.,') || ' TL'"
 _SPENT = "amount > 0 AND transaction_type NOT IN ('PAYMENT', 'POINT_REDEMPTION')"
@@ -117,6 +159,15 @@ ORACLE_SQL = {
       s AS (SELECT statement, coalesce(sum(amount) FILTER ({_SPENT}), 0) AS spend, coalesce(sum(-amount) FILTER (amount < 0 AND transaction_type <> 'PAYMENT'), 0) AS back, count(*) AS n FROM tx GROUP BY 1)
       SELECT s.statement, 'Toplam Harcama: ' || {_TL.format("spend")} || ' (' || n || ' işlem). İadeler: ' || {_TL.format("back")} || '. En Yoğun Kategoriler: ' || coalesce(cats, 'yok') AS answer FROM s LEFT JOIN t USING (statement)""",
     "pii_label_values": """SELECT c_custkey AS doc, 'name' AS kind, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'address', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'phone', '0532' FROM customer""",
+    "pii_visual_rows": """WITH o AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' ' || o_orderpriority || ' ' || o_orderkey AS text FROM orders),
+      t AS (SELECT c_custkey AS doc, unnest([{'y': 40.0, 't': 'Sayın ' || c_name}, {'y': 52.0, 't': 'Adres: ' || c_mktsegment}, {'y': 64.0, 't': 'Mah ' || c_nationkey}, {'y': 70.0, 't': 'Sayfa'}, {'y': 82.0, 't': 'Kat ' || c_custkey}, {'y': 90.0, 't': 'Ekstre'}]) AS r FROM customer),
+      a AS (SELECT doc, r.y AS y0, r.t AS text FROM t UNION ALL SELECT doc, CAST(100 + 12 * k AS DOUBLE), text FROM o)
+      SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY y0) - 1 AS INTEGER) AS row, CAST(y0 AS DOUBLE) AS y0, text FROM a""",
+    "pii_address_lines": "SELECT c_custkey AS doc, CAST(64 AS DOUBLE) AS y0, 'Mah ' || c_nationkey AS text FROM customer UNION ALL SELECT c_custkey, CAST(82 AS DOUBLE), 'Kat ' || c_custkey FROM customer",
+    "pii_header_zone": "SELECT c_custkey AS doc, CASE WHEN o_custkey IS NULL THEN 10.0 + 0.25 * 800 ELSE 112.0 - 2 END::DOUBLE AS y FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON o_custkey = c_custkey",
+    "qa_route_merchants": f"""WITH {TX_SQL}, m AS (SELECT DISTINCT lower(clean_description) AS m FROM tx WHERE amount > 0), t AS (SELECT DISTINCT token FROM (SELECT unnest(string_split(m, ' ')) AS token FROM m) WHERE length(token) >= 4),
+      w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), f AS (SELECT p_partkey, min(token) AS token FROM w JOIN t ON starts_with(w, token) AND length(w) >= 4 GROUP BY 1)
+      SELECT p.p_partkey, CASE WHEN token IS NOT NULL THEN 'merchant_spend' ELSE 'unknown' END AS intent, token AS merchant_token FROM part p LEFT JOIN f USING (p_partkey)""",
     "gen_national_ids": "SELECT c_custkey AS id, true AS valid FROM customer",
     "gen_merchant_counts": f"""WITH k AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS c, count(*) OVER () + 1 AS many FROM (SELECT DISTINCT list_extract(string_split(p_name, ' '), -1) AS category FROM part)),
       r AS (SELECT count(*) AS n FROM lineitem), a AS (SELECT category, (n - c + many - 1) // many AS n FROM k, r), o AS (SELECT n // many AS n FROM (SELECT DISTINCT many FROM k), r)

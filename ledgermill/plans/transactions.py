@@ -160,10 +160,11 @@ def rel_repeated_statements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rel_union_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The place of each row in the union of refunds and spend, ordered by date with ties broken."""
+    """The place of each row in the union of refunds and spend, by date, part and ties: rows of earlier days, and its place in the day."""
     tx = tx_of(spark, sf)
     both = merging.union_all([tx.filter(copilot_spend()).withColumn("part", F.lit(1)), tx.filter(copilot_refund()).withColumn("part", F.lit(2))])
-    return both.groupBy("date", "part").agg(F.count(F.lit(1)).alias("n"), agg.total(F.col("amount")).alias("total"))
+    placed = merging.places(both, "date", ["part", *TIES])
+    return placed.select("date", "part", "l_orderkey", "l_linenumber", "l_partkey", "place")
 
 
 def win_robust_z(spark: SparkSession, sf: str) -> DataFrame:
@@ -449,7 +450,8 @@ ORACLE_SQL = {
       SELECT CAST(c_custkey AS VARCHAR) AS statement, CAST(c_custkey AS VARCHAR) IN (SELECT statement FROM b) AS refunded FROM customer""",
     "rel_first_copy": "SELECT doc_id, md5(text) AS digest, row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS is_first FROM documents",
     "rel_repeated_statements": "SELECT o_orderkey AS upload_no, CASE WHEN row_number() OVER (PARTITION BY o_orderpriority, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) = 1 THEN 'kept' ELSE 'repeated statement' END AS state FROM orders",
-    "rel_union_order": f"WITH {TX_SQL} SELECT date, CAST(CASE WHEN {SPENT} THEN 1 ELSE 2 END AS INTEGER) AS part, count(*) AS n, CAST(sum(amount) AS {WIDE}) AS total FROM tx WHERE ({SPENT}) OR ({BACK}) GROUP BY 1, 2",
+    "rel_union_order": f"""WITH {TX_SQL}, u AS (SELECT *, CASE WHEN amount > 0 THEN 1 ELSE 2 END AS part FROM tx WHERE ({SPENT}) OR ({BACK}))
+      SELECT date, CAST(part AS INTEGER) AS part, l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY date, part, {", ".join(TIES)}) AS place FROM u""",
     "win_robust_z": "WITH d AS (SELECT doc_id, lang, ln(1 + CAST(n_chars AS DOUBLE)) AS x FROM documents) SELECT doc_id, round(z, 4) AS z, n AS z_n FROM (" + _z("x", "lang", "d", "doc_id") + ")",
     "win_amount_outliers": """WITH e AS (SELECT event_id, event_type, value, ln(1 + value) AS x FROM events WHERE value > 0), z AS ("""
     + _z("x", "event_type", "e", "event_id, event_type, value")
