@@ -25,6 +25,8 @@ from .quality import held_out, labelled
 
 #: Labelled rows that a chain is fitted on, at most; feature buckets; features that the models may use; folds; bytes of a word's stem; themes.
 SAMPLE, BUCKETS, WORDS, FOLDS, STEM, THEMES = 12_000, 1 << 20, 600, 3, 6, 2
+#: Share of the toxic rows that a theme has at least.
+LEAST = 0.1
 #: Words that a Python worker remembers while it scores.
 REMEMBERED = 50_000
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -119,12 +121,29 @@ def apply_chain(chain: list[Linear], words: np.ndarray, names: list[int]) -> np.
     return out
 
 
-def themes_of(words: np.ndarray, toxic: np.ndarray, themes: int = THEMES, rounds: int = 20) -> np.ndarray:
+def _cuts(x: np.ndarray, themes: int, rounds: int = 50) -> np.ndarray:
+    """Equal parts of the rows by their place along the direction in which they differ most."""
+    centred = x - x.mean(0)
+    way = centred.var(0) + 1e-9 * np.arange(1, x.shape[1] + 1)
+    for _ in range(rounds):
+        way = centred.T @ (centred @ way)
+        size = np.linalg.norm(way)
+        if size < 1e-12:
+            break
+        way /= size
+    order = np.argsort(centred @ way, kind="stable")
+    own = np.zeros(len(x), int)
+    own[order] = np.arange(len(x)) * themes // len(x)
+    return own
+
+
+def themes_of(words: np.ndarray, toxic: np.ndarray, themes: int = THEMES, rounds: int = 20, least: float = LEAST) -> np.ndarray:
     """For each text its theme from 0, -1 if it is not toxic or holds no telling word.
 
     Telling are words at least twice as frequent in toxic texts as in others. Toxic rows are
-    clustered by the telling words that they hold, weighed by rarity: spherical k-means that
-    starts from the rows that are least like each other.
+    clustered by the telling words that they hold, weighed by rarity: spherical k-means from
+    equal parts along the direction in which the rows differ most. A theme of under ``least`` of
+    the rows would be no category to learn: then the equal parts themselves are the themes.
     """
     out = np.full(len(toxic), -1)
     rows = np.flatnonzero(toxic > 0)
@@ -137,15 +156,12 @@ def themes_of(words: np.ndarray, toxic: np.ndarray, themes: int = THEMES, rounds
     rows, x = rows[size > 0], x[size > 0] / size[size > 0][:, None]
     if not len(rows):
         return out
-    centre = [x.mean(0) / max(1e-9, np.linalg.norm(x.mean(0)))]
-    while len(centre) < themes + 1:
-        centre.append(x[int((x @ np.stack(centre).T).max(1).argmin())])
-    c = np.stack(centre[1:])
+    parts = own = _cuts(x, themes)
     for _ in range(rounds):
-        own = (x @ c.T).argmax(1)
-        c = np.stack([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(themes)])
+        c = np.stack([x[own == k].mean(0) if (own == k).any() else np.zeros(x.shape[1]) for k in range(themes)])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    out[rows] = (x @ c.T).argmax(1)
+        own = (x @ c.T).argmax(1)
+    out[rows] = own if np.bincount(own, minlength=themes).min() >= least * len(rows) else parts
     return out
 
 

@@ -43,6 +43,40 @@ def test_toxic_rows_of_the_tables(spark):
     assert got.true > 50 and got.hit > 0.8 * got.true and got.hit > 0.9 * got.said
 
 
+def test_themes_of_the_tables_are_categories_that_the_chain_uses(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    seen = {}
+
+    def spied(words, y, names, fit=toxicity.fit_chain, **more):
+        # Learned on one half, each link must find its category in the other.
+        half = fit(words[::2], y[::2], names)
+        seen["y"], seen["said"] = y, toxicity.apply_chain(half, words[1::2], names) >= 0.5
+        seen["chain"] = fit(words, y, names, **more)
+        return seen["chain"]
+
+    monkeypatch.setattr(toxicity, "fit_chain", spied)
+    held = toxicity.score(docs, labels).filter("held_out").selectExpr("sum(int(p_theme_1 >= 0.5)) AS a", "sum(int(p_theme_2 >= 0.5)) AS b").first()
+    y, said = seen["y"], seen["said"]
+    assert (y[:, :2].sum(0) >= 0.1 * y[:, 2].sum()).all() and (y[:, :2].sum(1) <= y[:, 2]).all()
+    for k in range(3):
+        true = y[1::2, k] > 0
+        assert (said[:, k] & true).sum() > 0.5 * true.sum() and (said[:, k] & true).sum() > 0.9 * said[:, k].sum()
+    assert min(seen["chain"][2].earlier) > 1 and min(held) >= 10
+
+
+def test_a_theme_too_small_to_learn_gives_way_to_equal_parts():
+    rng = np.random.default_rng(0)
+    words = (rng.random((400, 12)) < 0.3).astype(np.float32)
+    toxic = (np.arange(400) < 100).astype(float)
+    words[:100, :4] = rng.random((100, 4)) < 0.9
+    words[0, :] = 0
+    words[0, 3] = 1
+    for themes in (2, 3):
+        got = toxicity.themes_of(words, toxic, themes)
+        assert (got[100:] == -1).all() and np.bincount(got[:100] + 1, minlength=themes + 1)[1:].min() >= 10
+    assert (toxicity.themes_of(words, np.zeros(400)) == -1).all() and (toxicity.themes_of(words, np.ones(400)) == -1).all()
+
+
 def test_earlier_probabilities_win_where_words_alone_cannot():
     """The last label is the exclusive-or of two words: linear only beside the earlier label, both words together."""
     rng = np.random.default_rng(1)
