@@ -44,10 +44,15 @@ BAD_WORDS = re.compile(
     re.I,
 )
 GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|main\w*|story|text|body|articlebody)(?=$|[\s_-])", re.I)
+# Those of BAD_WORDS that also name the looks or the subject of an article's own parts.
+WEAK_WORDS = re.compile(r"share|sharing|social|side|legal|disclaimer|copyright|tags|search|skip", re.I)
 #: Costs of the classifier: length and its most, links, headings, bias, blocks outside a page's telling elements.
 LENGTH_COST, LONGEST, LINK_COST, HEADING, BIAS, OUTSIDE = 1.2, 5.0, 4.0, 0.5, -1.0, 6.0
-#: Edges: neighbours, siblings, and a block's tie to its telling element, which is also that element's capacity for each block.
-ADJACENT, SIBLING, TIE = 0.6, 0.8, 14.0
+#: Edges: neighbours, siblings, and a block's tie to its telling element, which is also that element's capacity for each block:
+#: to boilerplate (adverts and comments read like articles, so only their elements tell), and to content, which links outweigh.
+ADJACENT, SIBLING, TIE, GOOD = 0.6, 0.8, 14.0, 4.5
+#: Capacity of an element inside content that a weak word calls boilerplate, once and for each block; long text outweighs it.
+DOUBT, DOUBT_EACH, LINKED = 5.0, 3.0, 0.3
 #: Share of a page's unlinked text from which a class name like "sidebar" on its holder is not believed, if nothing else tells of content.
 MOST = 0.7
 
@@ -65,15 +70,16 @@ class Block:
 
 @dataclass
 class Hint:
-    """An element that tells what it holds: kind 1 content, -1 boilerplate; by its name or by its class only."""
+    """An element that tells what it holds: kind 1 content, -1 boilerplate; by its name or by its class only, and that by weak words only."""
 
     kind: int
     by_name: bool
     above: int
+    weak: bool = False
 
 
-def _kind(tag: str, attrs: str) -> tuple[int, bool]:
-    """-1 boilerplate, 1 content, 0 no hint, -2 hidden; and whether the element's name says so.
+def _kind(tag: str, attrs: str) -> tuple[int, bool, bool]:
+    """-1 boilerplate, 1 content, 0 no hint, -2 hidden; whether the element's name says so, or only weak words do.
 
     Class names of body and html tell of the whole page, and names of both kinds tell nothing.
     """
@@ -82,18 +88,19 @@ def _kind(tag: str, attrs: str) -> tuple[int, bool]:
         for name, a, b, c in _ATTRIBUTE.findall(attrs):
             name = name.lower()
             if name == "hidden" or name == "aria-hidden" and (a or b or c).lower() == "true":
-                return -2, True
+                return -2, True, False
             if name in _TELLING:
                 names.append(a or b or c)
     if tag in BAD_TAGS:
-        return -1, True
+        return -1, True, False
     if tag in ("body", "html"):
-        return 0, False
+        return 0, False, False
     words = " ".join(names)
+    weak = all(WEAK_WORDS.fullmatch(m.strip(" \t\n\f\r_-")) for m in BAD_WORDS.findall(words))
     bad, good = bool(BAD_WORDS.search(words)), bool(GOOD_WORDS.search(words)) and tag != "p"
     if tag in GOOD_TAGS:
-        return (-1, False) if bad and not good else (1, True)
-    return (-1 if bad and not good else 1 if good and not bad else 0), False
+        return (-1, False, weak) if bad and not good else (1, True, False)
+    return (-1 if bad and not good else 1 if good and not bad else 0), False, weak
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[Hint]]:
@@ -187,10 +194,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[Hint]]:
             pos = end.end() if end else len(page)
             continue
         count += 1
-        kind, by_name = _kind(tag, m[4])
+        kind, by_name, weak = _kind(tag, m[4])
         near = stack[-1][2]
         if abs(kind) == 1:
-            hints.append(Hint(kind, by_name, near))
+            hints.append(Hint(kind, by_name, near, weak))
             near = len(hints) - 1
         left_out = tag in OPAQUE or kind == -2
         stack.append((tag, count, near, left_out))
@@ -202,13 +209,14 @@ def blocks_of(page: str) -> tuple[list[Block], list[Hint]]:
     return out, hints
 
 
-def kinds_of(blocks: list[Block], hints: list[Hint]) -> list[int]:
-    """What each telling element says of what is in it: boilerplate wins over content around it.
+def kinds_of(blocks: list[Block], hints: list[Hint]) -> tuple[list[int], list[int]]:
+    """What each telling element says of what is in it, and the weakly named element around it that doubts it, or -1.
 
-    A class name that calls nearly all of the page's text boilerplate, with no content outside
-    it, is about the page's layout and is not believed.
+    Boilerplate wins over content around it, unless only a weak word tells of it: then what is
+    in it is content in doubt. A class name that calls nearly all of the page's text
+    boilerplate, with no content outside it, is about the page's layout and is not believed.
     """
-    own, good = [0] * len(hints), [0] * len(hints)
+    own, doubted = [0] * len(hints), [-1] * len(hints)
     total = 0
     for b in blocks:
         free = max(0, len(b.text) - b.linked)
@@ -224,7 +232,8 @@ def kinds_of(blocks: list[Block], hints: list[Hint]) -> list[int]:
         out: list[int] = []
         for k, h in enumerate(hints):
             up = out[h.above] if h.above >= 0 else 0
-            out.append(-1 if said[k] < 0 or up < 0 else 1 if said[k] > 0 or up > 0 else 0)
+            doubted[k] = k if said[k] < 0 and h.weak and up > 0 else doubted[h.above] if said[k] <= 0 and h.above >= 0 else -1
+            out.append(-1 if up < 0 or said[k] < 0 and doubted[k] != k else 1 if said[k] > 0 or up > 0 else 0)
         return out
 
     found = spread()
@@ -234,7 +243,7 @@ def kinds_of(blocks: list[Block], hints: list[Hint]) -> list[int]:
             break
         said[outer] = 0
         found = spread()
-    return found
+    return found, doubted
 
 
 def cost(b: Block) -> float:
@@ -311,19 +320,29 @@ def minimum_cut(score: list[float], edges: list[tuple[int, int, float]]) -> list
 
 def graph(blocks: list[Block], hints: list[Hint]) -> tuple[list[float], list[tuple[int, int, float]]]:
     """Terminal capacities of the blocks and the telling elements with blocks, and the edges."""
-    kinds = kinds_of(blocks, hints)
+    kinds, doubted = kinds_of(blocks, hints)
     score, edges, last, nodes = [cost(b) for b in blocks], [], {}, {}
     told = any(b.hint >= 0 and kinds[b.hint] > 0 for b in blocks)
+
+    def tied(k: int, name: tuple[int, int], once: float, each: float, edge: float) -> None:
+        node = nodes.setdefault(name, len(blocks) + len(nodes))
+        if node == len(score):
+            score.append(once)
+        score[node] += each
+        edges.append((k, node, edge))
+
     for k, b in enumerate(blocks):
         kind = kinds[b.hint] if b.hint >= 0 else 0
         if kind:
-            node = nodes.setdefault(b.hint, len(blocks) + len(nodes))
-            if node == len(score):
-                score.append(0.0)
-            score[node] += kind * TIE
-            edges.append((k, node, TIE))
+            tied(k, (b.hint, kind), 0.0, kind * (GOOD if kind > 0 else TIE), GOOD if kind > 0 else TIE)
         elif told:
             score[k] -= OUTSIDE
+        doubt = doubted[b.hint] if kind > 0 else -1
+        if doubt >= 0:
+            if b.linked > LINKED * len(b.text):
+                score[k] -= TIE
+            else:
+                tied(k, (doubt, 0), -DOUBT, -DOUBT_EACH, DOUBT + DOUBT_EACH)
         if k:
             edges.append((k - 1, k, ADJACENT / (1 + abs(b.depth - blocks[k - 1].depth))))
         if b.parent in last:

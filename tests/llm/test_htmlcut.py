@@ -89,3 +89,40 @@ def test_edges_alone_decide_without_hints():
     """A short line between paragraphs of one parent is content; the same line in a menu is not."""
     page = f"<div><p>{PARA.format(1)}</p><p>Ha ha.</p><p>{PARA.format(2)}</p></div><ul><li><a href=a>Ha ha.</a></li><li><a href=b>One</a></li></ul>"
     assert htmlcut.main_text(page) == f"{PARA.format(1)}\n\nHa ha.\n\n{PARA.format(2)}"
+
+
+LONG = "These words go on for a while, since an article's paragraph has a thing to say and says it at some length, with one clause after the other, until number {} has been told in full."
+
+
+def against_hints(page):
+    """Texts labelled against what the nearest telling element says of them."""
+    blocks, hints = htmlcut.blocks_of(page)
+    return [b.text for b, keep in zip(blocks, htmlcut.label(blocks, hints), strict=True) if b.hint >= 0 and hints[b.hint].kind in (1, -1) and keep != (hints[b.hint].kind > 0)]
+
+
+@pytest.mark.parametrize("opening", ['<article><h1>Title</h1><div class="share-enabled">', '<main><h1>Title</h1><section id="legal">', '<div class=post><h1>Title</h1><div class="side">'])
+def test_text_outweighs_a_weak_name_on_its_wrapper(opening):
+    texts = [LONG.format(k) for k in range(5)]
+    page = opening + "".join(f"<p>{t}</p>" for t in texts)
+    assert htmlcut.main_text(page) == "\n\n".join(["Title", *texts])
+    assert against_hints(page) == texts
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="share"><a href=x>Tweet</a> <a href=y>Mail</a></div>', "<div class=legal>All rights are reserved.</div>", '<div class="comments"><p>' + LONG.format(8) + "</p></div>",
+        "<ul><li><a href=a>Home</a></li><li><a href=b>About us</a></li><li><a href=c>Contact</a></li></ul>", "<aside class=share><p>" + LONG.format(9) + "</p></aside>",
+    ],
+)
+def test_what_is_no_text_of_the_article_goes_within_it(part):
+    texts = [LONG.format(k) for k in range(3)]
+    page = f"<div class=post><h1>Title</h1><p>{texts[0]}</p><p>{texts[1]}</p>{part}<p>{texts[2]}</p></div>"
+    assert htmlcut.main_text(page) == "\n\n".join(["Title", *texts])
+    if "<ul>" in part:
+        assert against_hints(page) == ["Home", "About us", "Contact"]
+
+
+def test_lists_and_short_lines_of_an_article_stay():
+    page = f"<article><h2>Needed</h2><ul><li>Milk</li><li>Two eggs</li><li>A <a href=x>pan</a> of iron</li></ul><p>{PARA.format(1)}</p><p>Ha.</p></article>"
+    assert htmlcut.main_text(page) == f"Needed\n\nMilk\n\nTwo eggs\n\nA pan of iron\n\n{PARA.format(1)}\n\nHa."
