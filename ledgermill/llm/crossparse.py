@@ -2,8 +2,8 @@
 
 Each language has a suffix automaton of a bounded sample of its labelled text. A text is cut
 into phrases, each the longest match from its place that occurs anywhere in the sample; it
-needs fewest phrases in its own language. A phrase costs the logarithm of the places where
-it can start, so samples of different lengths compare.
+needs fewest phrases in its own language. A phrase costs the logarithms of the places where
+it can start and of the symbols that can end it, so samples of different lengths compare.
 
 A suffix automaton read from its root follows exactly the substrings of its text, so a parse
 is one walk: where no edge leads on, a phrase ends and the next one starts at the root.
@@ -150,6 +150,8 @@ class LanguageModel:
     def __init__(self, samples: dict[str, bytes]) -> None:
         self.names = sorted(samples)
         self.samples = tuple(samples[n] for n in self.names)
+        symbols = len(set(b"".join(self.samples)))
+        self.bits = np.array([np.log2((len(s) + 1.0) * (symbols + 1.0)) for s in self.samples])
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Names and scores: one less the share of the best cost in the second best."""
@@ -158,7 +160,7 @@ class LanguageModel:
         at = np.flatnonzero(told)
         if len(at):
             counts = parser_of(self.samples).phrases([plain(texts[k]) for k in at])
-            cost = counts * np.log2([len(s) + 1.0 for s in self.samples])
+            cost = counts * self.bits
             best = cost.argmin(1)
             least = cost[np.arange(len(at)), best]
             cost[np.arange(len(at)), best] = np.inf

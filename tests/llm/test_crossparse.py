@@ -63,11 +63,20 @@ def test_names_and_scores_against_substring_search():
         if not any(c.isalpha() for c in text):
             assert (name, value) == ("und", 0.0)
             continue
-        cost = {n: plain_phrases(crossparse.plain(text.encode()), s, 2048) * math.log2(len(s) + 1) for n, s in samples.items()}
+        symbols = len(set(b"".join(samples.values())))
+        cost = {n: plain_phrases(crossparse.plain(text.encode()), s, 2048) * math.log2((len(s) + 1) * (symbols + 1)) for n, s in samples.items()}
         order = sorted(cost, key=lambda n: (cost[n], n))
         assert name == order[0] and value == pytest.approx(1 - cost[order[0]] / cost[order[1]])
 
 
+def test_a_language_of_a_few_bytes_does_not_win_by_cheap_phrases(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    model = crossparse.fit(docs)
+    more = crossparse.LanguageModel(dict(zip(model.names, model.samples, strict=True)) | {"xx": b"q", "yy": b"zu und"})
+    texts = [r.text.encode() for r in docs.select("text").limit(60).collect() if r.text]
+    assert more.predict(texts)[0] == model.predict(texts)[0]
+
+
 def test_plain_parts_words_and_lowers_all_scripts():
     assert crossparse.plain("  ÉTÉ-42 Straße\n\tX ".encode()) == "été straße x".encode()
     assert not crossparse.has_letter("42 € …".encode()) and crossparse.has_letter("42 ж".encode()) and not crossparse.has_letter(b"")
