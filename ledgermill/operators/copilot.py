@@ -96,10 +96,18 @@ def in_category(category_id: int) -> Column:
     return F.col("category_folded").rlike("|".join(re.escape(s) for s in CATEGORIES[category_id][1]))
 
 
-def tool_summary(tx: DataFrame, by: list[str]) -> DataFrame:
+def tool_summary(tx: DataFrame, by: list[str], accounts: DataFrame | None = None) -> DataFrame:
+    """Spend, refunds, rows and the four largest categories of each entity.
+
+    ``accounts`` (``by``, total_debt, min_payment; a row for each entity) adds what is owed; null where it isn't known.
+    """
     top = aggregates.top_k(aggregates.spend_by(tx.filter(copilot_spend()), by, "category"), by, "category", 4)
     named = top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "category", "total"))), lambda x: F.struct(x["category"].alias("category"), x["total"].alias("amount"))).alias("top_categories"))
-    return aggregates.summary(tx, by).join(named, by, "left") if by else aggregates.summary(tx, by).join(F.broadcast(named), F.lit(True), "left")
+    told = aggregates.summary(tx, by).join(named, by, "left") if by else aggregates.summary(tx, by).join(F.broadcast(named), F.lit(True), "left")
+    if accounts is None:
+        return told.withColumns({c: F.lit(None).cast("decimal(18,2)") for c in ("total_debt", "min_payment")})
+    owed = accounts.select(*by, *[F.col(c).cast("decimal(18,2)").alias(c) for c in ("total_debt", "min_payment")])
+    return told.join(owed, by, "left") if by else told.join(F.broadcast(owed), F.lit(True), "left")
 
 
 def tool_category_spend(tx: DataFrame, by: list[str], category_id: int) -> DataFrame:
@@ -160,11 +168,13 @@ def tool_obligations(tx: DataFrame, by: list[str], ties: list[str]) -> DataFrame
 
 
 def render_summary(summary: DataFrame) -> DataFrame:
-    """Adds ``answer``: the summary as text, amounts in Turkish form."""
+    """Adds ``answer``: the summary as text, amounts in Turkish form; the debt where it is known, a minimum payment that isn't zero."""
     cats = F.array_join(F.transform("top_categories", lambda c: F.concat(c["category"], F.lit(" ("), tl(c["amount"]), F.lit(")"))), ", ")
     return summary.withColumn(
         "answer",
-        F.concat(F.lit("Toplam Harcama: "), tl(F.col("total_spend")), F.lit(" ("), F.col("transaction_count"), F.lit(" işlem). İadeler: "), tl(F.col("total_refunds")), F.lit(". En Yoğun Kategoriler: "), F.coalesce(cats, F.lit("yok"))),
+        F.concat(F.lit("Toplam Harcama: "), tl(F.col("total_spend")), F.lit(" ("), F.col("transaction_count"), F.lit(" işlem). İadeler: "), tl(F.col("total_refunds")), F.coalesce(F.concat(F.lit(". Dönem Borcu: "), tl(F.col("total_debt"))), F.lit("")),
+            F.when(F.col("min_payment") != 0, F.concat(F.lit(". Asgari Ödeme: "), tl(F.col("min_payment")))).otherwise(F.lit("")), F.lit(". En Yoğun Kategoriler: "), F.coalesce(cats, F.lit("yok")),
+        ),
     )
 
 

@@ -35,6 +35,22 @@ def qa_summary_text(spark: SparkSession, sf: str) -> DataFrame:
     return copilot.render_summary(copilot.tool_summary(tx_of(spark, sf), ["statement"])).select("statement", "answer")
 
 
+def qa_summary_debt(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries with what customers owe: their balances, of which a fifth is due."""
+    debt = F.col("c_acctbal").cast("decimal(18,2)")
+    least = F.when(debt > 0, F.round(debt * F.lit("0.20").cast("decimal(4,2)"), 2)).otherwise(F.lit(0))
+    accounts = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("statement"), debt.alias("total_debt"), least.alias("min_payment"))
+    got = copilot.render_summary(copilot.tool_summary(tx_of(spark, sf), ["statement"], accounts))
+    return got.select("statement", F.substring_index("answer", ". En Yoğun", 1).alias("answer"))
+
+
+def qa_answer_category(spark: SparkSession, sf: str) -> DataFrame:
+    """What each customer is told of fuel and transport."""
+    names = F.array(*[F.lit(name) for name, _, _ in copilot.CATEGORIES])
+    asked = copilot.normalise(tx_of(spark, sf).withColumn("category", F.get(names, F.pmod("l_partkey", F.lit(len(copilot.CATEGORIES))).cast("int"))))
+    return copilot.render_category(copilot.tool_category_spend(asked, ["statement"], 2)).select("statement", "answer")
+
+
 def pii_label_values(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' header lines: labels of personal data and what follows them."""
     rows = read(spark, sf, "customer").select(
@@ -143,7 +159,7 @@ def stream_spend(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("total").cast("decimal(38,4)").alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (qa_route, qa_merchant_tokens, qa_top_merchants, qa_summary_text, pii_label_values, pii_visual_rows, pii_address_lines, pii_header_zone, qa_route_merchants, gen_national_ids, gen_statement_accounts, gen_merchant_texts, gen_merchant_counts, ml_merchants, stream_windows, stream_spend)}
+QUERIES = {f.__name__: f for f in (qa_route, qa_merchant_tokens, qa_top_merchants, qa_summary_text, qa_summary_debt, qa_answer_category, pii_label_values, pii_visual_rows, pii_address_lines, pii_header_zone, qa_route_merchants, gen_national_ids, gen_statement_accounts, gen_merchant_texts, gen_merchant_counts, ml_merchants, stream_windows, stream_spend)}
 
 _TL = "translate(format('{{:,.2f}}', CAST({} AS DOUBLE)), ',.', '.,') || ' TL'"
 _SPENT = "amount > 0 AND transaction_type NOT IN ('PAYMENT', 'POINT_REDEMPTION')"
@@ -158,6 +174,13 @@ ORACLE_SQL = {
       t AS (SELECT statement, string_agg(category || ' (' || {_TL.format("total")} || ')', ', ' ORDER BY rn) AS cats FROM r WHERE rn <= 4 GROUP BY 1),
       s AS (SELECT statement, coalesce(sum(amount) FILTER ({_SPENT}), 0) AS spend, coalesce(sum(-amount) FILTER (amount < 0 AND transaction_type <> 'PAYMENT'), 0) AS back, count(*) AS n FROM tx GROUP BY 1)
       SELECT s.statement, 'Toplam Harcama: ' || {_TL.format("spend")} || ' (' || n || ' işlem). İadeler: ' || {_TL.format("back")} || '. En Yoğun Kategoriler: ' || coalesce(cats, 'yok') AS answer FROM s LEFT JOIN t USING (statement)""",
+    "qa_summary_debt": f"""WITH {TX_SQL}, s AS (SELECT statement, coalesce(sum(amount) FILTER ({_SPENT}), 0) AS spend, coalesce(sum(-amount) FILTER (amount < 0 AND transaction_type <> 'PAYMENT'), 0) AS back, count(*) AS n FROM tx GROUP BY 1),
+      a AS (SELECT CAST(c_custkey AS VARCHAR) AS statement, CAST(c_acctbal AS DECIMAL(18,2)) AS debt, CAST(round(CAST(c_acctbal AS DECIMAL(18,2)) * CAST(0.20 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS least FROM customer)
+      SELECT statement, 'Toplam Harcama: ' || {_TL.format("spend")} || ' (' || n || ' işlem). İadeler: ' || {_TL.format("back")} || coalesce('. Dönem Borcu: ' || {_TL.format("debt")}, '')
+        || CASE WHEN debt > 0 AND least <> 0 THEN '. Asgari Ödeme: ' || {_TL.format("least")} ELSE '' END AS answer FROM s LEFT JOIN a USING (statement)""",
+    "qa_answer_category": f"""WITH {TX_SQL}, c AS (SELECT statement, coalesce(sum(amount) FILTER ({_SPENT} AND l_partkey % {len(copilot.CATEGORIES)} = 2), 0) AS gross, coalesce(sum(-amount) FILTER (amount < 0 AND transaction_type <> 'PAYMENT' AND l_partkey % {len(copilot.CATEGORIES)} = 2), 0) AS back,
+        count(*) FILTER ({_SPENT} AND l_partkey % {len(copilot.CATEGORIES)} = 2) AS n, coalesce(sum(amount) FILTER ({_SPENT}), 0) AS spend FROM tx GROUP BY 1)
+      SELECT statement, '{copilot.CATEGORIES[2][0]}: ' || {_TL.format("gross")} || ' (' || n || ' işlem, %' || CAST(CASE WHEN spend > 0 THEN round(100 * CAST(gross AS DOUBLE) / CAST(spend AS DOUBLE), 1) ELSE 0.0 END AS VARCHAR) || '); iadeler ' || {_TL.format("back")} || ', net ' || {_TL.format("gross - back")} AS answer FROM c""",
     "pii_label_values": """SELECT c_custkey AS doc, 'name' AS kind, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'address', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'phone', '0532' FROM customer""",
     "pii_visual_rows": """WITH o AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' ' || o_orderpriority || ' ' || o_orderkey AS text FROM orders),
       t AS (SELECT c_custkey AS doc, unnest([{'y': 40.0, 't': 'Sayın ' || c_name}, {'y': 52.0, 't': 'Adres: ' || c_mktsegment}, {'y': 64.0, 't': 'Mah ' || c_nationkey}, {'y': 70.0, 't': 'Sayfa'}, {'y': 82.0, 't': 'Kat ' || c_custkey}, {'y': 90.0, 't': 'Ekstre'}]) AS r FROM customer),
