@@ -10,7 +10,13 @@ def test_entry_and_names(spark):
     assert set(catalog.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["agg_kpis", "win_detect_anomalies", "obl_totals", "fc_scores", "par_round_trip", "ml_tfidf", "qa_summary_text"])
+CHECKED = [
+    "agg_kpis", "agg_quantiles", "win_detect_anomalies", "win_isolation_forest", "rel_union_order", "obl_totals", "fc_scores", "par_round_trip", "str_fold", "pii_email_spans",
+    "ml_tfidf", "ml_stratified_split", "ml_group_split", "ml_naive_bayes", "gen_merchant_counts", "qa_summary_text", "qa_route_merchants", "pii_visual_rows", "pii_address_lines", "stream_spend",
+]
+
+
+@pytest.mark.parametrize("name", CHECKED)
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
