@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..sources.storage import materialize
 
 #: Rows of a bin, or of a group, that one task sorts; bins that a range is cut into; ranges that are broadcast at most.
-SMALL, BINS, BROADCAST_ROWS = 4096, 1024, 50_000
+SMALL, BINS, BROADCAST_ROWS = 1 << 17, 1024, 50_000
 
 
 def _inside(base: DataFrame, ranges: DataFrame) -> DataFrame:
