@@ -1,21 +1,65 @@
+import bisect
 import math
 from collections import Counter
 from fractions import Fraction
+from itertools import islice
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from ledgermill.llm import mixing, queries
 
 
-def test_phases_schedule_every_block_once():
-    blocks, weights = {"a": 5000, "b": 700, "c": 1}, {"a": 0.2, "b": 0.5, "c": 0.3}
-    used = []
-    for p in mixing.phases(blocks, weights):
-        used += [(p["start"] + j // p["share"] * p["period"] + p["slots"][j % p["share"]], p["source"], p["first"] + j) for j in range(p["n"])]
-    assert Counter(s for _, s, _ in used) == blocks
-    assert sorted(t for t, *_ in used) == list(range(sum(blocks.values())))
-    early = sorted(used)[:600]
-    assert abs(sum(s == "b" for _, s, _ in early) - 600 * 0.5 / 0.7) < 3
+def in_order(blocks, weights):
+    """Names, blocks and whole weights of the sources in the order in which they run dry."""
+    names = sorted(blocks)
+    k = dict(zip(names, mixing.whole([weights[s] for s in names]), strict=True))
+    names.sort(key=lambda s: (Fraction(blocks[s], k[s]), s))
+    return names, [blocks[s] for s in names], [k[s] for s in names]
+
+
+def flow(blocks, weights):
+    """Slot at which the ideal flow has taken j blocks of source i, for all j, by walking from one source's end to the next."""
+    ends, left, taken, t = [[Fraction(0)] for _ in blocks], set(range(len(blocks))), [Fraction(0)] * len(blocks), Fraction(0)
+    while left:
+        total = sum(weights[i] for i in left)
+        step = min((blocks[i] - taken[i]) * total / weights[i] for i in left)
+        for i in left:
+            rate = Fraction(weights[i], total)
+            while len(ends[i]) <= taken[i] + step * rate:
+                ends[i].append(t + (len(ends[i]) - taken[i]) / rate)
+            taken[i] += step * rate
+        t += step
+        left = {i for i in left if taken[i] < blocks[i]}
+    return ends
+
+
+def slow_order(blocks, weights):
+    """Slot by slot: of the blocks that the flow has entered, the one that it leaves first; each source stays within a block of the flow."""
+    ends, done, out = flow(blocks, weights), [0] * len(blocks), []
+    for t in range(sum(blocks)):
+        ready = [(math.ceil(ends[i][done[i] + 1]), i) for i in range(len(blocks)) if done[i] < blocks[i] and math.floor(ends[i][done[i]]) <= t]
+        due, i = min(ready)
+        assert due > t
+        out.append(i)
+        done[i] += 1
+        for x, e in enumerate(ends):
+            assert done[x] == 0 or e[done[x] - 1] < t + 1
+            assert done[x] == blocks[x] or e[done[x] + 1] > t + 1
+    return out
+
+
+def test_order_is_the_slow_one():
+    rng = np.random.default_rng(2)
+    cases = [({"a": 500, "b": 70, "c": 1}, {"a": 0.2, "b": 0.5, "c": 0.3}), ({"a": 9}, {"a": 3.0}), ({"a": 40, "b": 40, "c": 40}, {"a": 1.0, "b": 1.0, "c": 1.0})]
+    cases += [({f"s{i}": int(rng.integers(1, 60)) for i in range(n)}, {f"s{i}": float(rng.random() ** 4 + 1e-6) for i in range(n)}) for n in (2, 7, 30)]
+    cases += [({f"s{i:02}": 1 + i % 2 for i in range(50)}, {f"s{i:02}": 1e300 if i == 7 else 1e-300 for i in range(50)})]
+    for blocks, weights in cases:
+        names, n, k = in_order(blocks, weights)
+        got = list(mixing.edf(n, k))
+        assert Counter(names[i] for i in got) == blocks
+        assert got == slow_order(n, k)
 
 
 def frame(spark, n=600):
@@ -26,20 +70,11 @@ def frame(spark, n=600):
 
 
 def slow_slots(blocks, weights):
-    """Slot by slot: of the released blocks the one of the earliest deadline; weights of what is left after a source runs dry."""
-    left, out, t = dict(blocks), {}, 0
-    while any(left.values()):
-        live = sorted(s for s in left if left[s])
-        total = sum(Fraction(weights[s]) for s in live)
-        share = {s: Fraction(weights[s]) / total for s in live}
-        taken, first = dict.fromkeys(live, 0), t
-        while all(left[s] for s in live):
-            ready = [(math.ceil((taken[s] + 1) / share[s]), s) for s in live if math.floor(taken[s] / share[s]) <= t - first]
-            s = min(ready)[1]
-            out[t] = (s, blocks[s] - left[s])
-            taken[s], left[s], t = taken[s] + 1, left[s] - 1, t + 1
-            for x in live:
-                assert abs(taken[x] - share[x] * (t - first)) < 1
+    names, n, k = in_order(blocks, weights)
+    done, out = Counter(), {}
+    for t, i in enumerate(slow_order(n, k)):
+        out[t] = (names[i], done[i])
+        done[i] += 1
     return out
 
 
@@ -103,17 +138,10 @@ def test_sources_stay_within_one_block_of_their_true_weights_over_many_periods()
     rng = np.random.default_rng(4)
     weights = {f"s{i}": float(w) for i, w in enumerate(rng.random(20) ** 3 + 1e-5)} | {"rare": 2e-4}
     total, n = sum(weights.values()), 60_000
-    blocks = dict.fromkeys(weights, n)
-    got, at = {s: np.zeros(n, int) for s in weights}, 0
-    for p in mixing.phases(blocks, weights, chunk=5_000):
-        if p["start"] >= n:
-            break
-        assert p["phase"] == 0
-        got[p["source"]][[p["start"] + t for t in p["slots"]]] = 1
-        at = max(at, p["start"] + p["period"])
-    assert at >= n
-    for s, x in got.items():
-        assert np.abs(np.cumsum(x) - np.arange(1, n + 1) * weights[s] / total).max() < 1
+    names, blocks, k = in_order(dict.fromkeys(weights, n), weights)
+    got = np.fromiter(islice(mixing.edf(blocks, k), n), int, n)
+    for i, s in enumerate(names):
+        assert np.abs(np.cumsum(got == i) - np.arange(1, n + 1) * weights[s] / total).max() < 1
 
 
 def test_schedule_without_broadcast_is_the_same(spark, monkeypatch):
@@ -122,3 +150,43 @@ def test_schedule_without_broadcast_is_the_same(spark, monkeypatch):
     small = sorted(mixing.schedule(docs, block=256).collect(), key=key)
     monkeypatch.setattr(mixing, "BROADCAST", 0)
     assert sorted(mixing.schedule(docs, block=256).collect(), key=key) == small
+
+
+def test_many_sources(spark):
+    """20,000 sources of one to three blocks and a hot one: every slot once, none a block or more from the flow."""
+    n, size = 20_000, 64
+    rows = spark.range(3 * n).selectExpr("id as doc_id", f"repeat('x', {size}) as text", f"case when id < {n} or id % 7 = 0 then concat('s', id % {n}) else 'hot' end as source")
+    rows = rows.withColumn("text", F.concat("text", F.col("doc_id").cast("string")).substr(-size, size))
+    got = mixing.schedule(rows, block=size, power=0.5).select("mix_source", "mix_block", "mix_slot").toPandas()
+    assert sorted(got.mix_slot) == list(range(3 * n))
+    blocks = got.groupby("mix_source").size()
+    weights = {s: (b / (3 * n)) ** 0.5 for s, b in blocks.items()}
+    names, count, k = in_order(blocks.to_dict(), weights)
+    dry = [Fraction(b, w) for b, w in zip(count, k, strict=True)]
+    gone, left = np.cumsum([0, *count]), [sum(k)]
+    for w in k:
+        left.append(left[-1] - w)
+    place = {s: i for i, s in enumerate(names)}
+
+    def leaves(i, j):
+        at = bisect.bisect_left(dry, Fraction(j, k[i]))
+        return int(gone[at]) + Fraction(j * left[at], k[i])
+
+    for s, j, t in got.itertuples(index=False):
+        assert math.floor(leaves(place[s], j)) <= t < math.ceil(leaves(place[s], j + 1))
+
+
+def test_blocks_grow_once_the_schedule_is_long(spark, monkeypatch):
+    docs, rows = frame(spark, 300)
+    monkeypatch.setattr(mixing, "SLOTS", 50)
+    got = mixing.schedule(docs, block=16).collect()
+    size = -(-sum(r.mix_bytes for r in got) // 50)
+    assert len(got) == len(rows) and all(r.mix_block == r.mix_start // size for r in got)
+    assert max(r.mix_slot for r in got) < 50 + len({r.mix_source for r in got})
+
+
+def test_weights_that_are_not_above_zero(spark):
+    docs, _ = frame(spark, 20)
+    for bad in (0.0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            mixing.schedule(docs, {"hot": bad})
