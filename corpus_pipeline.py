@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgermill.llm import mixing, packing, quality, simhash, suffixdup
-from ledgermill.llm.common import materialize, read
+from ledgermill.llm.common import discard, materialize, read
 
 #: Target weight of a source in the mixture: its share of bytes to this power, so that small
 #: sources are drawn more often than their size alone would have them, until they run dry.
@@ -56,8 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again before the next; a table goes once the next one is written."""
+    docs, written = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if written is not None:
+            discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
