@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Turn numbers of a bucket, and turns of a part of a rendered conversation.
 BUCKET = 1024
-#: Rows of one turn number beyond which its bucket is split, by turn and by the leading bits of the hash.
+#: Different rows of one turn number beyond which its bucket is split, by turn and by the leading bits of the hash.
 CROWD = 4096
 _NONE = -(1 << 63)
 
@@ -26,32 +26,40 @@ def _scan_base(rows: DataFrame, unit: str, parts: dict[str, Column]) -> DataFram
     return sums.select("conv", unit, *[F.coalesce(again[name](name).over(before), F.lit(0)).alias(f"base_{name}") for name in parts])
 
 
-def _placed(turns: DataFrame, bucket: int, crowd: int) -> DataFrame:
-    """conv, pos (from 1), h1, h2, role, text: each turn's position in the order of turn, h1, h2.
-
-    One task orders a unit: a bucket of turn numbers, or, where over ``crowd`` rows share a
-    number, one number's rows with the same ten leading bits of h1.
-    """
+def _turns(turns: DataFrame) -> DataFrame:
+    """conv, turn, role, text, h1, h2: every row without nulls, with its hashes."""
     number = F.coalesce(F.col("turn").cast("bigint"), F.lit(-1).cast("bigint"))
     role = F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(_NONE)).alias("conv"), number.alias("turn"), role.alias("role"), text.alias("text"))
+    return rows.withColumn("h1", F.xxhash64("role", "text")).withColumn("h2", F.xxhash64("text", "role", F.lit(1)))
+
+
+def _placed(turns: DataFrame, bucket: int, crowd: int) -> DataFrame:
+    """conv, turn, h1, h2, pos, last: first and last position (from 1) of each turn's copies in the order of turn, h1, h2.
+
+    Copies of a turn are one row with their count. One task orders a unit: a bucket of turn numbers, or,
+    where over ``crowd`` different rows share a number, one number's rows with the same ten leading bits of h1.
+    """
+    rows = _turns(turns).groupBy("conv", "turn", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.withColumn("bucket", F.floor(F.when(F.col("turn") == -1, F.lit(0)).otherwise(F.col("turn")) / bucket))
-    rows = rows.withColumn("h1", F.xxhash64("role", "text")).withColumn("h2", F.xxhash64("text", "role", F.lit(1)))
     # At most one row for each ``crowd`` rows of the table, its list at most a bucket's turn numbers.
-    crowds = rows.groupBy("conv", "bucket", "turn").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).groupBy("conv", "bucket").agg(F.collect_list("turn").alias("crowds"))
+    crowds = rows.groupBy("conv", "bucket", "turn").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > crowd).groupBy("conv", "bucket").agg(F.collect_list("turn").alias("crowds"))
     apart = F.when(F.col("crowds").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("turn"))
     leading = F.when(F.array_contains("crowds", F.col("turn")), F.shiftright("h1", 54)).otherwise(F.lit(0).cast("bigint"))
     rows = rows.join(crowds, ["conv", "bucket"], "left").withColumn("unit", F.struct("bucket", apart.alias("turn"), leading.alias("leading"))).drop("crowds", "bucket")
-    inside = Window.partitionBy("conv", "unit").orderBy("turn", "h1", "h2")
-    counted = rows.join(_scan_base(rows.select("conv", "unit"), "unit", {"n": F.count(F.lit(1))}), ["conv", "unit"])
-    return counted.select("conv", (F.col("base_n") + F.row_number().over(inside)).alias("pos"), "h1", "h2", "role", "text")
+    inside = Window.partitionBy("conv", "unit").orderBy("turn", "h1", "h2").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.join(_scan_base(rows.select("conv", "unit", "n"), "unit", {"n": F.sum("n")}), ["conv", "unit"]).withColumn("last", F.col("base_n") + F.sum("n").over(inside))
+    return counted.select("conv", "turn", "h1", "h2", (F.col("last") - F.col("n") + 1).alias("pos"), "last")
 
 
 def prefixes(turns: DataFrame, bucket: int = BUCKET, crowd: int = CROWD) -> DataFrame:
     """conv, pos, x1, x2: each turn's position (from 1) and the rolling hash of all up to it."""
-    placed = _placed(turns, bucket, crowd)
-    placed = placed.select("conv", "pos", F.floor(F.col("pos") / bucket).alias("chunk"), F.xxhash64("pos", "h1").alias("g1"), F.xxhash64("h2", "pos", F.lit(7)).alias("g2"))
+    spans = _placed(turns, bucket, crowd).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("pos") / bucket), F.floor(F.col("last") / bucket))))
+    # Copies spread over tasks by their chunk before they become a row each.
+    within = F.sequence(F.greatest("pos", F.col("chunk") * bucket), F.least("last", F.col("chunk") * bucket + (bucket - 1)))
+    placed = spans.repartition("conv", "chunk").select("conv", "chunk", "h1", "h2", F.explode(within).alias("pos"))
+    placed = placed.select("conv", "pos", "chunk", F.xxhash64("pos", "h1").alias("g1"), F.xxhash64("h2", "pos", F.lit(7)).alias("g2"))
     base = _scan_base(placed, "chunk", {"x1": F.bit_xor("g1"), "x2": F.bit_xor("g2")})
     run = Window.partitionBy("conv", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return placed.join(base, ["conv", "chunk"]).select("conv", "pos", *[F.bit_xor(f"g{k}").over(run).bitwiseXOR(F.col(f"base_x{k}")).alias(f"x{k}") for k in (1, 2)])
@@ -71,15 +79,19 @@ def format_chats(turns: DataFrame, bucket: int = BUCKET, crowd: int = CROWD, ope
 
     A part holds up to ``bucket`` turns by position, so no task holds an unbounded
     conversation. Turns that share a number go by a hash of role and text; repeated rows are
-    turns of their own. A null role is "unknown", null text empty, a null turn number counts
+    turns of their own, carried as a count until they are rendered. A null role is "unknown", null text empty, a null turn number counts
     as -1, just before 0, and rows without a conversation form one, whose id is null. Other
     columns are ignored; an empty table gives no rows.
     """
     before, after = opening.split("{role}")
     one = F.concat(F.lit(before), F.col("role"), F.lit(after), F.col("text"), F.lit(closing))
-    rows = _placed(turns, bucket, crowd).select("conv", F.floor((F.col("pos") - 1) / bucket).cast("bigint").alias("part"), F.struct("pos", one.alias("line")).alias("line"))
-    rows = rows.join(maximal(turns, bucket, crowd), "conv")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["line"]), "")
+    places = _placed(turns, bucket, crowd).join(maximal(turns, bucket, crowd), "conv")
+    texts = _turns(turns).groupBy("conv", "turn", "h1", "h2", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts.join(places, ["conv", "turn", "h1", "h2"]).select("conv", "n_turns", "pos", "last", one.alias("line"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.floor((F.col("pos") - 1) / bucket), F.floor((F.col("last") - 1) / bucket))))
+    copies = F.least("last", (F.col("part") + 1) * bucket) - F.greatest(F.col("pos") - 1, F.col("part") * bucket)
+    rows = rows.select("conv", "n_turns", "part", F.struct("pos", copies.cast("int").alias("copies"), "line").alias("line"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: F.repeat(x["line"], x["copies"])), "")
     parts = rows.groupBy("conv", "part").agg(lines.alias("text"), F.max("n_turns").alias("n_turns"))
     return parts.select(F.nullif(F.col("conv"), F.lit(_NONE)).alias("conv_id"), "part", "n_turns", "text")
 

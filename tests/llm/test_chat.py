@@ -68,3 +68,19 @@ def test_very_long_text(spark):
     data = [(1, 0, "user", "long " * 400_000, 0), (1, 1, "assistant", "short", 0), (2, 0, "user", "long " * 400_000, 0)]
     got = chat.format_chats(spark.createDataFrame(data, SCHEMA)).collect()
     assert [(r.conv_id, r.n_turns) for r in got] == [(1, 2)] and len(got[0].text) > 2_000_000
+
+
+def test_copies_of_a_turn_are_counted(spark):
+    """One turn 5,000 times between others: parts of 16 turns, a snapshot of it dropped, and no window that sorts the copies."""
+    head, tail = [(1, 0, "system", "first", 0), (1, 1, "user", "ask", 0)], [(1, 5, "user", "last", 0)]
+    many = [(1, 3, "assistant", "same", 0)] * 5_000
+    data = head + many + tail + [(2, *r[1:]) for r in head + many[:40]] + [(3, *r[1:]) for r in head + many[:40] + tail]
+    frame = spark.createDataFrame(data, SCHEMA)
+    got = {}
+    for r in sorted(chat.format_chats(frame, bucket=16, crowd=20).collect(), key=lambda r: (r.conv_id, r.part)):
+        assert r.part == len(got.setdefault(r.conv_id, []))
+        got[r.conv_id].append(r.text)
+    want = slow(data)
+    assert {c: "".join(x) for c, x in got.items()} == {c: text for c, (_, text) in want.items()} and set(got) == {1, 3}
+    assert [x.count("<|end|>") for x in got[1]] == [16] * 312 + [11]
+    assert chat._placed(frame, 16, 20).count() == 4 + 3 + 4
