@@ -5,9 +5,10 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ledgermill.functions import text
 from ledgermill.operators import vectorizer
 from ledgermill.operators.vectorizer import TermCounter, grams_of
-from ledgermill.sources import storage
+from ledgermill.sources import storage, synthetic
 
 TEXTS = ["ab banana  ab\tan", None, "", " \n ", "çay şeker çay", "x"] + [f"w{k} banana w{k % 7}" for k in range(300)]
 
@@ -38,3 +39,15 @@ def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path):
         assert rows.groupBy(F.spark_partition_id()).count().count() > 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_texts_are_cleaned_once_and_alike_with_and_without_ascii(spark):
+    odd = ["IYZICO*MARKET A.S. 0042", "3 taksit 12/03/2024 1.250,50 TL x new york", "Şok é a.s. 12 tak", "ring <num> \t co.", "", None, "12 usd\x0bLTD (2/6 TAKSIT)"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string")
+    folded = text.fold(F.coalesce("t", F.lit("")), nfc=False)
+    got = rows.select(text.clean_merchant(F.col("t"), nfc=False).alias("a"), text._cleaned(folded, True, str, True).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    pairs = spark.createDataFrame([("c", "large ring")], "category string, brand string")
+    made = synthetic.merchant_texts(pairs, pairs.withColumnRenamed("brand", "keyword"), ["PERU"], 10)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "hong kong" in line for line in plan.split("\n"))
