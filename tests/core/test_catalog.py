@@ -29,3 +29,14 @@ def test_queries_equal_their_sql(spark, name):
     at = [want.columns.index(c) for c in columns]
     got = sorted(repr(tuple(r)) for r in frame.select(columns).collect())
     assert got == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
+def test_errors_judge_no_transactions(spark, monkeypatch):
+    """Repeated uploads are found without anomalies, and equal the SQL."""
+    from ledgermill.plans import pipeline
+
+    def fail(*_, **__):
+        raise AssertionError("judged")
+
+    monkeypatch.setattr(pipeline, "detect_anomalies", fail)
+    test_queries_equal_their_sql(spark, "run_errors")
