@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pii import clear, pii_spans
-from ..functions.text import fold
+from ..functions.text import fold, let
 
 # Labels of personal data and labels that end a value.
 LABELS = {
@@ -62,22 +62,27 @@ def label_hits(lines: DataFrame) -> DataFrame:
     low, pattern = F.coalesce(fold(F.col("text"), nfc=False), F.lit("")), _label_pattern()
     kinds = F.create_map(*[F.lit(x) for kind, labels in LABELS.items() for label in labels for x in (label, kind)])
     chars = lambda parts, n: F.length(F.array_join(F.slice(parts, 1, n), ""))
-    found, gaps = F.col("_found"), F.col("_gaps")
 
-    def hit(x: Column, k: Column) -> Column:
-        start = chars(gaps, k + 1) + chars(found, k)
+    def cut(t: Column) -> Column:
+        # Labels become a character that no text has then, since splitting at one character compiles no pattern for each row.
+        gaps = F.split(F.regexp_replace(F.translate(t, "\x00", "\x01"), pattern, "\x00"), "\x00")
+        return F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), gaps.alias("gaps"))
+
+    def hit(x: Column, k: Column, c: Column) -> Column:
+        start = chars(c["gaps"], k + 1) + chars(c["found"], k)
         return F.struct(start.alias("s"), (start + F.length(x)).alias("e"), F.element_at(kinds, F.regexp_replace(x, r"(?U)\s*:?$", "")).alias("kind"))
 
-    cut = lines.withColumns({"_found": F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), "_gaps": F.split(low, pattern)})
-    hits = F.transform(found, hit)
+    # Each text is folded and cut once, however many labels it has.
+    hits = let(let(low, cut), lambda c: F.transform(c["found"], lambda x, k: hit(x, k, c)))
     if "is_tx" in lines.columns:
-        hits = F.when(F.coalesce("is_tx", F.lit(False)), F.slice(hits, 1, 0)).otherwise(hits)
-    return cut.withColumn("hits", hits).drop("_found", "_gaps")
+        hits = F.when(F.coalesce("is_tx", F.lit(False)), F.array().cast("array<struct<s:int,e:int,kind:string>>")).otherwise(hits)
+    return lines.withColumn("hits", hits)
 
 
 def label_values(lines: DataFrame) -> DataFrame:
     """doc, page, block, line, kind, value: what follows each label of personal data up to the next label."""
-    rows = label_hits(lines).select("doc", "page", "block", "line", "text", "hits", F.posexplode("hits").alias("k", "h"))
+    # The outer form, for which Spark infers no filter: that would find all hits once more, before the rows are dealt out.
+    rows = label_hits(lines).select("doc", "page", "block", "line", "text", "hits", F.posexplode_outer("hits").alias("k", "h"))
     end = F.coalesce(F.get("hits", F.col("k") + 1)["s"], F.length("text"))
     value = F.trim(F.regexp_replace(F.substr("text", F.col("h.e") + 1, end - F.col("h.e")), r"^[ :,]+|[ :,]+$", ""))
     return rows.select("doc", "page", "block", "line", F.col("h.kind").alias("kind"), value.alias("value")).filter("kind <> 'stop' and value <> ''")

@@ -53,3 +53,12 @@ def test_header_ends_above_the_first_transaction(spark):
 def test_counts_by_kind(spark):
     texts = spark.createDataFrame([(1, "a@b.com ve c@d.org"), (2, "yok")], "doc int, text string")
     assert [(r["doc"], r["total"], r["counts"]) for r in red.redaction_counts(texts).collect()] == [(1, 2, {"email": 2})]
+
+
+def test_hits_are_found_once_and_after_rows_are_dealt_out(spark):
+    """Neither is a text's cutting repeated for each label, nor done by the few tasks that read a table."""
+    lines = spark.createDataFrame([(1, 0, 0, 0, "Telefon: 0532\x00 Sayın A B")], "doc int, page int, block int, line int, text string").repartition(8)
+    got = red.label_values(lines)
+    assert [(r.kind, r.value) for r in got.collect()] == [("phone", "0532\x00"), ("name", "A B")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.rindex("Repartition") > plan.index("regexp_extract_all")
