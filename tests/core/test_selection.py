@@ -63,3 +63,33 @@ def test_outliers_are_the_same_by_windows_and_by_rank(spark):
     assert found[0].keys() == found[2].keys() and len(found[0]) == len(rows)
     for a, b in ((found[0], found[2]), (found[1], found[3])):
         assert all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_small_forests_that_grow_together_score_as_alone():
+    """Equal to the last bit, with equal rows, constant axes, one row and as many rows as a word has bits."""
+    from ledgermill.operators import isolation
+
+    rng = np.random.default_rng(3)
+    pools = [rng.normal(size=(n, 5)) for n in (1, 2, 30, 33, 64)]
+    pools += [np.ones((31, 5)), np.round(rng.normal(size=(64, 5))), np.column_stack([np.arange(40.0), *np.zeros((4, 40))])]
+    for pool, got in zip(pools, isolation.own_scores(pools), strict=True):
+        assert np.array_equal(got, isolation.forest_score(pool, isolation.grow_forest(pool)))
+
+
+def test_forests_of_entities_of_all_sizes(spark, monkeypatch):
+    """Entities that stand together in a partition, over batches' ends, small ones and large ones."""
+    from ledgermill.operators import isolation
+
+    monkeypatch.setattr(isolation, "CHUNK", 300)
+    rng = np.random.default_rng(4)
+    rows = [(f"e{n}", k, *map(float, rng.normal(size=2))) for n in (5, 30, 31, 64, 65, 290, 700) for k in range(n)]
+    frame = spark.createDataFrame(rows, "e string, k int, a double, b double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    got = {(r.e, r.k): r.iforest_score for r in isolation.forest_scores(frame, ["e"], ["a", "b"], ["k"], 30).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    ordered = frame.withColumn("h", isolation.hash_key(isolation.SEED, "k")).orderBy("e", "h", "k").toPandas()
+    for name, mine in ordered.groupby("e"):
+        x = mine[["a", "b"]].to_numpy()
+        want = isolation.forest_score(x, isolation.grow_forest(x[: isolation.POOL])) if len(x) >= 30 else np.zeros(len(x))
+        assert [got[name, k] for k in mine["k"]] == pytest.approx(want)
