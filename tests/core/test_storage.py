@@ -54,3 +54,15 @@ def test_first_amount_of_a_text(spark):
     rows = spark.createDataFrame([(1, "Borç 1.234,56 TL, 10,00"), (2, "tutar yok")], "k int, text string")
     got = {r["k"]: (r["a"]["value"], r["a"]["negative"]) for r in rows.select("k", money.first_amount(F.col("text")).alias("a")).collect()}
     assert got == {1: (Decimal("1234.56"), False), 2: (Decimal("0.00"), False)}
+
+
+def test_rhythms_sort_few_rows_in_each_task(spark, monkeypatch):
+    """The partitions grow with the table, and keys stay whole."""
+    from ledgermill.plans import transactions
+
+    whole = sorted(map(tuple, transactions.obl_rhythms(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(transactions, "KEY_ROWS", 500)
+    got = transactions.obl_rhythms(spark, "/root/testdata/sf0.001")
+    many = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert "hashpartitioning(l_partkey" in (plan := got._jdf.queryExecution().executedPlan().toString()) and f", {-(-many // 500)}), REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
+    assert sorted(map(tuple, got.collect())) == whole
