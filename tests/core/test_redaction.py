@@ -62,3 +62,12 @@ def test_hits_are_found_once_and_after_rows_are_dealt_out(spark):
     assert [(r.kind, r.value) for r in got.collect()] == [("phone", "0532\x00"), ("name", "A B")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and plan.rindex("Repartition") > plan.index("regexp_extract_all")
+
+
+def test_pages_are_put_together_in_tasks_of_few_rows(spark, monkeypatch):
+    from ledgermill.plans import questions
+
+    monkeypatch.setattr(questions, "PAGE_ROWS", 100)
+    plan = questions.pii_address_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    many = -(-spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count() // 100)
+    assert plan.count(f", {many}), REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") == 2
