@@ -74,22 +74,22 @@ def route(questions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
 
     Order: empty, temporal, two categories, one category, a merchant's word, other intents.
     A question's words and their prefixes are joined with the tokens by equality, so the
-    merchant list may be of any size.
+    merchant list may be of any size; equal questions are looked up once.
     """
-    rows = questions.withColumn("question_id", F.monotonically_increasing_id()).withColumn("_q", fold(F.coalesce("question", F.lit("")), nfc=False))
+    rows = questions.withColumn("_q", fold(F.coalesce("question", F.lit("")), nfc=False))
     rows = rows.withColumn("category_ids", F.array_compact(F.array(*[F.when(_starts(F.col("_q"), stems), F.lit(k)) for k, (_, _, stems) in enumerate(CATEGORIES)])))
     if tokens is None:
         rows = rows.withColumn("merchant_token", F.lit(None).cast("string"))
     else:
-        words = rows.select("question_id", F.explode(F.array_distinct(F.split("_q", r"(?U)[^\p{L}]+"))).alias("w")).filter(F.length("w") >= 4)
-        starts = words.select("question_id", F.explode(F.transform(F.sequence(F.lit(4), F.length("w")), lambda n: F.substr("w", F.lit(1), n))).alias("token"))
-        found = starts.join(tokens, "token").groupBy("question_id").agg(F.min("token").alias("merchant_token"))
-        rows = rows.join(found, "question_id", "left")
+        words = rows.select("_q").distinct().select("_q", F.explode(F.array_distinct(F.split("_q", r"(?U)[^\p{L}]+"))).alias("w")).filter(F.length("w") >= 4)
+        starts = words.select("_q", F.explode(F.transform(F.sequence(F.lit(4), F.length("w")), lambda n: F.substr("w", F.lit(1), n))).alias("token"))
+        found = starts.join(tokens, "token").groupBy("_q").agg(F.min("token").alias("merchant_token"))
+        rows = rows.join(found, "_q", "left")
     intent = F.when(F.trim("_q") == "", "unknown").when(_starts(F.col("_q"), INTENTS[0][1]), INTENTS[0][0]).when(F.size("category_ids") >= 2, "compare_categories").when(F.size("category_ids") == 1, "category_spend")
     intent = intent.when(F.col("merchant_token").isNotNull(), "merchant_spend")
     for name, stems in INTENTS[1:]:
         intent = intent.when(_starts(F.col("_q"), stems), name)
-    return rows.withColumn("intent", intent.otherwise("unknown")).drop("_q", "question_id")
+    return rows.withColumn("intent", intent.otherwise("unknown")).drop("_q")
 
 
 def in_category(category_id: int) -> Column:

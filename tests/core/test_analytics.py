@@ -171,3 +171,11 @@ def test_defaults_and_top_n(spark):
     top = aggregates.top_n_with_other(totals, [], "c", 7).orderBy("rank").collect()
     assert len(top) == 8 and top[-1].c == "Other (3)" and sum(r.total for r in top) == 55
     assert aggregates.top_n_with_other(totals.limit(7), [], "c", 7).count() == 7
+
+
+def test_equal_questions_are_looked_up_once(spark):
+    tokens = spark.createDataFrame([("bolt", "hot bolt"), ("ring", "large ring")], "token string, merchant string")
+    asked = spark.createDataFrame([(1, "Hot Bolt'a ne?"), (2, "Hot Bolt'a ne?"), (3, None), (4, "rings ve bolt")], "id int, question string")
+    got = copilot.route(asked, tokens)
+    assert sorted((r.id, r.intent, r.merchant_token) for r in got.collect()) == [(1, "merchant_spend", "bolt"), (2, "merchant_spend", "bolt"), (3, "unknown", None), (4, "merchant_spend", "bolt")]
+    assert "monotonically" not in got._jdf.queryExecution().optimizedPlan().toString()
