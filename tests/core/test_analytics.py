@@ -179,3 +179,17 @@ def test_equal_questions_are_looked_up_once(spark):
     got = copilot.route(asked, tokens)
     assert sorted((r.id, r.intent, r.merchant_token) for r in got.collect()) == [(1, "merchant_spend", "bolt"), (2, "merchant_spend", "bolt"), (3, "unknown", None), (4, "merchant_spend", "bolt")]
     assert "monotonically" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_descriptions_are_cleaned_once_each_and_rows_read_twice(spark, tmp_path):
+    """Judging reads spend and the rest, no third time for entities of few rows, which it still tells apart; null descriptions too."""
+    from ledgermill.operators import anomaly
+
+    rows = [(s, "2024-01-%02d" % (k + 1), d, 10.0 + k % 3, k) for s, n, d in (("a", 9, "Shop A.Ş. 1"), ("b", 3, None), (None, 6, "Kafe")) for k in range(n)]
+    spark.createDataFrame(rows, "statement string, day string, clean_description string, x double, k int").write.parquet(f"{tmp_path}/rows")
+    tx = spark.read.parquet(f"{tmp_path}/rows").select("statement", F.to_date("day").alias("date"), "clean_description", F.col("x").cast("decimal(18,2)").alias("amount"), "k")
+    got = anomaly.detect_anomalies(tx, ["statement"], ["k"], forest=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("k#") > 0 and sum("Relation [statement" in x for x in plan.splitlines()) == 2
+    told = {(r.statement, r.anomaly_reason == anomaly.TOO_FEW): r["count"] for r in got.groupBy("statement", "anomaly_reason").count().collect()}
+    assert len(got.collect()) == len(rows) and told["b", True] == 3 and ("a", True) not in told and (None, True) not in told
