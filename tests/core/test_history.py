@@ -38,3 +38,20 @@ def test_update_equals_a_new_computation(spark, tmp_path):
     assert sorted(r.error for r in again.collect()) == ["known statement"] * 2 + ["repeated statement"] * 2
     assert {tuple(r) for r in history.read_history(spark, path).drop("bucket").collect()} == got
     assert history.update_history(spark, path, frame([]), ["owner"], "upload", judge, 4).count() == 0
+
+
+def test_recomputation_judges_written_rows(spark, monkeypatch):
+    """Rows of an update come from joins; judging reads them more than once and must not run those again."""
+    from ledgermill.plans import transactions
+
+    judge, plans = transactions.anomaly.detect_anomalies, []
+
+    def seen(rows, *args, **kwargs):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return judge(rows, *args, **kwargs)
+
+    monkeypatch.setattr(transactions.anomaly, "detect_anomalies", seen)
+    rows = lambda df: sorted(repr(tuple(r)) for r in df.select("statement", "anomaly_type", "n", "top_score").collect())
+    got = rows(transactions.rel_recomputed(spark, "/root/testdata/sf0.001"))
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+    assert got == rows(transactions.win_detect_anomalies(spark, "/root/testdata/sf0.001"))
