@@ -85,6 +85,36 @@ def test_scores_count_classes_that_are_true_or_said(spark):
     assert (r.n, r.accuracy, r.macro_f1) == (11, pytest.approx(7 / 11), pytest.approx(sum(f1) / 4))
 
 
+def test_kinds_that_share_vectors_say_what_each_says_alone(spark, monkeypatch):
+    """Terms are counted once for each vocabulary, whatever the number of kinds; odd rows and all kinds are said as by fit and transform."""
+    odd = spark.createDataFrame([(500, "", "m", "", ""), (501, None, "b", "", ""), (502, "  ", "m", "", ""), (503, "zzzz", None, "", ""), (504, "market gida", None, "", ""), (505, "pompa", "new", "", "")], table(spark).schema)
+    parts = table(spark).unionByName(odd).withColumn("is_test", F.col("id") % 3 != 1).unionByName(odd.withColumn("is_test", F.lit(False)).filter("id < 505"))
+    options = {"rounds": 2, "rate": 0.4, "other": "?", "minDF": 1}
+    want = Counter()
+    for kind in classifier.KINDS:
+        model = TextClassifier(kind=kind, **options).fit(parts.filter("not is_test"))
+        want.update((kind, r.label, r.top) for r in model.transform(parts.filter("is_test")).collect())
+    calls, learn = [], classifier.learn_vocabulary
+    monkeypatch.setattr(classifier, "learn_vocabulary", lambda *a: calls.append(a[-1]) or learn(*a))
+    got = Counter(tuple(r) for r in classifier.said_of_tested(parts, "text", "label", **options).collect())
+    assert got == want and sorted(calls) == [False, True]
+    none = classifier.said_of_tested(parts.filter("is_test"), "text", "label", **options)
+    assert {r.said for r in none.collect()} == {"?"}
+
+
+def test_counts_in_hashed_slots_are_those_of_spark_ml(spark):
+    from pyspark.ml.feature import HashingTF
+
+    texts = ["ab banana  ab\tan", None, "", " \n ", "çay şeker çay ığ \U0001d11ex", "x"] + [f"w{k} banana w{k % 7}" for k in range(100)]
+    rows = spark.createDataFrame([(k, t, "ab"[k % 2]) for k, t in enumerate(texts)], "k int, t string, l string")
+    for size in (1 << 15, 50):
+        want = HashingTF(inputCol="n_grams", outputCol="v", numFeatures=size).transform(features.with_ngrams(rows, "t"))
+        counted = features.with_counts(rows, "t", "v", size)
+        assert {r.k: r.v for r in counted.collect()} == {r.k: r.v for r in want.collect()}
+    model = features.fit_logistic(counted, "t", "l", counts="v")
+    assert model.transform(counted).filter("prediction is null").count() == 0
+
+
 def test_merchant_rows_keep_their_quotas_and_groups(spark):
     from ledgermill.sources import synthetic
 
