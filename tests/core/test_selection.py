@@ -65,6 +65,29 @@ def test_outliers_are_the_same_by_windows_and_by_rank(spark):
         assert all(a[k] == pytest.approx(b[k]) for k in a)
 
 
+def test_large_entities_are_selected_from_twice_and_as_a_whole_only_where_asked(spark, monkeypatch):
+    """Once for the medians of categories, once for their gaps; of all amounts only where a category has under five."""
+    from ledgermill.operators import anomaly
+
+    rng = np.random.default_rng(6)
+    plan = [("x", "A", 120), ("x", "B", 90), ("y", "A", 80), (None, "B", 70), (None, None, 60), ("z", "A", 9)]
+    rows = [(e, f"{e}{c}{i}", c, float(np.round(rng.lognormal(4, 1), 2))) for e, c, n in plan for i in range(n)]
+    few = [("y", f"few{c}{i}", c, x) for c, x in (("C", 900.0), (None, 7.5)) for i in range(3)]
+    calls, order = [], selection.order_statistics
+    monkeypatch.setattr(selection, "order_statistics", lambda *a, **k: calls.append(a[1]) or order(*a, **k))
+    for table, many in ((rows, 2), ([*rows, *few, ("x", "none", "A", None)], 4)):
+        frame = spark.createDataFrame(table, "e string, i string, category string, amount double").repartition(3)
+        found = []
+        for small in (4096, 50):
+            del calls[:]
+            got = anomaly.amount_outliers(frame, ["e"], small, rows_as="n").collect()
+            found.append({r.i: (r.z, r.median, r.ratio, r.is_outlier, r.in_category, r.n) for r in got})
+        assert len(calls) == many and len(found[1]) == len(table) and found[0].keys() == found[1].keys()
+        for key, want in found[0].items():
+            assert [x is None for x in found[1][key]] == [x is None for x in want]
+            assert found[1][key] == pytest.approx(want) if None not in want else found[1][key][4:] == want[4:]
+
+
 def test_small_forests_that_grow_together_score_as_alone():
     """Equal to the last bit, with equal rows, constant axes, one row and as many rows as a word has bits."""
     from ledgermill.operators import isolation
