@@ -51,3 +51,26 @@ def test_texts_are_cleaned_once_and_alike_with_and_without_ascii(spark):
     made = synthetic.merchant_texts(pairs, pairs.withColumnRenamed("brand", "keyword"), ["PERU"], 10)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "hong kong" in line for line in plan.split("\n"))
+
+
+def test_a_gram_is_numbered_once_and_odd_letters_lose_nothing(monkeypatch):
+    """Words share their n-grams' numbers; letters beyond the alphabet and the letter zero take names instead of keys."""
+    texts = pa.array([*TEXTS, "a\0b \0 b\0", "αβγδεζηθικλμνξο αβγ ab", "\U0001d11ex αβγδεζηθ"])
+    want = [dict(Counter(g for w in (t or "").split() for g in grams_of(w))) for t in texts.to_pylist()]
+    for bits, letters in ((12, 4095), (4, 15)):
+        monkeypatch.setattr(vectorizer, "BITS", bits)
+        monkeypatch.setattr(vectorizer, "LETTERS", letters)
+        calls: list[str] = []
+        counter, got, of = TermCounter(lambda t: calls.append(t) or len(calls) - 1), [], calls
+        for rows, row, term, n in counter.blocks(texts):
+            found = [{} for _ in range(rows)]
+            for r, t, x in zip(row.tolist(), term.tolist(), n.tolist(), strict=True):
+                found[r][of[t]] = x
+            got += found
+        assert got == want and len(calls) == len(set(calls))
+        sums = {of[t]: (d, x) for term, df, total in TermCounter(lambda t: calls.index(t)).sums(texts) for t, d, x in zip(term.tolist(), df.tolist(), total.tolist(), strict=True)}
+        assert sums == {g: (sum(g in w for w in want), sum(w.get(g, 0) for w in want)) for g in calls}
+        some = [g for g in calls if "a" in g or "\0" in g or "θ" in g]
+        kept = TermCounter(lambda t: some.index(t), only=some)
+        part = [(term.tolist(), n.tolist()) for _, _, term, n in kept.blocks(texts)]
+        assert sum(sum(n) for _, n in part) == sum(x for w in want for g, x in w.items() if g in some)
