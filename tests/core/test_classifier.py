@@ -130,3 +130,27 @@ def test_merchant_rows_keep_their_quotas_and_groups(spark):
     clean = synthetic.merchant_texts(brands, words, ["YILMAZ", "KAYA"], 403)
     assert 390 < clean.count() <= 403 and clean.filter("clean_text = ''").count() == 0
     assert synthetic.merchant_rows(brands, words, ["X"], 0).count() == 0
+
+
+def test_what_is_fitted_and_scored_together_is_said_as_by_fit_and_transform(spark):
+    odd = spark.createDataFrame([(500, "", "m", "", ""), (501, None, "b", "", ""), (502, "  ", "m", "", ""), (503, "zzzz", None, "", ""), (505, "pompa", "new", "", "")], table(spark).schema)
+    rows = table(spark).unionByName(odd)
+    estimator, learns = TextClassifier(kind="boosted", rounds=2, rate=0.4, other="?", minDF=1, textCol="text", labelCol="label"), F.col("id") % 3 != 1
+    model, said = classifier.fit_and_score(rows, learns, "text", "label", estimator)
+    want = estimator.fit(rows.filter(learns))
+    names = ["id", "label", "top", "confidence", "label_pred", "abstained"]
+    assert model.forest.rounds == want.forest.rounds
+    assert Counter(tuple(r) for r in said.select(names).collect()) == Counter(tuple(r) for r in want.transform(rows).select(names).collect())
+    _, none = classifier.fit_and_score(rows, F.lit(False), "text", "label", estimator)
+    assert {r.top for r in none.collect()} == {"?"}
+
+
+def test_candidates_are_fitted_with_the_estimators_own_rounds(spark, monkeypatch):
+    """The trees that are compared are not a few rounds of them."""
+    from ledgermill.operators import boosting
+    from ledgermill.plans import learning
+
+    asked = []
+    monkeypatch.setattr(boosting, "fit_boosted", lambda *a, rate: asked.append((a[5], rate)) or boosting.Forest(a[1], [0.0] * len(a[1]), a[3]))
+    learning.ml_candidates(spark, "/root/testdata/sf0.001")
+    assert asked == [(200, 0.1)]
