@@ -40,3 +40,18 @@ def test_reasons_name_what_only_the_forest_finds_odd(spark, tmp_path):
     want = con.sql(transactions.ORACLE_SQL["win_anomaly_reasons"])
     at = [want.columns.index(c) for c in frame.columns]
     assert sorted(repr(tuple(r)) for r in rows) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
+def test_the_forest_counts_an_entitys_rows_once(spark, monkeypatch):
+    """The number of an entity's rows comes with its outliers; only merchants are counted again, and rows are as by counting."""
+    from ledgermill.operators import anomaly, isolation
+
+    rows = [("ab"[k % 2], k, float(k % 7), f"m{k % 3}", dt.date(2024, 1, 1 + k % 28)) for k in range(90)] + [("c", 1, 1.0, "m", None), (None, 2, 3.0, "m", None)]
+    frame = spark.createDataFrame(rows, "e string, i int, amount double, m string, date date")
+    counted = anomaly.with_aggregates(frame, ["e"], _many=anomaly.F.count(anomaly.F.lit(1)))
+    calls, names = [], ["log_amount", "merchant_frequency"]
+    for module in (anomaly, isolation):
+        monkeypatch.setattr(module, "with_aggregates", lambda rows, by, real=module.with_aggregates, **more: calls.append(tuple(by)) or real(rows, by, **more))
+    score = lambda rows, **more: sorted((str(r.e), r.i, r.merchant_frequency, r.iforest_score) for r in isolation.forest_scores(anomaly.forest_features(rows, ["e"], "m", **more), ["e"], names, ["i"], 30, **more).collect())
+    told = score(counted, many="_many")
+    assert calls == [("e", "m")] and told == score(frame) and len(told) == 92
